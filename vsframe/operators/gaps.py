@@ -88,19 +88,19 @@ def _lag_by_range(
     n_parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     order = [F.col(k).asc_nulls_first() for k in keys]
     # An explicit partition count keeps AQE from coalescing this exchange, so
-    # both consumers below see the same partition ids.
-    tagged = (
-        src.repartitionByRange(n_parts, *order)
-        .sortWithinPartitions(*order)
-        .withColumn(_PID, F.spark_partition_id())
-    )
+    # both consumers below see the same partition ids (the exchange itself is
+    # shared: it shows as a ReusedExchange in the final plan).
+    ranged = src.repartitionByRange(n_parts, *order).withColumn(_PID, F.spark_partition_id())
+    tagged = ranged.sortWithinPartitions(*order)
     fields = list(tagged.schema.fields)
     fields += [T.StructField(o, src.schema[c].dataType, True) for c, o in zip(lagged, out_names)]
     fields.append(T.StructField(_HEAD, T.BooleanType(), True))
     within = tagged.mapInArrow(_lag_in_partition(entity, lagged, out_names), T.StructType(fields))
 
-    # last row of each non-empty partition, handed to the next non-empty one
-    last = tagged.groupBy(_PID).agg(
+    # Last row of each non-empty partition, handed to the next non-empty one.
+    # Read from the unsorted partitions: max_by needs no input order, and the
+    # aggregate's own sort is on the partition id, constant within a partition.
+    last = ranged.groupBy(_PID).agg(
         F.max_by(F.struct(*[F.col(c) for c in [entity, *lagged]]), F.struct(*[F.col(k) for k in keys])).alias(_LAST)
     )
     handoff = last.select(
