@@ -179,3 +179,14 @@ def test_golden_invariants(results, goals):
     assert all((r[2] - r[4]).days == r[5] for r in q4)
     assert [r[5] for r in q4] == sorted((r[5] for r in q4), reverse=True)
     assert all(r[2] >= D(1980, 1, 1) and r[4] >= D(1980, 1, 1) for r in q4)
+
+
+def test_q4_open_end_option(results):
+    # T17 option: runs still unbeaten at the as-of date count too
+    # (a team whose last loss is after the as-of date has no open run)
+    out = rows(fb.longest_unbeaten(results, n=3, open_end="2000-01-01"))
+    assert out == [
+        ("Belgium", None, D(2000, 1, 1), "France", D(1984, 6, 16), 5677),
+        ("Peru", None, D(2000, 1, 1), "Ecuador", D(1986, 2, 2), 5081),
+        ("Chile", None, D(2000, 1, 1), "Peru", D(1990, 1, 1), 3652),
+    ]

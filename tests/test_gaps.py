@@ -13,10 +13,10 @@ from vsframe.operators import event_gaps, longest_gaps
 SCHEMA = "entity string, day date, seq int, val bigint, kind string"
 
 
-def _gaps(df, strategy, partitions=None):
+def _gaps(df, strategy, partitions=None, open_end=None):
     return event_gaps(
         df, "entity", "day", order=["seq"], carry=["val", "seq"], event=F.col("kind") == "loss",
-        strategy=strategy, partitions=partitions,
+        strategy=strategy, partitions=partitions, open_end=open_end,
     )
 
 
@@ -49,6 +49,8 @@ def _events(seed, n, hot_share):
 def test_range_equals_window(spark, small_batches, seed, n, hot, parts):
     df = spark.createDataFrame(_events(seed, n, hot), SCHEMA)
     assert _sorted(_gaps(df, "range", parts)) == _sorted(_gaps(df, "window"))
+    end = "2020-02-15"
+    assert _sorted(_gaps(df, "range", parts, end)) == _sorted(_gaps(df, "window", None, end))
 
 
 def test_hot_entity_spans_partitions(spark, small_batches):

@@ -139,6 +139,7 @@ def event_gaps(
     prev_prefix: str = "prev_",
     gap_col: str = "gap_days",
     closed_only: bool = True,
+    open_end: str | None = None,
     strategy: str = "range",
     partitions: int | None = None,
 ) -> DataFrame:
@@ -153,6 +154,11 @@ def event_gaps(
     calendar-day difference of the two dates. With ``closed_only`` (default),
     only events that have a previous event are returned, so the run before the
     first event and the run still open after the last are not gaps.
+    ``open_end`` (an ISO date) adds, per entity, the run still open after its
+    last event: a row dated ``open_end`` (other columns null) whose previous
+    event is the entity's last one, if that is not later. The last events come
+    from a ``max_by`` aggregate with map-side partial steps, so a hot entity is
+    reduced before it is shuffled.
 
     Output columns: entity, time, order..., carry..., prev_time, prev_carry...,
     gap_col.
@@ -176,9 +182,26 @@ def event_gaps(
     prev_time = f"{prev_prefix}{time}"
     if closed_only:
         lagged_df = lagged_df.where(F.col(prev_time).isNotNull())
+    if open_end is not None:
+        lagged_df = lagged_df.unionByName(_open_runs(src, entity, keys, lagged, out_names, open_end))
     return lagged_df.withColumn(gap_col, F.datediff(F.to_date(time), F.to_date(prev_time)))
 
 
+def _open_runs(src, entity, keys, lagged, out_names, open_end) -> DataFrame:
+    time = keys[1]
+    end = F.lit(str(open_end)).cast(src.schema[time].dataType)
+    tails = src.groupBy(entity).agg(
+        F.max_by(F.struct(*[F.col(c) for c in lagged]), F.struct(*[F.col(k) for k in keys[1:]])).alias("_vs_tail")
+    )
+    others = [c for c in src.columns if c not in (entity, time)]
+    return tails.where(F.col("_vs_tail").getField(time) <= end).select(
+        entity,
+        end.alias(time),
+        *[F.lit(None).cast(src.schema[c].dataType).alias(c) for c in others],
+        *[F.col("_vs_tail").getField(c).alias(o) for c, o in zip(lagged, out_names)],
+    )
+
+
 def longest_gaps(
     gaps: DataFrame,
     *,

@@ -140,6 +140,7 @@ def longest_unbeaten(
     n: int = 20,
     member_tournament: str = WORLD_CUP,
     per_entity: bool = False,
+    open_end: str | None = None,
     strategy: str = "range",
 ) -> DataFrame:
     """Q4: the ``n`` longest spans between consecutive losses of a World Cup team.
@@ -147,6 +148,8 @@ def longest_unbeaten(
     Spans are calendar days between two losses dated on or after ``since``;
     members are teams that played any match whose tournament equals
     ``member_tournament`` exactly. Same-day losses are ordered by opponent.
+    ``open_end`` also counts each team's run still unbeaten at that date (its
+    row has a null loss opponent).
     """
     members = member_set(
         results, ["home_team", "away_team"], name="team", where=F.col("tournament") == F.lit(member_tournament)
@@ -165,6 +168,7 @@ def longest_unbeaten(
         carry=["opponent"],
         event=F.col("ga") > F.col("gf"),
         since=period_predicate("date", T.DateType(), from_date=since),
+        open_end=open_end,
         strategy=strategy,
     )
     top = longest_gaps(gaps, n=n, order=["team", "date", "opponent"], entity="team", per_entity=per_entity)
