@@ -110,3 +110,19 @@ def test_longest_total_order_and_per_entity(spark):
     per = longest_gaps(df, n=None, per_entity=True, entity="entity", order=["id"])
     assert sorted(tuple(r) for r in per.collect()) == [("a", 5, 1), ("b", 9, 7), ("c", 3, 0)]
     assert per.columns == df.columns
+
+
+@settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
+@given(seed=st.integers(0, 10_000), n=st.integers(1, 60), parts=st.integers(1, 5))
+def test_gaps_telescope_to_span(spark, seed, n, parts):
+    """Per entity, the closed gaps sum to last event date minus first event date."""
+    df = spark.createDataFrame(_events(seed, n, 0.5), SCHEMA).where("day is not null and kind = 'loss'")
+    gaps = _gaps(df, "range", parts)
+    total = {r[0]: r[1] for r in gaps.groupBy("entity").agg(F.sum("gap_days")).collect()}
+    span = {
+        r["entity"]: r["span"]
+        for r in df.groupBy("entity").agg(
+            F.datediff(F.max("day"), F.min("day")).alias("span"), F.count("*").alias("k")
+        ).where("k > 1").collect()
+    }
+    assert total == span

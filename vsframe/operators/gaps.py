@@ -76,6 +76,14 @@ def _lag_in_partition(entity: str, lagged: Sequence[str], out_names: Sequence[st
     return run
 
 
+def _default_partitions(spark) -> int:
+    """The session's shuffle partition count (sized by whoever runs the cluster)."""
+    try:
+        return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    except (TypeError, ValueError):
+        return max(1, spark.sparkContext.defaultParallelism)
+
+
 def _lag_by_range(
     src: DataFrame,
     entity: str,
@@ -84,8 +92,7 @@ def _lag_by_range(
     out_names: Sequence[str],
     partitions: int | None,
 ) -> DataFrame:
-    spark = src.sparkSession
-    n_parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n_parts = partitions or _default_partitions(src.sparkSession)
     order = [F.col(k).asc_nulls_first() for k in keys]
     # An explicit partition count keeps AQE from coalescing this exchange, so
     # both consumers below see the same partition ids (the exchange itself is
