@@ -62,3 +62,39 @@ def test_long_form_scans_once(plans):
 
 def test_extremes_is_top_k(plans):
     assert plans["counterparty_extremes"].count("TakeOrderedAndProject") == 2
+
+
+@pytest.fixture
+def at_scale(spark):
+    """Settings that make Spark plan as it would at 100 TB: nothing broadcastable,
+    every scan large enough for runtime bloom filters."""
+    conf = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "1",
+        "spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold": "100MB",
+    }
+    old = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in old.items():
+        if v is None:
+            spark.conf.unset(k)
+        else:
+            spark.conf.set(k, v)
+
+
+def _optimized(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_selective_dimensions_prune_lineitem_before_shuffle(spark, at_scale):
+    q = entry.queries()
+    # subject sells: supplier keys of nation 3 filter lineitem at the scan
+    text = _optimized(q["counterparty_balance"](spark, SF))
+    assert "might_contain" in text and "xxhash64(l_suppkey" in text
+    # subject buys: nation-3 customer keys filter orders
+    assert "xxhash64(o_custkey" in text
+    # early final orders filter lineitem (member set), urgent orders filter lineitem (repeats)
+    assert "xxhash64(l_orderkey" in _optimized(q["member_set"](spark, SF))
+    assert "xxhash64(l_orderkey" in _optimized(q["repeat_in_group_enriched"](spark, SF))
