@@ -98,3 +98,20 @@ def test_selective_dimensions_prune_lineitem_before_shuffle(spark, at_scale):
     # early final orders filter lineitem (member set), urgent orders filter lineitem (repeats)
     assert "xxhash64(l_orderkey" in _optimized(q["member_set"](spark, SF))
     assert "xxhash64(l_orderkey" in _optimized(q["repeat_in_group_enriched"](spark, SF))
+
+
+def test_top_n_and_mode_share_the_order_count(spark):
+    """Both halves of period_top_n_with_mode count orders per (year, customer);
+    the final adaptive plan must run that shuffle once and reuse it."""
+    df = entry.queries()["period_top_n_with_mode"](spark, SF)
+    df.collect()
+    final = plan(df)
+    assert "isFinalPlan=true" in final
+    assert "ReusedExchange [_groupingexpression" in final
+
+
+def test_gap_range_exchange_is_shared(spark):
+    df = entry.queries()["event_gaps"](spark, SF)
+    df.collect()
+    final = plan(df)
+    assert "ReusedExchange" in final and "rangepartitioning(user_id" in final

@@ -91,9 +91,10 @@ def mode_per_group(
 
     ``ties="named"`` takes the first tied value by name (nulls sort first, and
     a null winner gives an empty string). ``ties="all"`` joins every tied
-    non-null value, sorted, with ``sep``. Counting is a partial + final
-    aggregate; the rank-1 filter becomes a WindowGroupLimit, so only tied
-    winners reach the final per-group step.
+    non-null value, sorted, with ``sep``. ``weight`` names a column of
+    partial counts to sum instead of counting rows. Counting is a partial +
+    final aggregate; the rank-1 filter becomes a WindowGroupLimit, so only
+    tied winners reach the final per-group step.
     """
     if ties not in _MODE_TIES:
         raise ValueError(f"ties must be one of {_MODE_TIES}")
