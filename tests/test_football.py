@@ -190,3 +190,23 @@ def test_q4_open_end_option(results):
         ("Peru", None, D(2000, 1, 1), "Ecuador", D(1986, 2, 2), 5081),
         ("Chile", None, D(2000, 1, 1), "Peru", D(1990, 1, 1), 3652),
     ]
+
+
+def test_save_all_writes_one_csv_per_question(spark, results, goals):
+    import glob
+    import os
+
+    from vsframe import shared_dir
+    from vsframe.sources import read_typed_csv
+
+    out = shared_dir(spark, "football-out")
+    paths = fb.save_all(results, goals, out)
+    assert [p.rsplit("/", 1)[1] for p in paths] == list(fb.OUTPUT_NAMES)
+    q1 = read_typed_csv(spark, paths[0], {"Gol razlika": "bigint"})
+    assert q1.columns == ["Protivnik", "Gol razlika", "Najbolja / Najgora"]
+    assert sorted(tuple(r) for r in q1.collect()) == [("Albania", 3, "Najbolja"), ("Croatia", -2, "Najgora")]
+    q4 = read_typed_csv(spark, paths[3], {"Period-dana": "int"})
+    assert q4.count() == len(EXPECTED_Q4)
+    local = paths[0].replace("file:", "")
+    if os.path.isdir(local):
+        assert len(glob.glob(os.path.join(local, "part-*.csv"))) == 1

@@ -180,3 +180,61 @@ def longest_unbeaten(
         F.col("prev_date").alias("Prethodni poraz datum"),
         F.col("gap_days").alias("Period-dana"),
     )
+
+
+# Result folder names, one per question.
+OUTPUT_NAMES = ("q1_serbia_best_worst", "q2_euro_hat_tricks", "q3_wc_top_scorers", "q4_longest_unbeaten")
+
+
+def answer_all(results: DataFrame, goals: DataFrame) -> dict[str, DataFrame]:
+    """The four questions with their default parameters, keyed by result folder name."""
+    return dict(
+        zip(
+            OUTPUT_NAMES,
+            (
+                best_worst_opponent(results),
+                hat_tricks(results, goals),
+                top_scorers(results, goals),
+                longest_unbeaten(results),
+            ),
+        )
+    )
+
+
+def save_all(results: DataFrame, goals: DataFrame, out_dir: str) -> list[str]:
+    """Write each answer as one headed CSV file under ``out_dir/<name>``.
+
+    The answers are small (2, a few, tens and 20 rows), so one writer task
+    each is right; the work before the final coalesce stays distributed.
+    """
+    from vsframe.sources import write_csv
+
+    paths = []
+    for name, df in answer_all(results, goals).items():
+        path = f"{out_dir.rstrip('/')}/{name}"
+        write_csv(df, path, single_file=True)
+        paths.append(path)
+    return paths
+
+
+def main(argv: list[str] | None = None) -> None:
+    """``python -m vsframe.plans.football --results R --goals G --out DIR``."""
+    import argparse
+
+    from vsframe.session import RECOMMENDED_CONF
+
+    parser = argparse.ArgumentParser(description="Answer the four football questions with Spark.")
+    parser.add_argument("--results", required=True, help="matches CSV")
+    parser.add_argument("--goals", required=True, help="goal scorers CSV")
+    parser.add_argument("--out", required=True, help="output folder (one sub-folder per question)")
+    args = parser.parse_args(argv)
+    builder = SparkSession.builder.appName("vsframe-football")
+    for key, value in RECOMMENDED_CONF.items():
+        builder = builder.config(key, value)
+    spark = builder.getOrCreate()
+    for path in save_all(load_results(spark, args.results), load_goalscorers(spark, args.goals), args.out):
+        print(path)
+
+
+if __name__ == "__main__":
+    main()
