@@ -1,0 +1,132 @@
+"""The four questions against independent DuckDB SQL on random scenarios.
+
+Hypothesis draws small match / goal histories with the awkward cases (null
+and ``NA`` scores and dates, case variants of tournament names, duplicated
+matches, null teams and scorers, same-day games); both engines read the same
+CSV files and must return the same rows.
+"""
+
+import csv
+import datetime as dt
+import os
+
+import duckdb
+import pytest
+from hypothesis import HealthCheck, Phase, given, settings
+from hypothesis import strategies as st
+
+from vsframe.plans import football as fb
+
+TEAMS = ["Serbia", "Chile", "Peru", "Italy", "Spain", None]
+TOURNAMENTS = ["FIFA World Cup", "fifa world cup", "World Cup", "UEFA Euro", "uefa euro",
+               "UEFA Euro qualification", "Friendly"]
+COUNTRIES = ["Italy", "Spain", "Chile", None]
+SCORERS = ["Ana", "Bo", "Cy", None]
+DATES = [dt.date(1979, 12, 30) + dt.timedelta(days=d) for d in (0, 2, 3, 400, 4000, 4001, 9000)] + [
+    dt.date(1990, 6, 1), dt.date(1994, 6, 1), dt.date(1998, 6, 1)]
+
+score = st.one_of(st.integers(0, 4).map(str), st.just("NA"), st.just(""))
+date = st.one_of(st.sampled_from(DATES).map(str), st.just("NA"))
+match = st.tuples(date, st.sampled_from(TEAMS), st.sampled_from(TEAMS), score, score,
+                  st.sampled_from(TOURNAMENTS), st.sampled_from(COUNTRIES))
+
+
+def _write(path, header, rows):
+    with open(path, "w", newline="", encoding="utf-8") as f:
+        w = csv.writer(f)
+        w.writerow(header)
+        w.writerows(["" if v is None else v for v in r] for r in rows)
+
+
+# Raw text lands in tables first: DuckDB would otherwise push the casts into
+# its CSV reader, where a malformed value is an error instead of a null.
+RESULTS = """
+CREATE OR REPLACE TABLE raw_r AS SELECT * FROM read_csv('{p}', header = true, all_varchar = true);
+CREATE OR REPLACE TABLE raw_g AS SELECT * FROM read_csv('{q}', header = true, all_varchar = true);
+CREATE OR REPLACE VIEW r AS SELECT TRY_CAST(date AS DATE) AS date, home_team, away_team,
+  TRY_CAST(home_score AS INTEGER) AS hs, TRY_CAST(away_score AS INTEGER) AS aws, tournament, country
+FROM raw_r;
+CREATE OR REPLACE VIEW g AS SELECT TRY_CAST(date AS DATE) AS date, home_team, away_team, team, scorer
+FROM raw_g;
+"""
+
+Q1 = """
+WITH b AS (
+  SELECT CASE WHEN home_team = 'Serbia' THEN away_team ELSE home_team END AS opp,
+         SUM(CASE WHEN home_team = 'Serbia' THEN hs - aws ELSE aws - hs END) AS gd
+  FROM r WHERE home_team = 'Serbia' OR away_team = 'Serbia' GROUP BY 1)
+SELECT * FROM (SELECT opp, gd, 'Najbolja' FROM b WHERE gd IS NOT NULL ORDER BY gd DESC, opp NULLS LAST LIMIT 1)
+UNION ALL
+SELECT * FROM (SELECT opp, gd, 'Najgora' FROM b WHERE gd IS NOT NULL ORDER BY gd ASC, opp NULLS LAST LIMIT 1)
+"""
+
+Q2 = """
+WITH h AS (SELECT date, home_team, away_team, scorer, COUNT(*) AS n FROM g GROUP BY ALL HAVING COUNT(*) >= 3),
+m AS (SELECT * FROM r WHERE lower(tournament) IN ('uefa euro', 'uefa european championship', 'european championship'))
+SELECT h.date, h.home_team, h.away_team, concat_ws(':', m.hs, m.aws), h.scorer, h.n, m.tournament, m.country
+FROM h JOIN m ON h.date = m.date AND h.home_team = m.home_team AND h.away_team = m.away_team
+"""
+
+Q3 = """
+WITH wc AS (SELECT *, CAST(year(date) AS INTEGER) AS yr FROM r
+            WHERE lower(tournament) IN ('fifa world cup', 'world cup') AND year(date) >= 1990),
+hc AS (SELECT yr, country, COUNT(*) AS n FROM wc GROUP BY ALL),
+host AS (SELECT yr, COALESCE(max(country), '') AS country FROM (
+           SELECT *, dense_rank() OVER (PARTITION BY yr ORDER BY n DESC, country ASC NULLS FIRST) AS rk FROM hc)
+         WHERE rk = 1 GROUP BY yr),
+gl AS (SELECT wc.yr, g.scorer, g.team, COUNT(*) AS goals FROM g
+       JOIN wc ON g.date = wc.date AND g.home_team = wc.home_team AND g.away_team = wc.away_team GROUP BY ALL),
+rk AS (SELECT *, CAST(dense_rank() OVER (PARTITION BY yr ORDER BY goals DESC, scorer ASC NULLS FIRST) AS INTEGER) AS rnk
+       FROM gl)
+SELECT rk.scorer, rk.team, rk.goals, rk.rnk, rk.yr, 'FIFA World Cup', host.country
+FROM rk LEFT JOIN host ON rk.yr = host.yr WHERE rnk <= 2
+"""
+
+Q4 = """
+WITH members AS (SELECT home_team AS team FROM r WHERE tournament = 'FIFA World Cup'
+                 UNION SELECT away_team FROM r WHERE tournament = 'FIFA World Cup'),
+long AS (SELECT date, home_team AS team, away_team AS opp, hs AS gf, aws AS ga FROM r
+         UNION ALL SELECT date, away_team, home_team, aws, hs FROM r),
+loss AS (SELECT team, opp, date FROM long
+         WHERE date >= DATE '1980-01-01' AND ga > gf AND team IN (SELECT team FROM members)),
+lg AS (SELECT *, lag(date) OVER w AS pdate, lag(opp) OVER w AS popp FROM loss
+       WINDOW w AS (PARTITION BY team ORDER BY date ASC NULLS FIRST, opp ASC NULLS FIRST))
+SELECT team, opp, date, popp, pdate, CAST(date_diff('day', pdate, date) AS INTEGER) AS days FROM lg
+WHERE pdate IS NOT NULL
+ORDER BY days DESC, team ASC NULLS FIRST, date ASC NULLS FIRST, opp ASC NULLS FIRST,
+         pdate ASC NULLS FIRST, popp ASC NULLS FIRST LIMIT 20
+"""
+
+
+def _bag(rows):
+    return sorted((tuple(r) for r in rows), key=repr)
+
+
+# VSFRAME_EXAMPLES raises the number of random scenarios for a deeper run.
+@settings(max_examples=int(os.environ.get("VSFRAME_EXAMPLES", "10")), deadline=None, suppress_health_check=list(HealthCheck),
+          phases=[Phase.explicit, Phase.reuse, Phase.generate])
+@given(
+    matches=st.lists(match, min_size=1, max_size=40),
+    picks=st.lists(st.tuples(st.integers(0, 39), st.sampled_from(SCORERS), st.booleans()), max_size=60),
+)
+def test_four_questions_match_duckdb(spark, tmp_path_factory, matches, picks):
+    folder = tmp_path_factory.mktemp("football")
+    results_csv, goals_csv = str(folder / "results.csv"), str(folder / "goals.csv")
+    _write(results_csv, ["date", "home_team", "away_team", "home_score", "away_score", "tournament", "country",
+                         "neutral"], [(*m, "TRUE") for m in matches])
+    goals = []
+    for i, scorer, home_side in picks:
+        d, h, a = matches[i % len(matches)][:3]
+        goals.append((d, h, a, h if home_side else a, scorer, "10"))
+    _write(goals_csv, ["date", "home_team", "away_team", "team", "scorer", "minute"], goals)
+
+    results = fb.load_results(spark, results_csv)
+    scorers = fb.load_goalscorers(spark, goals_csv)
+    con = duckdb.connect()
+    con.execute(RESULTS.format(p=results_csv, q=goals_csv))
+
+    assert _bag(fb.best_worst_opponent(results).collect()) == _bag(con.sql(Q1).fetchall())
+    assert _bag(fb.hat_tricks(results, scorers).collect()) == _bag(con.sql(Q2).fetchall())
+    assert _bag(fb.top_scorers(results, scorers).collect()) == _bag(con.sql(Q3).fetchall())
+    got_q4 = [tuple(r) for r in fb.longest_unbeaten(results).collect()]
+    assert got_q4 == [tuple(r) for r in con.sql(Q4).fetchall()]

@@ -147,7 +147,9 @@ def longest_unbeaten(
 
     Spans are calendar days between two losses dated on or after ``since``;
     members are teams that played any match whose tournament equals
-    ``member_tournament`` exactly. Same-day losses are ordered by opponent.
+    ``member_tournament`` exactly. Same-day losses are ordered by opponent;
+    the cut at ``n`` follows (days desc, team, date, opponent, previous date,
+    previous opponent), a total order up to identical rows.
     ``open_end`` also counts each team's run still unbeaten at that date (its
     row has a null loss opponent).
     """
@@ -171,7 +173,9 @@ def longest_unbeaten(
         open_end=open_end,
         strategy=strategy,
     )
-    top = longest_gaps(gaps, n=n, order=["team", "date", "opponent"], entity="team", per_entity=per_entity)
+    top = longest_gaps(
+        gaps, n=n, order=["team", "date", "opponent", "prev_date", "prev_opponent"], entity="team", per_entity=per_entity
+    )
     return top.select(
         F.col("team").alias("Reprezentacija"),
         F.col("opponent").alias("Poraz od"),
