@@ -126,3 +126,28 @@ def test_gaps_telescope_to_span(spark, seed, n, parts):
         ).where("k > 1").collect()
     }
     assert total == span
+
+
+def test_hot_third_is_spread_over_partitions(spark):
+    """One user with a third of all events: the range exchange used by the gap
+    operator keeps every partition near the average size, and the answer
+    still equals the per-user window's."""
+    n, parts = 30_000, 12
+    df = spark.range(n).select(
+        F.when(F.col("id") % 3 == 0, F.lit(0)).otherwise(F.col("id") % 500 + 1).alias("entity"),
+        (F.lit(dt.date(2020, 1, 1)) + (F.col("id") % 700).cast("int")).alias("day"),
+        F.col("id").cast("int").alias("seq"),
+        F.col("id").alias("val"),
+        F.lit("loss").alias("kind"),
+    )
+    sizes = [
+        r["n"]
+        for r in df.repartitionByRange(parts, "entity", "day", "seq")
+        .groupBy(F.spark_partition_id().alias("p"))
+        .agg(F.count(F.lit(1)).alias("n"))
+        .collect()
+    ]
+    assert max(sizes) < 2 * n / parts  # the hot user alone would be n / 3
+    got = _gaps(df, "range", parts)
+    assert got.count() == n - 501
+    assert got.exceptAll(_gaps(df, "window")).count() == 0
