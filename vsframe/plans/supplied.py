@@ -66,7 +66,7 @@ def _ts(text: str):
 # -- two-sided fact: balance against each counterparty ------------------------
 
 def either_side_filter(spark: SparkSession, d: str) -> DataFrame:
-    trade = nation_trade(Tables(spark, d), involving=SUBJECT_NATION)
+    trade = nation_trade(Tables(spark, d))
     return (
         either_side(trade, "seller_nation", "buyer_nation", SUBJECT_NATION)
         .groupBy("seller_nation", "buyer_nation")
@@ -76,7 +76,7 @@ def either_side_filter(spark: SparkSession, d: str) -> DataFrame:
 
 def _balance(t: Tables) -> DataFrame:
     return net_by_counterparty(
-        nation_trade(t, involving=SUBJECT_NATION),
+        nation_trade(t),
         SUBJECT_NATION,
         "seller_nation",
         "buyer_nation",

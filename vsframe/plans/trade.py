@@ -12,13 +12,11 @@ before the supplier join, so the shuffle towards the supplier key carries at
 most one row per group per map task instead of one row per line, and a hot
 supplier collapses before it moves.
 
-With ``involving`` (a subject nation) the fact is OR-expanded into two
-disjoint branches, subject sells / subject buys. ``seller = s OR buyer = s``
-spans two dimension tables and cannot be pushed into any scan; each branch's
-single equality is pushed into the supplier or customer scan, and the
-filtered dimension is joined to lineitem first, so Spark can cut lineitem
-before its big shuffle (broadcast when the filtered side is small, a runtime
-bloom filter on the join key when it is large).
+A subject filter such as ``seller = s OR buyer = s`` is applied by the
+consumer after the supplier join. Splitting it into two disjoint branches
+(s sells / s buys) was tried and dropped: the "buys" branch still needs every
+line keyed by order, so lineitem is shuffled in full either way, and the
+"sells" branch adds a second orders-customer join. One pass is cheaper.
 """
 
 from __future__ import annotations
@@ -40,18 +38,12 @@ def _orders(t: Tables, order_cols, order_where) -> tuple[DataFrame, list[str]]:
     return orders, [c for c in orders.columns if c not in ("o_orderkey", "o_custkey")]
 
 
-def _customers(t: Tables, nation: int | None = None) -> DataFrame:
-    c = t.customer
-    if nation is not None:
-        c = c.where(F.col("c_nationkey") == F.lit(nation))
-    return c.select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("buyer_nation"))
+def _customers(t: Tables) -> DataFrame:
+    return t.customer.select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("buyer_nation"))
 
 
-def _sellers(t: Tables, nation: int | None = None) -> DataFrame:
-    s = t.supplier
-    if nation is not None:
-        s = s.where(F.col("s_nationkey") == F.lit(nation))
-    return s.select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").alias("seller_nation"))
+def _sellers(t: Tables) -> DataFrame:
+    return t.supplier.select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").alias("seller_nation"))
 
 
 def _lines(t: Tables) -> DataFrame:
@@ -62,50 +54,32 @@ def _lines(t: Tables) -> DataFrame:
     )
 
 
-def _sum_lines(df: DataFrame, keys) -> DataFrame:
-    return df.groupBy(*keys).agg(F.sum("qty").alias("quantity"), F.count(F.lit(1)).alias("n_lines"))
-
-
-def _via_buyers(t: Tables, orders: DataFrame, carried, buyer_nation=None, exclude_seller=None) -> DataFrame:
-    """Lines joined to their buyer first, summed per supplier, then to the seller."""
-    buyers = orders.join(_customers(t, buyer_nation), on="o_custkey").drop("o_custkey")
-    per_supplier = _sum_lines(_lines(t).join(buyers, on="o_orderkey"), ["l_suppkey", "buyer_nation", *carried])
-    out = per_supplier.join(_sellers(t), on="l_suppkey").where(F.col("seller_nation") != F.col("buyer_nation"))
-    if exclude_seller is not None:
-        out = out.where(F.col("seller_nation") != F.lit(exclude_seller))
-    return out.select("seller_nation", "buyer_nation", *carried, "quantity", "n_lines")
-
-
-def _via_sellers(t: Tables, orders: DataFrame, carried, seller_nation: int) -> DataFrame:
-    """Lines of one seller nation joined to that filtered supplier set first."""
-    sold = _lines(t).join(_sellers(t, seller_nation), on="l_suppkey")
-    buyers = orders.join(_customers(t), on="o_custkey").drop("o_custkey")
-    out = _sum_lines(sold.join(buyers, on="o_orderkey"), ["seller_nation", "buyer_nation", *carried])
-    return out.where(F.col("buyer_nation") != F.lit(seller_nation)).select(
-        "seller_nation", "buyer_nation", *carried, "quantity", "n_lines"
-    )
-
-
 def nation_trade(
     t: Tables,
     order_cols: Sequence[str | Column] = (),
     order_where: Column | None = None,
-    involving: int | None = None,
 ) -> DataFrame:
     """(seller_nation, buyer_nation, *order_cols, quantity bigint, n_lines bigint).
 
     Rows are partial sums (several rows may share a nation pair); consumers sum
     ``quantity`` and ``n_lines``. ``order_cols`` are columns or named
     expressions over ``orders`` carried into the grain; ``order_where``
-    filters orders (pushed into their scan). ``involving`` keeps only trade
-    with that nation on one side.
+    filters orders (pushed into their scan, and at scale into lineitem through
+    a runtime bloom filter on the order key).
     """
     orders, carried = _orders(t, order_cols, order_where)
-    if involving is None:
-        return _via_buyers(t, orders, carried)
-    sells = _via_sellers(t, orders, carried, involving)
-    buys = _via_buyers(t, orders, carried, buyer_nation=involving, exclude_seller=involving)
-    return sells.unionByName(buys)
+    buyers = orders.join(_customers(t), on="o_custkey").drop("o_custkey")
+    per_supplier = (
+        _lines(t)
+        .join(buyers, on="o_orderkey")
+        .groupBy("l_suppkey", "buyer_nation", *carried)
+        .agg(F.sum("qty").alias("quantity"), F.count(F.lit(1)).alias("n_lines"))
+    )
+    return (
+        per_supplier.join(_sellers(t), on="l_suppkey")
+        .where(F.col("seller_nation") != F.col("buyer_nation"))
+        .select("seller_nation", "buyer_nation", *carried, "quantity", "n_lines")
+    )
 
 
 # Oracle-side definition of the same fact at line grain (DuckDB SQL).
