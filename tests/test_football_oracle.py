@@ -11,7 +11,6 @@ import datetime as dt
 import os
 
 import duckdb
-import pytest
 from hypothesis import HealthCheck, Phase, given, settings
 from hypothesis import strategies as st
 
