@@ -178,3 +178,22 @@ def test_apply_types_lenient_and_idempotent(spark):
     ]
     # typing an already-typed column is a no-op (the reference re-applies to_date)
     assert [tuple(r) for r in apply_types(typed, {"d": "date"}).collect()] == [tuple(r) for r in typed.collect()]
+
+
+def test_empty_inputs_give_empty_results(spark):
+    from vsframe import event_gaps, longest_gaps
+
+    ev = spark.createDataFrame([], "entity string, day date, seq int, val bigint")
+    for strategy in ("range", "window"):
+        gaps = event_gaps(ev, "entity", "day", order=["seq"], carry=["val"], strategy=strategy)
+        assert gaps.collect() == []
+        assert gaps.columns == ["entity", "day", "seq", "val", "prev_day", "prev_val", "gap_days"]
+        assert longest_gaps(gaps, n=5, order=["entity"]).collect() == []
+        assert longest_gaps(gaps, n=None, per_entity=True, entity="entity").collect() == []
+    counts = spark.createDataFrame([], "y int, name string, goals bigint")
+    assert top_n_per_group(counts, ["y"], "goals", "name").collect() == []
+    assert mode_per_group(counts, ["y"], "name").collect() == []
+    assert member_set(counts, ["name"]).collect() == []
+    matches = spark.createDataFrame([], MATCH)
+    assert net_by_counterparty(matches, "S", "a", "b", "sa", "sb").collect() == []
+    assert repeated_in_group(matches, ["a"]).collect() == []
