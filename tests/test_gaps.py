@@ -151,3 +151,28 @@ def test_hot_third_is_spread_over_partitions(spark):
     got = _gaps(df, "range", parts)
     assert got.count() == n - 501
     assert got.exceptAll(_gaps(df, "window")).count() == 0
+
+
+@settings(max_examples=6, deadline=None, suppress_health_check=list(HealthCheck))
+@given(seed=st.integers(0, 10_000), n=st.integers(0, 50), copies=st.integers(1, 40), parts=st.integers(1, 5))
+def test_collapse_copies_is_exact(spark, seed, n, copies, parts):
+    rows = _events(seed, n, 0.3)
+    hot = ("hot", dt.date(2020, 1, 10), 7, 1, "loss")
+    df = spark.createDataFrame(rows + [hot] * copies, SCHEMA)
+    want = _sorted(_gaps(df, "window"))
+    for strategy in ("range", "window"):
+        got = event_gaps(
+            df, "entity", "day", order=["seq"], carry=["val", "seq"], event=F.col("kind") == "loss",
+            strategy=strategy, partitions=parts, collapse_copies=True,
+        )
+        assert _sorted(got) == want
+
+
+def test_collapse_copies_counts_before_the_shuffle(spark):
+    df = spark.createDataFrame([("hot", dt.date(2020, 1, 1), 1, 1, "loss")] * 500, SCHEMA)
+    got = event_gaps(df, "entity", "day", order=["seq"], collapse_copies=True, partitions=4)
+    assert got.count() == 499 and got.where("gap_days != 0").count() == 0
+    text = got._jdf.queryExecution().executedPlan().toString()
+    assert "partial_count" in text
+    head, _, tail = text.partition("rangepartitioning")
+    assert "partial_count" in tail  # the copy count is taken below the range exchange

@@ -31,6 +31,7 @@ from pyspark.sql import types as T
 _PID = "_vs_pid"
 _HEAD = "_vs_head"
 _LAST = "_vs_last"
+_COPIES = "_vs_copies"
 _STRATEGIES = ("range", "window")
 
 
@@ -149,6 +150,7 @@ def event_gaps(
     open_end: str | None = None,
     strategy: str = "range",
     partitions: int | None = None,
+    collapse_copies: bool = False,
 ) -> DataFrame:
     """Each event with the previous event of the same entity and the days between.
 
@@ -167,6 +169,14 @@ def event_gaps(
     from a ``max_by`` aggregate with map-side partial steps, so a hot entity is
     reduced before it is shuffled.
 
+    ``collapse_copies`` is for inputs where one row may be repeated very many
+    times: identical copies share every sort key, so no partitioner can split
+    them. They are first counted by an aggregate whose map-side partial step
+    leaves at most one row per copy group per task, the distinct rows are
+    lagged, and the copies are restored exactly (each extra copy follows the
+    previous identical one, zero days later). It costs one extra shuffle of
+    the distinct rows, so it is off by default.
+
     Output columns: entity, time, order..., carry..., prev_time, prev_carry...,
     gap_col.
     """
@@ -182,10 +192,19 @@ def event_gaps(
     if event is not None:
         src = src.where(event)
     src = src.select(*dict.fromkeys([*keys, *carry]))
+    base = src.groupBy(*src.columns).agg(F.count(F.lit(1)).alias(_COPIES)) if collapse_copies else src
     if strategy == "range":
-        lagged_df = _lag_by_range(src, entity, keys, lagged, out_names, partitions)
+        lagged_df = _lag_by_range(base, entity, keys, lagged, out_names, partitions)
     else:
-        lagged_df = _lag_by_window(src, entity, keys, lagged, out_names)
+        lagged_df = _lag_by_window(base, entity, keys, lagged, out_names)
+    if collapse_copies:
+        # copy 1 keeps the computed predecessor; copies 2..k follow their twin
+        extra = lagged_df.where(F.col(_COPIES) > 1).select(
+            *src.columns,
+            *[F.col(c).alias(o) for c, o in zip(lagged, out_names)],
+            F.explode(F.sequence(F.lit(2).cast("bigint"), F.col(_COPIES))).alias("_vs_copy"),
+        )
+        lagged_df = lagged_df.drop(_COPIES).unionByName(extra.drop("_vs_copy"))
     prev_time = f"{prev_prefix}{time}"
     if closed_only:
         lagged_df = lagged_df.where(F.col(prev_time).isNotNull())
