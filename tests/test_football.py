@@ -146,9 +146,9 @@ EXPECTED_Q4 = [
 ]
 
 
-@pytest.mark.parametrize("strategy", ["range", "window"])
-def test_q4_longest_unbeaten(results, strategy):
-    out = fb.longest_unbeaten(results, strategy=strategy)
+@pytest.mark.parametrize("strategy,collapse", [("range", False), ("window", False), ("range", True)])
+def test_q4_longest_unbeaten(results, strategy, collapse):
+    out = fb.longest_unbeaten(results, strategy=strategy, collapse_copies=collapse)
     assert out.columns == [
         "Reprezentacija", "Poraz od", "Poraz datum", "Prethodni poraz od", "Prethodni poraz datum", "Period-dana",
     ]

@@ -142,6 +142,7 @@ def longest_unbeaten(
     per_entity: bool = False,
     open_end: str | None = None,
     strategy: str = "range",
+    collapse_copies: bool = False,
 ) -> DataFrame:
     """Q4: the ``n`` longest spans between consecutive losses of a World Cup team.
 
@@ -151,7 +152,8 @@ def longest_unbeaten(
     the cut at ``n`` follows (days desc, team, date, opponent, previous date,
     previous opponent), a total order up to identical rows.
     ``open_end`` also counts each team's run still unbeaten at that date (its
-    row has a null loss opponent).
+    row has a null loss opponent). ``collapse_copies`` handles heavily
+    duplicated match rows without a hot partition (see ``event_gaps``).
     """
     members = member_set(
         results, ["home_team", "away_team"], name="team", where=F.col("tournament") == F.lit(member_tournament)
@@ -172,6 +174,7 @@ def longest_unbeaten(
         since=period_predicate("date", T.DateType(), from_date=since),
         open_end=open_end,
         strategy=strategy,
+        collapse_copies=collapse_copies,
     )
     top = longest_gaps(
         gaps, n=n, order=["team", "date", "opponent", "prev_date", "prev_opponent"], entity="team", per_entity=per_entity
