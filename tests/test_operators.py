@@ -197,3 +197,13 @@ def test_empty_inputs_give_empty_results(spark):
     matches = spark.createDataFrame([], MATCH)
     assert net_by_counterparty(matches, "S", "a", "b", "sa", "sb").collect() == []
     assert repeated_in_group(matches, ["a"]).collect() == []
+
+
+def test_lenient_timestamps(spark):
+    from vsframe import lenient
+
+    df = spark.createDataFrame([("2024-01-02 03:04:05",), ("nope",)], "s string")
+    out = df.select(lenient("s", "timestamp_ntz").alias("ntz"), lenient("s", "timestamp").alias("ltz"))
+    assert out.dtypes == [("ntz", "timestamp_ntz"), ("ltz", "timestamp")]
+    rows_ = out.collect()
+    assert rows_[0]["ntz"] == dt.datetime(2024, 1, 2, 3, 4, 5) and rows_[1]["ntz"] is None and rows_[1]["ltz"] is None

@@ -55,8 +55,10 @@ def lenient(c: str | Column, type_name: str) -> Column:
     col = as_column(c)
     if type_name == "date":
         return F.try_to_date(col)
-    if type_name in ("timestamp", "timestamp_ntz"):
+    if type_name == "timestamp":
         return F.try_to_timestamp(col)
+    if type_name == "timestamp_ntz":
+        return col.try_cast(T.TimestampNTZType())
     if type_name not in _LENIENT_TYPES:
         raise ValueError(f"unsupported lenient type {type_name!r}")
     return col.try_cast(_LENIENT_TYPES[type_name])

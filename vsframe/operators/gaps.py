@@ -111,6 +111,7 @@ def _lag_by_range(
     last = ranged.groupBy(_PID).agg(
         F.max_by(F.struct(*[F.col(c) for c in [entity, *lagged]]), F.struct(*[F.col(k) for k in keys])).alias(_LAST)
     )
+    # An unpartitioned window, on purpose: its input is one row per partition.
     handoff = last.select(
         F.lead(_PID).over(Window.orderBy(_PID)).alias(_PID), _LAST
     ).where(F.col(_PID).isNotNull())
