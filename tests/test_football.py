@@ -207,6 +207,7 @@ def test_save_all_writes_one_csv_per_question(spark, results, goals):
     assert sorted(tuple(r) for r in q1.collect()) == [("Albania", 3, "Najbolja"), ("Croatia", -2, "Najgora")]
     q4 = read_typed_csv(spark, paths[3], {"Period-dana": "int"})
     assert q4.count() == len(EXPECTED_Q4)
+    assert read_typed_csv(spark, paths[1]).count() == 8  # hat-tricks: ordered part files
     local = paths[0].replace("file:", "")
     if os.path.isdir(local):
         assert len(glob.glob(os.path.join(local, "part-*.csv"))) == 1

@@ -208,18 +208,20 @@ def answer_all(results: DataFrame, goals: DataFrame) -> dict[str, DataFrame]:
     )
 
 
-def save_all(results: DataFrame, goals: DataFrame, out_dir: str) -> list[str]:
-    """Write each answer as one headed CSV file under ``out_dir/<name>``.
+# Answers whose size is bounded by construction (2 rows; n per year; top n),
+# written as a single file. The hat-trick list grows with the data, so it is
+# written by all tasks as ordered part files instead of through one writer.
+_SINGLE_FILE = {"q1_serbia_best_worst", "q3_wc_top_scorers", "q4_longest_unbeaten"}
 
-    The answers are small (2, a few, tens and 20 rows), so one writer task
-    each is right; the work before the final coalesce stays distributed.
-    """
+
+def save_all(results: DataFrame, goals: DataFrame, out_dir: str) -> list[str]:
+    """Write each answer as headed CSV under ``out_dir/<name>``."""
     from vsframe.sources import write_csv
 
     paths = []
     for name, df in answer_all(results, goals).items():
         path = f"{out_dir.rstrip('/')}/{name}"
-        write_csv(df, path, single_file=True)
+        write_csv(df, path, single_file=name in _SINGLE_FILE)
         paths.append(path)
     return paths
 
