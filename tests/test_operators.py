@@ -207,3 +207,24 @@ def test_lenient_timestamps(spark):
     assert out.dtypes == [("ntz", "timestamp_ntz"), ("ltz", "timestamp")]
     rows_ = out.collect()
     assert rows_[0]["ntz"] == dt.datetime(2024, 1, 2, 3, 4, 5) and rows_[1]["ntz"] is None and rows_[1]["ltz"] is None
+
+
+def test_restrict_with_hot_key_salting_is_exact_and_spreads(spark):
+    import random
+
+    rnd = random.Random(7)
+    keys = ["hot"] * 600 + [rnd.choice(["a", "b", "c", "d", None]) for _ in range(300)]
+    facts = spark.createDataFrame([(k, i % 5) for i, k in enumerate(keys)] + [("hot", 1)] * 50, "team string, v int")
+    members = spark.createDataFrame([("hot",), ("a",), ("c",), (None,), ("a",)], "team string")
+    plain = rows(restrict_to_members(facts, members, "team"))
+    salted_df = restrict_to_members(facts, members, "team", hot_keys=2, salts=8)
+    assert rows(salted_df) == plain and salted_df.columns == facts.columns
+    # the hot key's rows are spread over the salts, not held by one task
+    coalesce = "spark.sql.adaptive.coalescePartitions.enabled"
+    old = spark.conf.get(coalesce)
+    spark.conf.set(coalesce, "false")
+    try:
+        per_task = salted_df.where("team = 'hot'").groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        spark.conf.set(coalesce, old)
+    assert max(r["count"] for r in per_task) < 650 / 2

@@ -27,21 +27,54 @@ def member_set(
     return src.select(value.alias(name)).distinct()
 
 
+_HOT = "_vs_hot"
+_SALT = "_vs_salt"
+
+
 def restrict_to_members(
     df: DataFrame,
     members: DataFrame,
     key: str,
     *,
     member_key: str | None = None,
+    hot_keys: int = 0,
+    salts: int = 32,
 ) -> DataFrame:
     """Rows of ``df`` whose ``key`` is a member: a left-semi join.
 
-    Same rows as an inner join to a distinct set, without widening the row or
-    needing the set to be distinct. Null keys never match. No broadcast hint:
-    the member set can grow with the data, so its size is checked by Spark
-    (planner estimate, then AQE with the measured size once its stage has run)
-    and it is broadcast only under the threshold; beyond it the join
-    sort-merges, and AQE splits a skewed key of ``df`` across tasks.
+    Same rows as an inner join to a distinct set, without widening the row.
+    Null keys never match. No broadcast hint on the member set: it can grow
+    with the data, so Spark checks its size (planner estimate, then AQE with
+    the measured size) and broadcasts it only under the threshold; beyond
+    that the join sort-merges.
+
+    A sort-merge join sends every row of one key to one task, and AQE cannot
+    split it when the member side comes out of an aggregate (a distinct set):
+    its skew rule needs a bare shuffle on both sides. ``hot_keys=K`` salts the
+    K heaviest keys of ``df`` explicitly. They are found by a count per key
+    and a distributed top-K, so at most K rows are broadcast. Each hot row
+    gets a salt in ``[0, salts)`` from a hash of its partition id and values
+    (deterministic under retries), each hot member is repeated once per salt
+    (at most K * salts extra rows), and the semi join runs on (key, salt): a
+    hot key is spread over ``salts`` tasks, every other key is untouched.
     """
     right = members.select(F.col(member_key or key).alias(key))
-    return df.join(right, on=key, how="left_semi")
+    if hot_keys <= 0:
+        return df.join(right, on=key, how="left_semi")
+
+    hot = (
+        df.groupBy(key)
+        .agg(F.count(F.lit(1)).alias("_vs_rows"))
+        .orderBy(F.col("_vs_rows").desc(), F.col(key))
+        .limit(hot_keys)
+        .select(key, F.lit(True).alias(_HOT))
+    )
+    row_hash = F.xxhash64(F.spark_partition_id(), *[F.col(c) for c in df.columns])
+    left = (
+        df.join(F.broadcast(hot), on=key, how="left")
+        .withColumn(_SALT, F.when(F.col(_HOT), F.pmod(row_hash, F.lit(salts))).otherwise(F.lit(0)).cast("int"))
+        .drop(_HOT)
+    )
+    spread = F.when(F.col(_HOT), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    right = right.join(F.broadcast(hot), on=key, how="left").select(key, F.explode(spread).alias(_SALT))
+    return left.join(right, on=[key, _SALT], how="left_semi").drop(_SALT).select(*df.columns)

@@ -57,6 +57,10 @@ PURCHASE_BEFORE = "2024-01-03"
 GAPS_SINCE = "2024-01-05"
 DEFICIT_SINCE = "1996-01-01"
 LONGEST_N = 20
+# Events are keyed by user, and one user may own a large share of them: the
+# heaviest users are salted across tasks in the membership semi join.
+HOT_USERS = 64
+USER_SALTS = 32
 
 
 def _ts(text: str):
@@ -137,7 +141,8 @@ def _early_purchasers(t: Tables) -> DataFrame:
 def restrict_members(spark: SparkSession, d: str) -> DataFrame:
     t = Tables(spark, d)
     errors = t.events.where(F.col("event_type") == F.lit("error"))
-    return count_per_group(restrict_to_members(errors, _early_purchasers(t), "user_id"), ["user_id"], "n_errors")
+    kept = restrict_to_members(errors, _early_purchasers(t), "user_id", hot_keys=HOT_USERS, salts=USER_SALTS)
+    return count_per_group(kept, ["user_id"], "n_errors")
 
 
 # -- repeats within a group ---------------------------------------------------
@@ -277,7 +282,7 @@ def period_top_n_with_mode(spark: SparkSession, d: str) -> DataFrame:
 def _error_gaps(t: Tables, members: DataFrame | None = None) -> DataFrame:
     events = t.events
     if members is not None:
-        events = restrict_to_members(events, members, "user_id")
+        events = restrict_to_members(events, members, "user_id", hot_keys=HOT_USERS, salts=USER_SALTS)
     gaps = event_gaps(
         events,
         "user_id",
