@@ -146,9 +146,9 @@ EXPECTED_Q4 = [
 ]
 
 
-@pytest.mark.parametrize("strategy,collapse", [("range", False), ("window", False), ("range", True)])
-def test_q4_longest_unbeaten(results, strategy, collapse):
-    out = fb.longest_unbeaten(results, strategy=strategy, collapse_copies=collapse)
+@pytest.mark.parametrize("strategy,collapse,hot", [("range", False, 0), ("window", False, 0), ("range", True, 3)])
+def test_q4_longest_unbeaten(results, strategy, collapse, hot):
+    out = fb.longest_unbeaten(results, strategy=strategy, collapse_copies=collapse, hot_keys=hot)
     assert out.columns == [
         "Reprezentacija", "Poraz od", "Poraz datum", "Prethodni poraz od", "Prethodni poraz datum", "Period-dana",
     ]

@@ -143,6 +143,7 @@ def longest_unbeaten(
     open_end: str | None = None,
     strategy: str = "range",
     collapse_copies: bool = False,
+    hot_keys: int = 0,
 ) -> DataFrame:
     """Q4: the ``n`` longest spans between consecutive losses of a World Cup team.
 
@@ -153,7 +154,9 @@ def longest_unbeaten(
     previous opponent), a total order up to identical rows.
     ``open_end`` also counts each team's run still unbeaten at that date (its
     row has a null loss opponent). ``collapse_copies`` handles heavily
-    duplicated match rows without a hot partition (see ``event_gaps``).
+    duplicated match rows without a hot partition (see ``event_gaps``);
+    ``hot_keys`` salts the busiest teams in the membership join (see
+    ``restrict_to_members``).
     """
     members = member_set(
         results, ["home_team", "away_team"], name="team", where=F.col("tournament") == F.lit(member_tournament)
@@ -165,7 +168,7 @@ def longest_unbeaten(
         {"team": "away_team", "opponent": "home_team", "gf": "away_score", "ga": "home_score"},
     )
     gaps = event_gaps(
-        restrict_to_members(sides, members, "team"),
+        restrict_to_members(sides, members, "team", hot_keys=hot_keys),
         "team",
         "date",
         order=["opponent"],
