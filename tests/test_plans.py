@@ -14,7 +14,13 @@ def plan(df):
 
 @pytest.fixture(scope="module")
 def plans(spark):
-    return {name: plan(fn(spark, SF)) for name, fn in entry.queries().items()}
+    key = "spark.sql.maxMetadataStringLength"  # show full filter lists of scans
+    old = spark.conf.get(key)
+    spark.conf.set(key, "10000")
+    try:
+        return {name: plan(fn(spark, SF)) for name, fn in entry.queries().items()}
+    finally:
+        spark.conf.set(key, old)
 
 
 def test_no_row_at_a_time_python(plans):
@@ -51,6 +57,9 @@ def test_scans_are_pruned_and_pushed(plans):
     assert "((seller_nation" in trade and "= 3) OR (buyer_nation" in trade
     assert "PushedFilters: [IsNotNull(o_orderdate), GreaterThanOrEqual(o_orderdate," in plans["from_period"]
     assert "GreaterThanOrEqual(ts,2024-01-05" in plans["event_gaps"]
+    assert "EqualTo(event_type,error)" in plans["event_gaps"]
+    # only the columns the gap query needs are read (no props)
+    assert "ReadSchema: struct<event_id:bigint,ts:timestamp_ntz,user_id:bigint,event_type:string,value:double>" in plans["longest_gaps_top20"]
 
 
 def test_long_form_scans_once(plans):

@@ -281,17 +281,15 @@ def period_top_n_with_mode(spark: SparkSession, d: str) -> DataFrame:
 
 def _error_gaps(t: Tables, members: DataFrame | None = None) -> DataFrame:
     events = t.events
+    # filter first, so the membership join and its hot-key count see only the
+    # error events since the floor (both pushed into the scan)
+    errors = events.where(
+        (F.col("event_type") == F.lit("error"))
+        & period_predicate("ts", events.schema["ts"].dataType, from_date=GAPS_SINCE)
+    ).select("user_id", "ts", "event_id", "value")
     if members is not None:
-        events = restrict_to_members(events, members, "user_id", hot_keys=HOT_USERS, salts=USER_SALTS)
-    gaps = event_gaps(
-        events,
-        "user_id",
-        "ts",
-        order=["event_id"],
-        carry=["event_id", "value"],
-        event=F.col("event_type") == F.lit("error"),
-        since=period_predicate("ts", events.schema["ts"].dataType, from_date=GAPS_SINCE),
-    )
+        errors = restrict_to_members(errors, members, "user_id", hot_keys=HOT_USERS, salts=USER_SALTS)
+    gaps = event_gaps(errors, "user_id", "ts", order=["event_id"], carry=["event_id", "value"])
     return gaps.select(
         "user_id",
         "event_id",
