@@ -140,7 +140,7 @@ def _early_purchasers(t: Tables) -> DataFrame:
 
 def restrict_members(spark: SparkSession, d: str) -> DataFrame:
     t = Tables(spark, d)
-    errors = t.events.where(F.col("event_type") == F.lit("error"))
+    errors = t.events.where(F.col("event_type") == F.lit("error")).select("user_id", "event_id")
     kept = restrict_to_members(errors, _early_purchasers(t), "user_id", hot_keys=HOT_USERS, salts=USER_SALTS)
     return count_per_group(kept, ["user_id"], "n_errors")
 
