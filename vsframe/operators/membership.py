@@ -57,6 +57,8 @@ def restrict_to_members(
     (deterministic under retries), each hot member is repeated once per salt
     (at most K * salts extra rows), and the semi join runs on (key, salt): a
     hot key is spread over ``salts`` tasks, every other key is untouched.
+    The salt hashes every column of ``df``, so project ``df`` to the columns
+    needed downstream first; the key count reads only ``key``.
     """
     right = members.select(F.col(member_key or key).alias(key))
     if hot_keys <= 0:
