@@ -228,3 +228,16 @@ def test_restrict_with_hot_key_salting_is_exact_and_spreads(spark):
     finally:
         spark.conf.set(coalesce, old)
     assert max(r["count"] for r in per_task) < 650 / 2
+
+
+@settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
+@given(
+    facts=st.lists(st.tuples(st.sampled_from(["h", "a", "b", None]), st.integers(0, 3)), max_size=60),
+    members=st.lists(st.sampled_from(["h", "a", "z", None]), max_size=6),
+    hot=st.integers(1, 3),
+    salts=st.integers(1, 9),
+)
+def test_salted_restrict_equals_plain(spark, facts, members, hot, salts):
+    f = spark.createDataFrame(facts, "k string, v int")
+    m = spark.createDataFrame([(x,) for x in members], "k string")
+    assert rows(restrict_to_members(f, m, "k", hot_keys=hot, salts=salts)) == rows(restrict_to_members(f, m, "k"))
