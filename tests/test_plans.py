@@ -104,14 +104,28 @@ def test_selective_filters_prune_lineitem_before_shuffle(spark, at_scale):
     assert "xxhash64(l_orderkey" in _optimized(q["repeat_in_group_enriched"](spark, SF))
 
 
-def test_top_n_and_mode_share_the_order_count(spark):
-    """Both halves of period_top_n_with_mode count orders per (year, customer);
-    the final adaptive plan must run that shuffle once and reuse it."""
+@pytest.fixture
+def no_broadcast(spark):
+    keys = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    old = {k: spark.conf.get(k, None) for k in keys}
+    for k in keys:
+        spark.conf.set(k, "-1")
+    yield
+    for k, v in old.items():
+        spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_top_n_and_mode_share_the_orders_shuffle(spark, no_broadcast):
+    """Both halves of period_top_n_with_mode join orders (by year) to customers;
+    planned as at scale, the final adaptive plan shuffles those orders once."""
     df = entry.queries()["period_top_n_with_mode"](spark, SF)
     df.collect()
-    final = plan(df)
+    final = plan(df).split("== Initial Plan ==")[0]
     assert "isFinalPlan=true" in final
-    assert "ReusedExchange [_groupingexpression" in final
+    assert "ReusedExchange [o_custkey" in final
+    own = [line for line in final.splitlines() if "ReusedExchange" not in line]
+    # orders shuffled once; customers twice (two different projections)
+    assert sum("hashpartitioning(o_custkey" in line for line in own) == 3
 
 
 def test_gap_range_exchange_is_shared(spark):

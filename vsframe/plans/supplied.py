@@ -205,23 +205,27 @@ def pair_label_query(spark: SparkSession, d: str) -> DataFrame:
 
 # -- top N and mode per period ------------------------------------------------
 
-def _orders_per_customer_year(t: Tables) -> DataFrame:
-    """(order_year, o_custkey, n) counted before the customer join.
-
-    The year is stated non-null (already implied by the period floor) so that
-    the filter Catalyst infers for the right side of a join on ``order_year``
-    adds nothing: both consumers in ``period_top_n_with_mode`` then plan the
-    same subtree and share one exchange instead of counting orders twice.
+def _orders_by_year(t: Tables) -> DataFrame:
+    """(o_custkey, order_year) of the orders since the period floor.
+
+    Joined to customers before counting: orders per (customer, year) are too
+    few for a count ahead of the join to shrink the data, and it would add a
+    second shuffle by customer key. A customer with very many orders is still
+    safe: both join sides are plain shuffles, so AQE splits its partition, and
+    the count that follows combines map-side. The year is stated non-null
+    (already implied by the floor) so the filter Catalyst infers for the right
+    side of a join on ``order_year`` adds nothing and the two halves of
+    ``period_top_n_with_mode`` plan the same orders subtree (one shared shuffle).
     """
     orders = from_period(t.orders, "o_orderdate", from_year=TOP_FROM_YEAR)
     year = F.year("o_orderdate")
-    return count_per_group(orders.where(year.isNotNull()), [year.alias("order_year"), "o_custkey"], "n")
+    return orders.where(year.isNotNull()).select("o_custkey", year.alias("order_year"))
 
 
 def _customer_counts(t: Tables) -> DataFrame:
     customers = t.customer.select(F.col("c_custkey").alias("o_custkey"), "c_name", "c_nationkey")
-    joined = _orders_per_customer_year(t).join(customers, on="o_custkey")
-    return count_per_group(joined, ["order_year", "c_name", "c_nationkey"], "n_orders", weight="n")
+    joined = _orders_by_year(t).join(customers, on="o_custkey")
+    return count_per_group(joined, ["order_year", "c_name", "c_nationkey"], "n_orders")
 
 
 def _top_named(t: Tables) -> DataFrame:
@@ -241,12 +245,12 @@ def period_top_n_ties(spark: SparkSession, d: str) -> DataFrame:
 def _nation_counts(t: Tables) -> DataFrame:
     customers = t.customer.select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("n_nationkey"))
     nations = t.nation.select("n_nationkey", "n_name")
-    return _orders_per_customer_year(t).join(customers, on="o_custkey").join(nations, on="n_nationkey")
+    return _orders_by_year(t).join(customers, on="o_custkey").join(nations, on="n_nationkey")
 
 
 def _modal_named(t: Tables) -> DataFrame:
     return mode_per_group(
-        _nation_counts(t), ["order_year"], "n_name", ties="named", out_col="modal_nation", count_col="n_orders", weight="n"
+        _nation_counts(t), ["order_year"], "n_name", ties="named", out_col="modal_nation", count_col="n_orders"
     )
 
 
@@ -262,7 +266,6 @@ def modal_values_ties(spark: SparkSession, d: str) -> DataFrame:
         ties="all",
         out_col="modal_nations",
         count_col="n_orders",
-        weight="n",
     )
 
 
