@@ -6,11 +6,14 @@ are left out. Quantities are whole numbers stored as double; they are summed
 as integers so totals are exact.
 
 Join order is chosen for size: orders meet customer first (one key lookup per
-order), so lineitem is shuffled once, by order key. The lines are then
-partially aggregated per (supplier, buyer nation, carried order columns)
-before the supplier join, so the shuffle towards the supplier key carries at
-most one row per group per map task instead of one row per line, and a hot
-supplier collapses before it moves.
+order), so lineitem is shuffled by order key once; the joined lines then meet
+the supplier, and only after that are they summed per (seller nation, buyer
+nation, carried order columns), whose map-side partial step leaves at most a
+few hundred rows per task. Summing per supplier before the supplier join was
+tried and dropped: after the order-key join a supplier's lines are spread
+over all tasks, so that partial step combined almost nothing and added a
+shuffle. A hot supplier or customer is split by AQE, since every join here
+has a plain shuffle on both sides.
 
 A subject filter such as ``seller = s OR buyer = s`` is applied by the
 consumer after the supplier join. Splitting it into two disjoint branches
@@ -61,24 +64,21 @@ def nation_trade(
 ) -> DataFrame:
     """(seller_nation, buyer_nation, *order_cols, quantity bigint, n_lines bigint).
 
-    Rows are partial sums (several rows may share a nation pair); consumers sum
-    ``quantity`` and ``n_lines``. ``order_cols`` are columns or named
+    One row per (seller, buyer, carried values); consumers sum ``quantity``
+    and ``n_lines`` further as they need. ``order_cols`` are columns or named
     expressions over ``orders`` carried into the grain; ``order_where``
     filters orders (pushed into their scan, and at scale into lineitem through
     a runtime bloom filter on the order key).
     """
     orders, carried = _orders(t, order_cols, order_where)
     buyers = orders.join(_customers(t), on="o_custkey").drop("o_custkey")
-    per_supplier = (
+    return (
         _lines(t)
         .join(buyers, on="o_orderkey")
-        .groupBy("l_suppkey", "buyer_nation", *carried)
-        .agg(F.sum("qty").alias("quantity"), F.count(F.lit(1)).alias("n_lines"))
-    )
-    return (
-        per_supplier.join(_sellers(t), on="l_suppkey")
+        .join(_sellers(t), on="l_suppkey")
         .where(F.col("seller_nation") != F.col("buyer_nation"))
-        .select("seller_nation", "buyer_nation", *carried, "quantity", "n_lines")
+        .groupBy("seller_nation", "buyer_nation", *carried)
+        .agg(F.sum("qty").alias("quantity"), F.count(F.lit(1)).alias("n_lines"))
     )
 
 
