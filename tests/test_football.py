@@ -103,7 +103,8 @@ def test_q3_top_scorers_named(results, goals):
         # Three tied on 2 goals, cut by name; T13: hosts tie, first by name
         ("Kennet Andersson", "Sweden", 2, 1, 1994, "FIFA World Cup", "Canada"),
         ("Roger Milla", "Cameroon", 2, 2, 1994, "FIFA World Cup", "Canada"),
-        # The same name in two teams shares rank 1 -> three rows; alias "World Cup" counts
+        # The same name in two teams is two groups sharing rank 1 -> three
+        # rows; alias "World Cup" counts
         ("Ronaldo", "Brazil", 2, 1, 1998, "FIFA World Cup", "France"),
         ("Ronaldo", "Portugal", 2, 1, 1998, "FIFA World Cup", "France"),
         ("César Sampaio", "Brazil", 1, 2, 1998, "FIFA World Cup", "France"),

@@ -126,7 +126,7 @@ def test_member_set_and_restrict(spark):
     members = member_set(games, ["h", "w"], name="team", where=F.col("t") == "WC")
     assert rows(members) == [("A",), ("B",), ("C",), (None,)]
     facts = spark.createDataFrame([("A", 1), ("D", 2), (None, 3), ("A", 4)], "team string, v int")
-    # null keys never match; duplicate facts stay (semi join keeps left multiplicity)
+    # Null keys never match; duplicate facts stay (semi join keeps left multiplicity)
     assert rows(restrict_to_members(facts, members, "team")) == [("A", 1), ("A", 4)]
 
 
@@ -136,6 +136,7 @@ def test_repeated_in_group_threshold_and_filter(spark):
          ("m", None, False), ("m", None, False)],
         "g string, who string, own boolean",
     )
+    # A null key is a group of its own in a GROUP BY
     assert rows(repeated_in_group(df, ["g", "who"], min_count=3)) == [("m", "x", 3), ("m", None, 3)]
     assert rows(repeated_in_group(df, ["g", "who"], min_count=3, fact_filter=~F.col("own"))) == [("m", None, 3)]
 
