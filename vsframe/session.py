@@ -9,10 +9,13 @@ from pyspark.sql import SparkSession
 
 # Settings a caller may pass to SparkSession.builder. AQE re-plans joins from
 # runtime sizes (the size check behind every broadcast we do not hint) and
-# splits skewed join partitions; the time zone matches the reference's UTC.
+# splits skewed join partitions; coalescing aims at the advisory partition
+# size rather than at maximal parallelism (Spark's advice for shared, busy
+# clusters); the time zone matches the reference's UTC.
 RECOMMENDED_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.ui.enabled": "false",
