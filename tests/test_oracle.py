@@ -23,6 +23,11 @@ def duck():
     return con
 
 
+# Spark simple type name -> DuckDB type name, for the schema part of the check
+DUCK_TYPE = {"int": "INTEGER", "bigint": "BIGINT", "string": "VARCHAR", "date": "DATE", "boolean": "BOOLEAN",
+             "double": "DOUBLE"}
+
+
 def _norm(v):
     return round(v, 6) if isinstance(v, float) else v
 
@@ -38,6 +43,8 @@ def test_query_matches_oracle(spark, duck, name):
     got = sorted((tuple(_norm(r[c]) for c in cols) for r in df.collect()), key=repr)
     rel = duck.sql(entry.oracle_sql()[name])
     assert sorted(rel.columns) == cols
+    duck_types = dict(zip(rel.columns, (str(t) for t in rel.types)))
+    assert {c: DUCK_TYPE.get(t) for c, t in df.dtypes} == duck_types
     idx = {c: i for i, c in enumerate(rel.columns)}
     want = sorted((tuple(_norm(r[idx[c]]) for c in cols) for r in rel.fetchall()), key=repr)
     assert len(got) == len(want)
