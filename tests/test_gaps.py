@@ -1,6 +1,7 @@
 """event_gaps / longest_gaps: the skew-safe range strategy against the window one."""
 
 import datetime as dt
+import os
 import random
 
 import pytest
@@ -44,7 +45,9 @@ def _events(seed, n, hot_share):
     return out
 
 
-@settings(max_examples=12, deadline=None, suppress_health_check=list(HealthCheck))
+# VSFRAME_EXAMPLES raises the number of random cases for a deeper run.
+@settings(max_examples=int(os.environ.get("VSFRAME_EXAMPLES", "12")), deadline=None,
+          suppress_health_check=list(HealthCheck))
 @given(seed=st.integers(0, 10_000), n=st.integers(0, 80), hot=st.floats(0.0, 0.9), parts=st.integers(1, 7))
 def test_range_equals_window(spark, small_batches, seed, n, hot, parts):
     df = spark.createDataFrame(_events(seed, n, hot), SCHEMA)
