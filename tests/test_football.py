@@ -212,3 +212,17 @@ def test_save_all_writes_one_csv_per_question(spark, results, goals):
     local = paths[0].replace("file:", "")
     if os.path.isdir(local):
         assert len(glob.glob(os.path.join(local, "part-*.csv"))) == 1
+
+
+def test_cli_main_writes_every_answer(spark, capsys):
+    import os
+
+    from vsframe import shared_dir
+
+    out = shared_dir(spark, "football-cli")
+    fixtures = os.path.join(os.path.dirname(os.path.abspath(__file__)), "fixtures")
+    fb.main(["--results", os.path.join(fixtures, "results.csv"), "--goals", os.path.join(fixtures, "goalscorers.csv"),
+             "--out", out])
+    printed = capsys.readouterr().out.split()
+    assert [p.rsplit("/", 1)[1] for p in printed] == list(fb.OUTPUT_NAMES)
+    assert spark.read.option("header", True).csv(printed[2]).count() == 9  # Q3 rows of the scenario
