@@ -53,7 +53,7 @@ def test_scans_are_pruned_and_pushed(plans):
     trade = plans["counterparty_balance"]
     assert "ReadSchema: struct<l_orderkey:bigint,l_suppkey:bigint,l_quantity:double>" in trade
     assert trade.count("FileScan parquet") == 4  # lineitem, orders, customer, supplier once each
-    # the subject filter is evaluated in the supplier join, after the partial sums
+    # the subject filter is evaluated together with the supplier join
     assert "((seller_nation" in trade and "= 3) OR (buyer_nation" in trade
     assert "PushedFilters: [IsNotNull(o_orderdate), GreaterThanOrEqual(o_orderdate," in plans["from_period"]
     assert "GreaterThanOrEqual(ts,2024-01-05" in plans["event_gaps"]
