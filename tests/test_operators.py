@@ -229,6 +229,9 @@ def test_restrict_with_hot_key_salting_is_exact_and_spreads(spark):
     finally:
         spark.conf.set(coalesce, old)
     assert max(r["count"] for r in per_task) < 650 / 2
+    # salts sized from the hot key's own row count: 650 rows / 100 per salt
+    sized = restrict_to_members(facts, members, "team", hot_keys=2, rows_per_salt=100)
+    assert rows(sized) == plain
 
 
 @settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
@@ -237,8 +240,11 @@ def test_restrict_with_hot_key_salting_is_exact_and_spreads(spark):
     members=st.lists(st.sampled_from(["h", "a", "z", None]), max_size=6),
     hot=st.integers(1, 3),
     salts=st.integers(1, 9),
+    per_salt=st.integers(1, 20),
 )
-def test_salted_restrict_equals_plain(spark, facts, members, hot, salts):
+def test_salted_restrict_equals_plain(spark, facts, members, hot, salts, per_salt):
     f = spark.createDataFrame(facts, "k string, v int")
     m = spark.createDataFrame([(x,) for x in members], "k string")
-    assert rows(restrict_to_members(f, m, "k", hot_keys=hot, salts=salts)) == rows(restrict_to_members(f, m, "k"))
+    plain = rows(restrict_to_members(f, m, "k"))
+    assert rows(restrict_to_members(f, m, "k", hot_keys=hot, salts=salts)) == plain
+    assert rows(restrict_to_members(f, m, "k", hot_keys=hot, rows_per_salt=per_salt)) == plain

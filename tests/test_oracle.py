@@ -80,7 +80,7 @@ def test_queries_match_oracle_as_sort_merge_joins(spark, duck):
             if "BroadcastHashJoin" in final:
                 # only the bounded ones: the gap hand-off (one row per partition)
                 # and the salted hot keys (a top-K)
-                assert "_vs_pid" in final or "_vs_hot" in final, name
+                assert "_vs_pid" in final or "_vs_salts" in final, name
     finally:
         for k, v in old.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)

@@ -27,7 +27,7 @@ def member_set(
     return src.select(value.alias(name)).distinct()
 
 
-_HOT = "_vs_hot"
+_SALTS = "_vs_salts"
 _SALT = "_vs_salt"
 
 
@@ -38,7 +38,8 @@ def restrict_to_members(
     *,
     member_key: str | None = None,
     hot_keys: int = 0,
-    salts: int = 32,
+    rows_per_salt: int = 2_000_000,
+    salts: int | None = None,
 ) -> DataFrame:
     """Rows of ``df`` whose ``key`` is a member: a left-semi join.
 
@@ -52,31 +53,34 @@ def restrict_to_members(
     split it when the member side comes out of an aggregate (a distinct set):
     its skew rule needs a bare shuffle on both sides. ``hot_keys=K`` salts the
     K heaviest keys of ``df`` explicitly. They are found by a count per key
-    and a distributed top-K, so at most K rows are broadcast. Each hot row
-    gets a salt in ``[0, salts)`` from a hash of its partition id and values
-    (deterministic under retries), each hot member is repeated once per salt
-    (at most K * salts extra rows), and the semi join runs on (key, salt): a
-    hot key is spread over ``salts`` tasks, every other key is untouched.
-    The salt hashes every column of ``df``, so project ``df`` to the columns
-    needed downstream first; the key count reads only ``key``.
+    (map-side partial) and a distributed top-K, so at most K rows are
+    broadcast. A hot key with r rows gets ``ceil(r / rows_per_salt)`` salts
+    (or a fixed ``salts``); each of its rows takes a salt from a hash of its
+    partition id and values (deterministic under retries), its member row is
+    repeated once per salt, and the semi join runs on (key, salt). So a hot
+    key is cut into tasks of about ``rows_per_salt`` rows whatever its size,
+    the member side grows by about (hot rows / rows_per_salt) rows, and every
+    other key is untouched. The salt hashes every column of ``df``, so
+    project ``df`` to the columns needed downstream first; the key count
+    reads only ``key``.
     """
     right = members.select(F.col(member_key or key).alias(key))
     if hot_keys <= 0:
         return df.join(right, on=key, how="left_semi")
 
+    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("_vs_rows"))
+    per_key = F.lit(salts) if salts else F.ceil(F.col("_vs_rows") / F.lit(rows_per_salt))
     hot = (
-        df.groupBy(key)
-        .agg(F.count(F.lit(1)).alias("_vs_rows"))
-        .orderBy(F.col("_vs_rows").desc(), F.col(key))
+        counts.orderBy(F.col("_vs_rows").desc(), F.col(key))
         .limit(hot_keys)
-        .select(key, F.lit(True).alias(_HOT))
+        .select(key, F.greatest(F.lit(1), per_key).cast("int").alias(_SALTS))
     )
     row_hash = F.xxhash64(F.spark_partition_id(), *[F.col(c) for c in df.columns])
     left = (
         df.join(F.broadcast(hot), on=key, how="left")
-        .withColumn(_SALT, F.when(F.col(_HOT), F.pmod(row_hash, F.lit(salts))).otherwise(F.lit(0)).cast("int"))
-        .drop(_HOT)
+        .withColumn(_SALT, F.coalesce(F.pmod(row_hash, F.col(_SALTS)), F.lit(0)).cast("int"))
+        .drop(_SALTS)
     )
-    spread = F.when(F.col(_HOT), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    spread = F.when(F.col(_SALTS).isNotNull(), F.sequence(F.lit(0), F.col(_SALTS) - 1)).otherwise(F.array(F.lit(0)))
     right = right.join(F.broadcast(hot), on=key, how="left").select(key, F.explode(spread).alias(_SALT))
     return left.join(right, on=[key, _SALT], how="left_semi").drop(_SALT).select(*df.columns)

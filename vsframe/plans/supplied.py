@@ -58,9 +58,9 @@ GAPS_SINCE = "2024-01-05"
 DEFICIT_SINCE = "1996-01-01"
 LONGEST_N = 20
 # Events are keyed by user, and one user may own a large share of them: the
-# heaviest users are salted across tasks in the membership semi join.
+# heaviest users are salted across tasks in the membership semi join, each
+# into about (its rows / 2M) salts.
 HOT_USERS = 64
-USER_SALTS = 32
 
 
 def _ts(text: str):
@@ -141,7 +141,7 @@ def _early_purchasers(t: Tables) -> DataFrame:
 def restrict_members(spark: SparkSession, d: str) -> DataFrame:
     t = Tables(spark, d)
     errors = t.events.where(F.col("event_type") == F.lit("error")).select("user_id", "event_id")
-    kept = restrict_to_members(errors, _early_purchasers(t), "user_id", hot_keys=HOT_USERS, salts=USER_SALTS)
+    kept = restrict_to_members(errors, _early_purchasers(t), "user_id", hot_keys=HOT_USERS)
     return count_per_group(kept, ["user_id"], "n_errors")
 
 
@@ -291,7 +291,7 @@ def _error_gaps(t: Tables, members: DataFrame | None = None) -> DataFrame:
         & period_predicate("ts", events.schema["ts"].dataType, from_date=GAPS_SINCE)
     ).select("user_id", "ts", "event_id", "value")
     if members is not None:
-        errors = restrict_to_members(errors, members, "user_id", hot_keys=HOT_USERS, salts=USER_SALTS)
+        errors = restrict_to_members(errors, members, "user_id", hot_keys=HOT_USERS)
     gaps = event_gaps(errors, "user_id", "ts", order=["event_id"], carry=["event_id", "value"])
     return gaps.select(
         "user_id",
