@@ -68,6 +68,8 @@ def top_n_per_group(
     The rank filter sits directly on the window, so Spark plans a
     WindowGroupLimit: each map task keeps only its own top ranks before the
     shuffle on ``group``, which bounds what a large group sends to one task.
+    Spark does so for ``n`` up to ``spark.sql.optimizer.windowGroupLimitThreshold``
+    (1000 by default); raise it for a larger ``n``.
     """
     if ties not in _TIES:
         raise ValueError(f"ties must be one of {_TIES}")
