@@ -226,3 +226,25 @@ def test_cli_main_writes_every_answer(spark, capsys):
     printed = capsys.readouterr().out.split()
     assert [p.rsplit("/", 1)[1] for p in printed] == list(fb.OUTPUT_NAMES)
     assert spark.read.option("header", True).csv(printed[2]).count() == 9  # Q3 rows of the scenario
+
+
+def test_answers_do_not_depend_on_session_time_zone(spark, results, goals):
+    import __spark_entry__ as entry
+    from conftest import SF001
+
+    key = "spark.sql.session.timeZone"
+    old = spark.conf.get(key)
+
+    def snapshot():
+        got = [sorted(map(tuple, q.collect()), key=repr) for q in fb.answer_all(results, goals).values()]
+        for name in ("event_gaps", "deficit_gaps_top20"):
+            got.append(sorted(map(tuple, entry.queries()[name](spark, SF001).collect()), key=repr))
+        return got
+
+    try:
+        base = snapshot()
+        for tz in ("Pacific/Kiritimati", "America/Los_Angeles"):
+            spark.conf.set(key, tz)
+            assert snapshot() == base, tz
+    finally:
+        spark.conf.set(key, old)
