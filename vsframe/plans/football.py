@@ -167,14 +167,17 @@ def longest_unbeaten(
         {"team": "home_team", "opponent": "away_team", "gf": "home_score", "ga": "away_score"},
         {"team": "away_team", "opponent": "home_team", "gf": "away_score", "ga": "home_score"},
     )
+    # losses since the floor first (restriction is per team, so the order
+    # commutes), so the membership join and its key count see only them
+    losses = sides.where(
+        period_predicate("date", T.DateType(), from_date=since) & (F.col("ga") > F.col("gf"))
+    ).select("team", "date", "opponent")
     gaps = event_gaps(
-        restrict_to_members(sides, members, "team", hot_keys=hot_keys),
+        restrict_to_members(losses, members, "team", hot_keys=hot_keys),
         "team",
         "date",
         order=["opponent"],
         carry=["opponent"],
-        event=F.col("ga") > F.col("gf"),
-        since=period_predicate("date", T.DateType(), from_date=since),
         open_end=open_end,
         strategy=strategy,
         collapse_copies=collapse_copies,
