@@ -74,8 +74,9 @@ def read_typed_csv(
     Quotes are RFC 4180 (an inner quote is doubled). ``multi_line`` allows
     quoted newlines but makes each file a single task, since Spark cannot split
     such a file: keep it off for large single files, or land them as Parquet.
-    Passing ``columns`` gives an all-text schema up front and skips the header
-    probe job. Columns not named in ``types`` stay text.
+    Passing ``columns`` (in file order: they are applied by position) gives an
+    all-text schema up front and skips the header probe job. Columns not named
+    in ``types`` stay text.
     """
     reader = (
         spark.read.option("header", True)
