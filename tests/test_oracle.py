@@ -1,7 +1,8 @@
 """Every registered driver query against its DuckDB oracle SQL at sf0.01.
 
-Same check as the driver's: column names, row count and order-insensitive
-values (doubles rounded to 6 places).
+Same check as the driver's: column names and types, row count and
+order-insensitive values (doubles rounded to 6 places). VSFRAME_ORACLE_SF
+(for example /root/testdata/sf0.1) runs the same check at another scale.
 """
 
 import os
@@ -12,6 +13,8 @@ import pytest
 import __spark_entry__ as entry
 from conftest import SF001
 
+SF001 = os.environ.get("VSFRAME_ORACLE_SF", SF001)
+
 TABLES = "region nation customer supplier part orders lineitem events".split()
 
 
