@@ -156,7 +156,8 @@ def test_hot_third_is_spread_over_partitions(spark):
     assert got.exceptAll(_gaps(df, "window")).count() == 0
 
 
-@settings(max_examples=6, deadline=None, suppress_health_check=list(HealthCheck))
+@settings(max_examples=int(os.environ.get("VSFRAME_EXAMPLES", "6")), deadline=None,
+          suppress_health_check=list(HealthCheck))
 @given(seed=st.integers(0, 10_000), n=st.integers(0, 50), copies=st.integers(1, 40), parts=st.integers(1, 5))
 def test_collapse_copies_is_exact(spark, seed, n, copies, parts):
     rows = _events(seed, n, 0.3)

@@ -1,6 +1,7 @@
 """Unit tests per operator, on tiny in-line DataFrames (one case per trap)."""
 
 import datetime as dt
+import os
 
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -234,7 +235,8 @@ def test_restrict_with_hot_key_salting_is_exact_and_spreads(spark):
     assert rows(sized) == plain
 
 
-@settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
+@settings(max_examples=int(os.environ.get("VSFRAME_EXAMPLES", "8")), deadline=None,
+          suppress_health_check=list(HealthCheck))
 @given(
     facts=st.lists(st.tuples(st.sampled_from(["h", "a", "b", None]), st.integers(0, 3)), max_size=60),
     members=st.lists(st.sampled_from(["h", "a", "z", None]), max_size=6),
