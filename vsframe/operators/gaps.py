@@ -82,7 +82,10 @@ def _default_partitions(spark) -> int:
     try:
         return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     except (TypeError, ValueError):
-        return max(1, spark.sparkContext.defaultParallelism)
+        try:
+            return max(1, spark.sparkContext.defaultParallelism)
+        except Exception:  # noqa: BLE001  (no SparkContext in a Connect session)
+            return 200
 
 
 def _lag_by_range(

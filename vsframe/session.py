@@ -29,11 +29,19 @@ def checkpoint_root(spark: SparkSession) -> str:
     fresh temporary folder is registered as the checkpoint dir.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = spark.sparkContext.getCheckpointDir()
+    if root:
+        return root.rstrip("/")
+    try:  # a classic session; a Spark Connect session has no SparkContext
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001
+        sc = None
+    root = sc.getCheckpointDir() if sc is not None else None
     if not root:
         root = tempfile.mkdtemp(prefix="vsframe-ckpt-")
-        spark.sparkContext.setCheckpointDir(root)
+        if sc is not None:
+            sc.setCheckpointDir(root)
+        else:
+            spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
 
 
