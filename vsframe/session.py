@@ -40,8 +40,6 @@ def checkpoint_root(spark: SparkSession) -> str:
         root = tempfile.mkdtemp(prefix="vsframe-ckpt-")
         if sc is not None:
             sc.setCheckpointDir(root)
-        else:
-            spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
 
 
