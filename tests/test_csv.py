@@ -41,3 +41,15 @@ def test_shared_dir_is_fresh_and_under_checkpoint_root(spark):
     assert a != b
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     assert a.startswith(root.rstrip("/"))
+
+
+def test_null_value_token_applies_to_text_columns(spark):
+    path = shared_dir(spark, "test-csv-na")
+    spark.createDataFrame([("a", "NA", "1"), ("NA", "x", "NA")], "s string, t string, n string").write.option(
+        "header", True
+    ).csv(path)
+    plain = read_typed_csv(spark, path, {"n": "int"}, columns=["s", "t", "n"])
+    # by default only typed columns turn NA into null; text keeps it (the reference's behaviour)
+    assert sorted(tuple(r) for r in plain.collect()) == [("NA", "x", None), ("a", "NA", 1)]
+    na = read_typed_csv(spark, path, {"n": "int"}, columns=["s", "t", "n"], null_value="NA")
+    assert sorted((tuple(r) for r in na.collect()), key=repr) == sorted([(None, "x", None), ("a", None, 1)], key=repr)
