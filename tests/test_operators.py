@@ -250,3 +250,35 @@ def test_salted_restrict_equals_plain(spark, facts, members, hot, salts, per_sal
     plain = rows(restrict_to_members(f, m, "k"))
     assert rows(restrict_to_members(f, m, "k", hot_keys=hot, salts=salts)) == plain
     assert rows(restrict_to_members(f, m, "k", hot_keys=hot, rows_per_salt=per_salt)) == plain
+
+
+def test_less_used_branches(spark):
+    import pytest
+
+    from vsframe import event_gaps, longest_gaps, period_predicate
+    from pyspark.sql import types as T
+
+    # truthy tokens per column
+    df = spark.createDataFrame([("Y", "on"), ("n", "off")], "a string, b string")
+    typed = apply_types(df, truthy_columns={"a": ["y"], "b": ["on"]})
+    assert [tuple(r) for r in typed.collect()] == [(True, True), (False, False)]
+    # period bound on text dates (parsed leniently) and on timestamps with a zone
+    text = spark.createDataFrame([("1990-01-01",), ("1989-12-31",), ("junk",)], "d string")
+    assert [r[0] for r in from_period(text, "d", from_year=1990).collect()] == ["1990-01-01"]
+    ts = spark.createDataFrame([(dt.datetime(1990, 1, 1, 0, 0),), (dt.datetime(1989, 12, 31, 23, 0),)], "t timestamp")
+    pred = period_predicate("t", T.TimestampType(), from_year=1990)
+    assert ts.where(pred).count() == 1
+    assert spark.range(1).where(period_predicate("id", T.LongType())).count() == 1  # no bound: keep all
+    # argument checks
+    with pytest.raises(ValueError):
+        two_sided_to_long(df, [], {"x": "a"}, {"y": "b"})
+    with pytest.raises(ValueError):
+        top_n_per_group(df, ["a"], "b", "a", ties="other")
+    with pytest.raises(ValueError):
+        mode_per_group(df, ["a"], "b", ties="other")
+    with pytest.raises(ValueError):
+        event_gaps(df, "a", "b", strategy="other")
+    with pytest.raises(ValueError):
+        longest_gaps(df, per_entity=True)
+    with pytest.raises(ValueError):
+        apply_types(df, {"missing": "int"})
