@@ -32,18 +32,31 @@ from vsframe.sources import read_typed_csv
 
 # Fixed values that must equal the reference's for the same results:
 # tournament aliases (compared lower-cased), the World Cup label and member
-# tournament, the default subject team, and the Q4 date floor.
+# tournament, the default subject team, the Q4 date floor, the Q1 labels, the
+# output column names of each question (in output order) and the result
+# folder names.
 EURO_ALIASES = ("uefa euro", "uefa european championship", "european championship")
 WORLD_CUP_ALIASES = ("fifa world cup", "world cup")
 WORLD_CUP = "FIFA World Cup"
 DEFAULT_TEAM = "Serbia"
 UNBEATEN_SINCE = "1980-01-01"
+Q1_LABELS = ("Najbolja", "Najgora")
+Q1_COLUMNS = ("Protivnik", "Gol razlika", "Najbolja / Najgora")
+Q2_COLUMNS = ("Datum", "Domacin", "Gost", "Rezultat", "Strelac", "Ukupno golova", "Turnir", "Drzava")
+Q3_COLUMNS = ("Strelac", "Reprezentacija", "Broj golova", "Rang", "Godina", "Turnir", "Drzava")
+Q4_COLUMNS = ("Reprezentacija", "Poraz od", "Poraz datum", "Prethodni poraz od", "Prethodni poraz datum", "Period-dana")
+OUTPUT_NAMES = ("q1_serbia_best_worst", "q2_euro_hat_tricks", "q3_wc_top_scorers", "q4_longest_unbeaten")
 
 MATCH_KEYS = ["date", "home_team", "away_team"]
 RESULTS_TYPES = {"date": "date", "home_score": "int", "away_score": "int"}
 GOALS_TYPES = {"date": "date", "minute": "int"}
 
 
+def _named(df: DataFrame, columns, names) -> DataFrame:
+    """Select ``columns`` renamed to the output ``names``, in that order."""
+    return df.select(*[F.col(c).alias(n) for c, n in zip(columns, names, strict=True)])
+
+
 def load_results(spark: SparkSession, path: str, *, multi_line: bool = True) -> DataFrame:
     """Matches: typed date and scores, ``neutral`` as a non-null boolean, rest text."""
     return read_typed_csv(spark, path, RESULTS_TYPES, ["neutral"], multi_line=multi_line)
@@ -60,12 +73,8 @@ def best_worst_opponent(results: DataFrame, team: str = DEFAULT_TEAM) -> DataFra
         results, team, "home_team", "away_team", "home_score", "away_score",
         counterparty="opponent", measure="goal_diff",
     )
-    best_worst = extremes(balance, "opponent", "goal_diff", labels=("Najbolja", "Najgora"))
-    return best_worst.select(
-        F.col("opponent").alias("Protivnik"),
-        F.col("goal_diff").alias("Gol razlika"),
-        F.col("kind").alias("Najbolja / Najgora"),
-    )
+    best_worst = extremes(balance, "opponent", "goal_diff", labels=Q1_LABELS)
+    return _named(best_worst, ["opponent", "goal_diff", "kind"], Q1_COLUMNS)
 
 
 def hat_tricks(
@@ -83,19 +92,10 @@ def hat_tricks(
     repeats = repeated_in_group(
         goals, [*MATCH_KEYS, "scorer"], min_count=min_goals, count_col="goals", fact_filter=fact_filter
     )
-    return (
-        repeats.join(matches, on=MATCH_KEYS)
-        .select(
-            F.col("date").alias("Datum"),
-            F.col("home_team").alias("Domacin"),
-            F.col("away_team").alias("Gost"),
-            pair_label("home_score", "away_score").alias("Rezultat"),
-            F.col("scorer").alias("Strelac"),
-            F.col("goals").alias("Ukupno golova"),
-            F.col("tournament").alias("Turnir"),
-            F.col("country").alias("Drzava"),
-        )
-        .orderBy("Datum", "Domacin", "Gost", "Strelac")
+    joined = repeats.join(matches, on=MATCH_KEYS).withColumn("score", pair_label("home_score", "away_score"))
+    ordered = joined.orderBy("date", "home_team", "away_team", "scorer")
+    return _named(
+        ordered, ["date", "home_team", "away_team", "score", "scorer", "goals", "tournament", "country"], Q2_COLUMNS
     )
 
 
@@ -117,20 +117,9 @@ def top_scorers(
     hosts = mode_per_group(matches, ["year"], "country", ties=host_ties, out_col="country").select("year", "country")
     scored = count_per_group(goals.join(matches.select(*MATCH_KEYS, "year"), on=MATCH_KEYS), ["year", "scorer", "team"], "goals")
     ranked = top_n_per_group(scored, ["year"], "goals", "scorer", n=n, ties=ties, rank_col="rank")
-    return (
-        ranked.withColumn("tournament", F.lit(label))
-        .join(hosts, on="year", how="left")
-        .select(
-            F.col("scorer").alias("Strelac"),
-            F.col("team").alias("Reprezentacija"),
-            F.col("goals").alias("Broj golova"),
-            F.col("rank").alias("Rang"),
-            F.col("year").alias("Godina"),
-            F.col("tournament").alias("Turnir"),
-            F.col("country").alias("Drzava"),
-        )
-        .orderBy("Godina", F.col("Broj golova").desc(), "Strelac", "Reprezentacija")
-    )
+    joined = ranked.withColumn("tournament", F.lit(label)).join(hosts, on="year", how="left")
+    ordered = joined.orderBy("year", F.col("goals").desc(), "scorer", "team")
+    return _named(ordered, ["scorer", "team", "goals", "rank", "year", "tournament", "country"], Q3_COLUMNS)
 
 
 def longest_unbeaten(
@@ -185,18 +174,7 @@ def longest_unbeaten(
     top = longest_gaps(
         gaps, n=n, order=["team", "date", "opponent", "prev_date", "prev_opponent"], entity="team", per_entity=per_entity
     )
-    return top.select(
-        F.col("team").alias("Reprezentacija"),
-        F.col("opponent").alias("Poraz od"),
-        F.col("date").alias("Poraz datum"),
-        F.col("prev_opponent").alias("Prethodni poraz od"),
-        F.col("prev_date").alias("Prethodni poraz datum"),
-        F.col("gap_days").alias("Period-dana"),
-    )
-
-
-# Result folder names, one per question.
-OUTPUT_NAMES = ("q1_serbia_best_worst", "q2_euro_hat_tricks", "q3_wc_top_scorers", "q4_longest_unbeaten")
+    return _named(top, ["team", "opponent", "date", "prev_opponent", "prev_date", "gap_days"], Q4_COLUMNS)
 
 
 def answer_all(results: DataFrame, goals: DataFrame) -> dict[str, DataFrame]:
