@@ -20,6 +20,7 @@ SCRIPT = textwrap.dedent(
     sys.path.insert(0, {repo!r})
     from pyspark import TaskContext
     from pyspark.sql import SparkSession
+    from vsframe.operators import member_set, restrict_to_members
     from vsframe.plans import supplied
 
     spark = (SparkSession.builder.master("local[4,4]").config("spark.ui.enabled", "false")
@@ -35,7 +36,13 @@ SCRIPT = textwrap.dedent(
 
     d = "/root/testdata/sf0.01"
     clean = sorted(map(tuple, supplied.event_gaps_query(spark, d).collect()))
-    salted = [sorted(map(tuple, q(spark, d).collect())) for q in (supplied.restrict_members, supplied.longest_gaps_top20)]
+    def many_salts(spark, d):
+        ev = spark.read.parquet(d + "/events.parquet").select("user_id", "event_id", "event_type")
+        members = member_set(ev, ["user_id"], name="user_id", where=ev.event_type == "purchase")
+        return restrict_to_members(ev, members, "user_id", hot_keys=8, rows_per_salt=20)
+
+    queries = (supplied.restrict_members, supplied.longest_gaps_top20, many_salts)
+    salted = [sorted(map(tuple, q(spark, d).collect())) for q in queries]
 
     # failing before the range shuffle: the events scan is wrapped
     original = spark.read.parquet
@@ -44,8 +51,7 @@ SCRIPT = textwrap.dedent(
         return df.mapInArrow(flaky, df.schema) if path.endswith("events.parquet") else df
     spark.read.parquet = flaky_read
     before = sorted(map(tuple, supplied.event_gaps_query(spark, d).collect()))
-    salted_retry = [sorted(map(tuple, q(spark, d).collect()))
-                    for q in (supplied.restrict_members, supplied.longest_gaps_top20)]
+    salted_retry = [sorted(map(tuple, q(spark, d).collect())) for q in queries]
     spark.read.parquet = original
 
     # failing in the lag's own stage (after the range shuffle)
