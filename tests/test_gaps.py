@@ -180,3 +180,37 @@ def test_collapse_copies_counts_before_the_shuffle(spark):
     assert "partial_count" in text
     head, _, tail = text.partition("rangepartitioning")
     assert "partial_count" in tail  # the copy count is taken below the range exchange
+
+
+def test_lag_kernel_across_batches_without_spark():
+    """The per-partition lag over Arrow batches, called directly."""
+    import pyarrow as pa
+
+    from vsframe.operators.gaps import _HEAD, _lag_in_partition
+
+    def batch(ents, days, vals):
+        return pa.RecordBatch.from_arrays(
+            [pa.array(ents, pa.string()), pa.array(days, pa.int32()), pa.array(vals, pa.int64())], names=["e", "d", "v"]
+        )
+
+    empty = batch([], [], [])
+    batches = [
+        empty,
+        batch(["a", "a"], [1, 2], [10, None]),
+        empty,
+        batch(["a", "b", None], [3, 1, 5], [30, 40, 50]),
+        batch([None, "b"], [6, 2], [60, 70]),
+    ]
+    run = _lag_in_partition("e", ["d", "v"], ["prev_d", "prev_v"])
+    out = pa.Table.from_batches(list(run(iter(batches))))
+    assert out.column_names == ["e", "d", "v", "prev_d", "prev_v", _HEAD]
+    got = list(zip(*[out.column(c).to_pylist() for c in ("e", "d", "prev_d", "prev_v", _HEAD)]))
+    assert got == [
+        ("a", 1, None, None, True),   # first row of the partition: patched later from the hand-off
+        ("a", 2, 1, 10, False),
+        ("a", 3, 2, None, False),     # predecessor from the previous batch, null value carried
+        ("b", 1, None, None, False),  # new entity
+        (None, 5, None, None, False),
+        (None, 6, 5, 50, False),      # a null entity is one entity, across the batch boundary
+        ("b", 2, None, None, False),  # same name, not adjacent: not its predecessor here
+    ]
