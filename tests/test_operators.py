@@ -282,3 +282,10 @@ def test_less_used_branches(spark):
         longest_gaps(df, per_entity=True)
     with pytest.raises(ValueError):
         apply_types(df, {"missing": "int"})
+    from vsframe import lenient
+    from vsframe.sources import Tables
+
+    with pytest.raises(ValueError):
+        lenient("a", "interval")
+    with pytest.raises(AttributeError):
+        Tables(spark, "/root/testdata/sf0.001")._missing
