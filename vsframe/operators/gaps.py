@@ -98,9 +98,10 @@ def _lag_by_range(
 ) -> DataFrame:
     n_parts = partitions or _default_partitions(src.sparkSession)
     order = [F.col(k).asc_nulls_first() for k in keys]
-    # An explicit partition count keeps AQE from coalescing this exchange, so
-    # both consumers below see the same partition ids (the exchange itself is
-    # shared: it shows as a ReusedExchange in the final plan).
+    # An explicit partition count keeps AQE from coalescing this exchange or
+    # reading it locally (both apply only to shuffles Spark inserts itself), so
+    # a partition id is a range partition and both consumers below see the
+    # same ids (the exchange itself is shared: a ReusedExchange in the plan).
     ranged = src.repartitionByRange(n_parts, *order).withColumn(_PID, F.spark_partition_id())
     tagged = ranged.sortWithinPartitions(*order)
     fields = list(tagged.schema.fields)
