@@ -100,9 +100,9 @@ def _lag_by_range(
     order = [F.col(k).asc_nulls_first() for k in keys]
     # An explicit partition count keeps AQE from coalescing this exchange or
     # reading it locally (it does those only to shuffles it planned itself or
-    # to repartitions without a count), so
-    # a partition id is a range partition and both consumers below see the
-    # same ids (the exchange itself is shared: a ReusedExchange in the plan).
+    # to repartitions without a count), so a partition id is a range
+    # partition and both consumers below see the same ids (the exchange itself
+    # is shared: a ReusedExchange in the final plan).
     ranged = src.repartitionByRange(n_parts, *order).withColumn(_PID, F.spark_partition_id())
     tagged = ranged.sortWithinPartitions(*order)
     fields = list(tagged.schema.fields)
