@@ -1,0 +1,21 @@
+"""The sells/buys split of the trade fact equals the filtered single pass."""
+
+from pyspark.sql import functions as F
+
+from vsframe.plans.trade import nation_trade
+from vsframe.sources import Tables
+
+
+def _bag(df):
+    return sorted(tuple(r) for r in df.collect())
+
+
+def test_involving_equals_filtered_single_pass(spark):
+    t = Tables(spark, "/root/testdata/sf0.001")
+    carried = [F.to_date("o_orderdate").alias("order_date")]
+    full = nation_trade(t, order_cols=carried)
+    for s in (0, 3, 24):
+        split = nation_trade(t, order_cols=carried, involving=s)
+        either = full.where((F.col("seller_nation") == s) | (F.col("buyer_nation") == s))
+        assert _bag(split) == _bag(either), s
+        assert split.where((F.col("seller_nation") == s) & (F.col("buyer_nation") == s)).count() == 0
