@@ -22,3 +22,14 @@ def test_bench_prints_one_json_line():
     assert out["unit"] == "sec" and out["sf"] == 0.001 and out["failed"] == {}
     assert set(out["queries"]) == set(entry.queries())
     assert abs(out["value"] - sum(out["queries"].values())) < 0.01
+
+
+def test_plans_report_covers_every_query():
+    proc = subprocess.run(
+        [sys.executable, os.path.join(REPO, "plans_report.py"), "/root/testdata/sf0.001"],
+        capture_output=True, text=True, timeout=900,
+    )
+    assert proc.returncode == 0, proc.stderr[-2000:]
+    sections = [line[3:] for line in proc.stdout.splitlines() if line.startswith("## ")]
+    assert sections == list(entry.queries())
+    assert "joins with broadcasts off" in proc.stdout
