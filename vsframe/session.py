@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -22,24 +21,32 @@ RECOMMENDED_CONF = {
 }
 
 
+def _is_local_path(path: str) -> bool:
+    return path.startswith("file:") or "://" not in path
+
+
 def checkpoint_root(spark: SparkSession) -> str:
-    """The cluster's shared folder, as named by ``spark.checkpoint.dir``.
+    """The folder shared by the driver and all executors.
 
-    Read from the session; only when it is unset (a local test session) a
-    fresh temporary folder is registered as the checkpoint dir.
+    Taken from ``spark.checkpoint.dir``; where that is unset, from the
+    context's checkpoint dir, else from ``spark.sql.warehouse.dir``. A fallback
+    that is a local path is refused on a non-local master: each executor would
+    write to its own disk there. Nothing below it is removed by this library;
+    whoever owns the folder cleans it.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
     try:  # a classic session; a Spark Connect session has no SparkContext
         sc = spark.sparkContext
     except Exception:  # noqa: BLE001
         sc = None
     root = sc.getCheckpointDir() if sc is not None else None
     if not root:
-        root = tempfile.mkdtemp(prefix="vsframe-ckpt-")
-        if sc is not None:
-            sc.setCheckpointDir(root)
+        root = spark.conf.get("spark.sql.warehouse.dir")
+    master = sc.master if sc is not None else spark.conf.get("spark.master", "")
+    if _is_local_path(root) and not master.startswith("local"):
+        raise ValueError(f"{root} is local to one machine; set spark.checkpoint.dir to a folder all executors share")
     return root.rstrip("/")
 
 
