@@ -12,6 +12,7 @@ from vsframe.llm.common import read_table
 from vsframe.llm.decontamination import contamination_report
 from vsframe.llm.exact_dedup import exact_dedup
 from vsframe.llm.langid import identify_languages
+from vsframe.llm.line_dedup import line_dedup_report
 
 
 def op3_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +24,10 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(read_table(spark, sf_dir, "documents"))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup_report(read_table(spark, sf_dir, "documents"))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination_report(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
@@ -34,6 +39,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_bpe_round_trip": op3_bpe_round_trip,
     "op4_exact_dedup": op4_exact_dedup,
+    "op7_line_dedup": op7_line_dedup,
     "op8_decontamination": op8_decontamination,
     "op10_language_id": op10_language_id,
 }
@@ -46,6 +52,16 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id IS NOT DISTINCT FROM max(doc_id) OVER w AS kept, sha256(t) AS text_sha256
         FROM n WINDOW w AS (PARTITION BY t)""",
+    "op7_line_dedup": f"""
+        WITH a AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS s FROM documents),
+        l AS (SELECT doc_id, unnest(range(1, len(s) + 1)) AS i, unnest(s) AS line FROM a),
+        k AS (SELECT *, {_LOWER.format("trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))")} AS key FROM l),
+        c AS (SELECT key, max(doc_id) AS keep_id FROM k WHERE length(key) >= 20
+              GROUP BY key HAVING count(DISTINCT doc_id) >= 3),
+        f AS (SELECT doc_id, i, line, keep_id IS NOT NULL AND doc_id <> keep_id AS gone FROM k LEFT JOIN c USING (key))
+        SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
+               sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256
+        FROM f GROUP BY doc_id""",
     "op8_decontamination": rf"""
         WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")},
                           '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
