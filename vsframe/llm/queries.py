@@ -13,6 +13,11 @@ from vsframe.llm.decontamination import contamination_report
 from vsframe.llm.exact_dedup import exact_dedup
 from vsframe.llm.langid import identify_languages
 from vsframe.llm.line_dedup import line_dedup_report
+from vsframe.llm.warc import archive_report
+
+
+def op2_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_report(read_table(spark, sf_dir, "pages"))
 
 
 def op3_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,6 +42,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_warc_revisits": op2_warc_revisits,
     "op3_bpe_round_trip": op3_bpe_round_trip,
     "op4_exact_dedup": op4_exact_dedup,
     "op7_line_dedup": op7_line_dedup,
@@ -46,7 +52,20 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+#: Base32 of the SHA-1: five hex digits are four letters.
+_BASE32 = " || ".join(
+    f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(h, {5 * i + 1}, 5))::BIGINT >> {shift}) & 31) + 1, 1)"
+    for i in range(8)
+    for shift in (15, 10, 5, 0)
+)
+
 ORACLE_SQL: dict[str, str] = {
+    "op2_warc_revisits": f"""
+        WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS h FROM pages),
+        k AS (SELECT page_id, n, {_BASE32} AS payload_digest, max(page_id) OVER (PARTITION BY h) AS keep FROM p)
+        SELECT page_id, n AS payload_bytes, payload_digest,
+               CASE WHEN page_id = keep THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id <> keep THEN keep END AS refers_to FROM k""",
     "op4_exact_dedup": f"""
         WITH n AS (SELECT doc_id, {_LOWER.format("coalesce(text, '')")} AS t FROM documents)
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
