@@ -14,9 +14,14 @@ from vsframe.llm.exact_dedup import exact_dedup
 from vsframe.llm.langid import identify_languages
 from vsframe.llm.line_dedup import line_dedup_report
 from vsframe.llm.ngram_join import link_components
+from vsframe.llm.pii import personal_data_report
 from vsframe.llm.warc import archive_report
 
 
+def op1_pii_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data_report(read_table(spark, sf_dir, "documents"))
+
+
 def op2_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_report(read_table(spark, sf_dir, "pages"))
 
@@ -47,6 +52,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pii_weak_supervision": op1_pii_weak_supervision,
     "op2_warc_revisits": op2_warc_revisits,
     "op3_bpe_round_trip": op3_bpe_round_trip,
     "op4_exact_dedup": op4_exact_dedup,
