@@ -51,6 +51,35 @@ def salted_join(left: DataFrame, right: DataFrame, keys: list[str], spread: str,
     )
 
 
+#: Bits of a key filter, 8 MiB whatever the number of keys.
+FILTER_BITS = 26
+
+
+def key_filter(keys: DataFrame) -> np.ndarray:
+    """Bits of a frame's one column of (well mixed) long keys.
+
+    A fixed-size filter that only spares work: what passes it in excess, more
+    as keys grow, must find no partner in the join that follows.
+    """
+    place = F.col(keys.columns[0]).bitwiseAND(F.lit((1 << FILTER_BITS) - 1)) + 1  # bit 0 of bucket 1 stands for 1
+    rows = (
+        keys.select(place.alias("p"))
+        .groupBy(F.bitmap_bucket_number("p").alias("bucket"))
+        .agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits"))
+        .collect()
+    )
+    out = np.zeros((1 << FILTER_BITS - 15, 4096), np.uint8)
+    for r in rows:
+        out[r.bucket - 1] = np.frombuffer(r.bits, np.uint8)
+    return out.ravel()
+
+
+def passes(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which of the keys may be in the filter."""
+    place = keys & ((1 << FILTER_BITS) - 1)
+    return ((bits[place >> 3] >> (place & 7).astype(np.uint8)) & 1).astype(bool)
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """A string column as its UTF-8 bytes and n + 1 offsets; null as empty."""
     arr = pc.fill_null(column.cast(pa.large_binary()), b"")

@@ -33,10 +33,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vsframe.llm.common import RollingHash, lower_bytes, materialize, mix64, salted_join, text_chunks, word_spans
+from vsframe.llm.common import RollingHash, key_filter, lower_bytes, materialize, mix64, passes, salted_join, text_chunks, word_spans
 from vsframe.llm.components import components
 
 SHINGLE_WORDS = 5
@@ -44,8 +44,6 @@ SHINGLE_WORDS = 5
 PERCENT = 80
 #: Cells of the rarity sketch, and of one of its blocks.
 SKETCH_BITS, BLOCK_BITS = 20, 12
-#: Bits of the filter that says which nodes' sets a verification reads again.
-FILTER_BITS = 1 << 26
 _MULTIPLIERS = mix64(np.arange(1, 17, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -149,22 +147,8 @@ def prefixes(docs: DataFrame, sketch: np.ndarray, words: int, percent: int) -> D
     return docs.select("doc_id", "text").mapInArrow(work, schema)
 
 
-def _filter_place(node, rep):
-    return F.pmod(F.xxhash64(node, F.coalesce(rep, F.lit(-1).cast("long"))), F.lit(FILTER_BITS))
-
-
-def _node_filter(wanted: DataFrame) -> np.ndarray:
-    """Bits of the wanted (node, rep) pairs; 8 MiB whatever their number."""
-    rows = (
-        wanted.select((_filter_place(F.col("node"), F.col("rep")) + 1).alias("p"))  # bit 0 of bucket 1 stands for 1
-        .groupBy(F.bitmap_bucket_number("p").alias("bucket"))
-        .agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits"))
-        .collect()
-    )
-    out = np.zeros((FILTER_BITS >> 15, 4096), np.uint8)
-    for r in rows:
-        out[r.bucket - 1] = np.frombuffer(r.bits, np.uint8)
-    return out.ravel()
+def _filter_key(node: str, rep: str) -> Column:
+    return F.xxhash64(node, F.coalesce(rep, F.lit(-1).cast("long")))
 
 
 def _wanted_sets(docs: DataFrame, heads: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
@@ -175,7 +159,7 @@ def _wanted_sets(docs: DataFrame, heads: DataFrame, pairs: DataFrame, words: int
     """
     ids = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     wanted = materialize(heads.select("node", "rep").join(ids, "node", "left_semi"), "wanted-nodes")
-    sent = docs.sparkSession.sparkContext.broadcast(_node_filter(wanted))
+    sent = docs.sparkSession.sparkContext.broadcast(key_filter(wanted.select(_filter_key("node", "rep"))))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offsets in text_chunks(batches):
@@ -187,13 +171,12 @@ def _wanted_sets(docs: DataFrame, heads: DataFrame, pairs: DataFrame, words: int
 
     def screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            place = batch.column(0).to_numpy()
-            keep = (sent.value[place >> 3] >> (place & 7).astype(np.uint8)) & 1
-            yield pa.RecordBatch.from_arrays(batch.columns[1:], ["node", "shingles"]).filter(pa.array(keep.astype(bool)))
+            keep = passes(sent.value, batch.column(0).to_numpy())
+            yield pa.RecordBatch.from_arrays(batch.columns[1:], ["node", "shingles"]).filter(pa.array(keep))
 
     sets = docs.select("doc_id", "text").mapInArrow(work, "doc_id long, node long, shingles binary")
-    placed = sets.select(_filter_place(F.col("node"), F.col("doc_id")).alias("place"), "node", "shingles")
-    return placed.mapInArrow(screen, "node long, shingles binary").dropDuplicates(["node"])
+    keyed = sets.select(_filter_key("node", "doc_id").alias("key"), "node", "shingles")
+    return keyed.mapInArrow(screen, "node long, shingles binary").dropDuplicates(["node"])
 
 
 def _attach(pairs: DataFrame, sets: DataFrame, side: str, other: str) -> DataFrame:
