@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from vsframe.llm import bpe
 from vsframe.llm.common import read_table
+from vsframe.llm.context_mixing import scoring_report
 from vsframe.llm.decontamination import contamination_report
 from vsframe.llm.exact_dedup import exact_dedup
 from vsframe.llm.langid import identify_languages
@@ -40,6 +41,10 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup_report(read_table(spark, sf_dir, "documents"))
 
 
+def op6_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring_report(read_table(spark, sf_dir, "documents"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup_report(read_table(spark, sf_dir, "documents"))
 
@@ -62,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_bpe_round_trip": op3_bpe_round_trip,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_suffix_dedup": op5_suffix_dedup,
+    "op6_context_mixing": op6_context_mixing,
     "op7_line_dedup": op7_line_dedup,
     "op8_decontamination": op8_decontamination,
     "op9_ngram_join": op9_ngram_join,
