@@ -43,7 +43,7 @@ BLOCK_BITS = 12
 HEAVY_BITS = 22
 END, PAD = 255, 254  # bytes that UTF-8 never has
 ROUNDS = 3
-RATE = 0.02
+RATE = 0.1
 BATCH = 4096
 DELTA = 0.4
 CONFIDENCE = 4
@@ -108,7 +108,6 @@ class Model:
         """One online pass: a step a batch of bits, down the coding cost's gradient."""
         for lo in range(0, len(grams), BATCH):
             part, weight = grams[lo : lo + BATCH], counts[lo : lo + BATCH].astype(np.float64)
-            weight = np.sqrt(weight)
             for bit in range(8):
                 at, y = slots(part, bit)
                 x, gate = _inputs(*self._counts(at, y, True), bit)
