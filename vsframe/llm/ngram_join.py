@@ -33,10 +33,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vsframe.llm.common import RollingHash, key_filter, lower_bytes, materialize, mix64, passes, salted_join, text_chunks, word_spans
+from vsframe.llm.common import (
+    RollingHash,
+    key_filter,
+    lower_bytes,
+    materialize,
+    mix64,
+    passes,
+    row_chunks,
+    salted_join,
+    text_chunks,
+    utf8,
+    word_spans,
+)
 from vsframe.llm.components import components
 
 SHINGLE_WORDS = 5
@@ -117,116 +129,148 @@ def rarity_sketch(docs: DataFrame, words: int) -> np.ndarray:
 
 
 def prefixes(docs: DataFrame, sketch: np.ndarray, words: int, percent: int) -> DataFrame:
-    """(doc_id, node, size, grp, prefix) of every row; grp hashes prefix and size."""
+    """(key, doc_id, node, size, grp, prefix) of every row of ``docs`` (key,
+    doc_id, text); grp hashes prefix and size. A group's prefix stands in the
+    first of its rows that a task meets, and is null in the others.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(sketch)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for rows, data, offsets in text_chunks(batches):
             nodes, sizes, groups, parts = [], [], [], []
             for s in shingle_sets(data, offsets, words):
                 counts = sent.value[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
                 prefix = s[np.argsort(counts, kind="stable")][: _prefix_size(len(s), percent)] if len(s) else s
+                group = _node(np.append(prefix, np.uint64(len(s))))
                 nodes.append(_node(s))
                 sizes.append(len(s))
-                groups.append(_node(np.append(prefix, np.uint64(len(s)))))
-                parts.append(prefix.view(np.int64))
-            cuts = np.concatenate([[0], np.cumsum([len(p) for p in parts])])
-            flat = np.concatenate(parts) if parts else np.zeros(0, np.int64)
+                groups.append(group)
+                parts.append(None if group in seen else prefix.view(np.int64))
+                seen.add(group)
             yield pa.RecordBatch.from_arrays(
                 [
                     rows.column(0),
+                    rows.column(1),
                     pa.array(nodes, pa.int64()),
                     pa.array(sizes, pa.int32()),
                     pa.array(groups, pa.int64()),
-                    pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(flat)),
+                    pa.array(parts, pa.list_(pa.int64())),
                 ],
-                ["doc_id", "node", "size", "grp", "prefix"],
+                ["key", "doc_id", "node", "size", "grp", "prefix"],
             )
 
-    schema = "doc_id long, node long, size int, grp long, prefix array<long>"
-    return docs.select("doc_id", "text").mapInArrow(work, schema)
-
-
-def _filter_key(node: str, rep: str) -> Column:
-    return F.xxhash64(node, F.coalesce(rep, F.lit(-1).cast("long")))
+    return docs.mapInArrow(work, "key long, doc_id long, node long, size int, grp long, prefix array<long>")
 
 
-def _wanted_sets(docs: DataFrame, heads: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
-    """(node, shingles) for the nodes in ``pairs``, read from one document each.
+def prefix_posts(rows: DataFrame) -> DataFrame:
+    """(token, grp, size, pos) for the prefix shingles that several groups have.
 
-    The filter only spares sets that no pair needs; what it lets through in
-    excess finds no pair later.
+    Minimum and maximum group of a shingle combine before their shuffle. A
+    filter of bounded size then spares most other shingles the join that
+    selects exactly; repeats of a post, one a task at most, go last.
     """
-    ids = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = materialize(heads.select("node", "rep").join(ids, "node", "left_semi"), "wanted-nodes")
-    sent = docs.sparkSession.sparkContext.broadcast(key_filter(wanted.select(_filter_key("node", "rep"))))
+    rows = rows.where("size > 0 AND prefix IS NOT NULL").select("grp", "size", "prefix")
+    shared = materialize(
+        rows.select("grp", F.explode("prefix").alias("token"))
+        .groupBy("token")
+        .agg(F.min("grp").alias("x"), F.max("grp").alias("y"))
+        .where("x <> y")
+        .select("token"),
+        "shared-shingles",
+    )
+    sent = rows.sparkSession.sparkContext.broadcast(key_filter(shared))
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, data, offsets in text_chunks(batches):
-            sets = shingle_sets(data, offsets, words)
+    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(2)
+            token = lists.flatten().to_numpy()
+            n = lists.value_lengths().to_numpy()
+            row = np.repeat(np.arange(len(n)), n)
+            pos = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+            some = passes(sent.value, token)
+            row = row[some]
             yield pa.RecordBatch.from_arrays(
-                [rows.column(0), pa.array([_node(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())],
-                ["doc_id", "node", "shingles"],
+                [
+                    pa.array(token[some]),
+                    pa.array(batch.column(0).to_numpy()[row]),
+                    pa.array(batch.column(1).to_numpy()[row]),
+                    pa.array(pos[some], pa.int32()),
+                ],
+                ["token", "grp", "size", "pos"],
             )
 
+    likely = rows.mapInArrow(post, "token long, grp long, size int, pos int")
+    return salted_join(likely, shared, ["token"], "grp", "left_semi").distinct()
+
+
+def _wanted_texts(docs: DataFrame, heads: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(node, text) for the nodes in ``pairs``, each read from one of its rows.
+
+    A filter of bounded size spares other texts the shuffle; what it lets
+    through in excess finds no node in the join.
+    """
+    ids = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    wanted = materialize(heads.select("node", "key").join(ids, "node", "left_semi"), "wanted-nodes")
+    sent = docs.sparkSession.sparkContext.broadcast(key_filter(wanted.select("key")))
+
     def screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()  # a row that repeats goes once a task
         for batch in batches:
-            keep = passes(sent.value, batch.column(0).to_numpy())
-            yield pa.RecordBatch.from_arrays(batch.columns[1:], ["node", "shingles"]).filter(pa.array(keep))
+            keys = batch.column(0).to_numpy()
+            likely = passes(sent.value, keys)
+            for i in np.flatnonzero(likely).tolist():
+                likely[i] = int(keys[i]) not in seen
+                seen.add(int(keys[i]))
+            yield batch.filter(pa.array(likely))
 
-    sets = docs.select("doc_id", "text").mapInArrow(work, "doc_id long, node long, shingles binary")
-    keyed = sets.select(_filter_key("node", "doc_id").alias("key"), "node", "shingles")
-    return keyed.mapInArrow(screen, "node long, shingles binary").dropDuplicates(["node"])
+    rows = docs.select("key", "text")
+    return materialize(rows.mapInArrow(screen, rows.schema).join(wanted, "key").select("node", "text"), "wanted-texts")
 
 
-def _attach(pairs: DataFrame, sets: DataFrame, side: str, other: str) -> DataFrame:
-    """``pairs`` with the set of its ``side``. A node in many pairs is salted by
-    the other side, its set repeated for the salts that occur only."""
+def _attach(pairs: DataFrame, texts: DataFrame, side: str, other: str) -> DataFrame:
+    """``pairs`` with the text of its ``side``. A node in many pairs is salted
+    by the other side, its text repeated for the salts that occur only."""
     salted = pairs.withColumn("_salt", F.pmod(F.xxhash64(other, F.lit(3)), F.lit(64)))
     keys = salted.select(side, "_salt").distinct()
-    found = keys.join(sets.select(F.col("node").alias(side), F.col("shingles").alias(f"set_{side}")), side)
+    found = keys.join(texts.select(F.col("node").alias(side), F.col("text").alias(f"text_{side}")), side)
     return salted.join(found, [side, "_salt"]).drop("_salt")
 
 
-def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (u, v) of ``pairs`` (a, b) whose whole sets link."""
+def verify(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """The pairs (u, v) of ``pairs`` (a, b) whose whole sets link; sets are
+    made from the texts again, which are a fraction of their size."""
+
+    def sets(column: pa.Array) -> Iterator[np.ndarray]:
+        data, offsets = utf8(column)
+        for lo, hi in row_chunks(offsets):
+            yield from shingle_sets(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], words)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+            for x, y in zip(sets(batch.column(2)), sets(batch.column(3))):
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays(batch.columns[:2], ["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
-    sized = _attach(_attach(pairs.select("a", "b"), sets, "a", "b"), sets, "b", "a")
-    return sized.select("a", "b", "set_a", "set_b").mapInArrow(work, "u long, v long")
+    full = _attach(_attach(pairs.select("a", "b"), texts, "a", "b"), texts, "b", "a")
+    return full.select("a", "b", "text_a", "text_b").mapInArrow(work, "u long, v long")
 
 
 def link_components(docs: DataFrame, words: int = SHINGLE_WORDS, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of ``docs`` (doc_id, text)."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    docs = docs.select(F.xxhash64("doc_id", "text").alias("key"), "doc_id", "text")
     rows = materialize(prefixes(docs, rarity_sketch(docs, words), words, percent), "prefixes")
-    filled = rows.where("size > 0")
     heads = materialize(
-        filled.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("size").alias("size"), F.first("grp").alias("grp")),
+        rows.where("size > 0")
+        .groupBy("node")
+        .agg(F.min("doc_id").alias("rep"), F.min("key").alias("key"), F.max("size").alias("size"), F.max("grp").alias("grp")),
         "nodes",
     )
     leaders = heads.groupBy("grp").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("members"))
-
-    # prefix shingles of groups, those in one prefix only dropped
-    groups = filled.groupBy("grp").agg(F.first("size").alias("size"), F.first("prefix").alias("prefix"))
-    tokens = groups.select("grp", "size", F.posexplode("prefix").alias("pos", "token")).select(
-        "token", "grp", F.expr("shiftleft(CAST(size AS LONG), 31) + pos").alias("place")
-    )
-    shared = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("token")
-    posts = materialize(
-        salted_join(tokens, shared, ["token"], "grp", "left_semi").select(
-            "token", "grp", F.shiftright("place", 31).alias("size"), F.expr("place & 2147483647").alias("pos")
-        ),
-        "prefix-posts",
-    )
+    posts = materialize(prefix_posts(rows), "prefix-posts")
 
     # one pair a node
     classed = posts.withColumn("class", F.floor(F.log(F.col("size").cast("double")) / F.log(F.lit(100 / percent))))
@@ -246,7 +290,7 @@ def link_components(docs: DataFrame, words: int = SHINGLE_WORDS, percent: int =
         .select(F.col("node").alias("a"), F.col("leader").alias("b"))
     )
     pairs = materialize(across.unionByName(inside).distinct(), "pairs")
-    links = materialize(verify(pairs, _wanted_sets(docs, heads, pairs, words), percent), "links")
+    links = materialize(verify(pairs, _wanted_texts(docs, heads, pairs), words, percent), "links")
     found = materialize(components(links), "components")
 
     # all pairs between different components
@@ -257,7 +301,7 @@ def link_components(docs: DataFrame, words: int = SHINGLE_WORDS, percent: int =
     many = labelled.join(leaders.where("members > 1").select("grp"), "grp", "left_semi")
     mixed_groups = many.groupBy("grp").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y")
     own = salted_join(many, mixed_groups.select("grp"), ["grp"], "node", "left_semi").select(
-        F.xxhash64("grp", F.lit(9)).alias("token"), "node", "component", F.col("size").cast("long").alias("size"), F.lit(0).cast("long").alias("pos")
+        F.xxhash64("grp", F.lit(9)).alias("token"), "node", "component", "size", F.lit(0).alias("pos")
     )
     spread = posts.join(labelled.drop("size"), "grp").select("token", "node", "component", "size", "pos")
     mixed = spread.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y")
@@ -275,7 +319,7 @@ def link_components(docs: DataFrame, words: int = SHINGLE_WORDS, percent: int =
         .distinct()
     )
     rest = materialize(rest, "open-pairs")
-    more = materialize(verify(rest, _wanted_sets(docs, heads, rest, words), percent), "open-links")
+    more = materialize(verify(rest, _wanted_texts(docs, heads, rest), words, percent), "open-links")
     stars = found.where("node <> component").select(F.col("node").alias("u"), F.col("component").alias("v"))
     final = components(stars.unionByName(more))
 
