@@ -25,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -342,7 +343,7 @@ def decode(tokens: DataFrame, ranks_path: str, ids_col: str = "token_ids", out:
         for batch in batches:
             lists = batch.column(batch.schema.get_field_index(ids_col))
             ids = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-            sizes = [len(x) if x is not None else 0 for x in lists]
+            sizes = pc.fill_null(lists.value_lengths(), 0).to_numpy()
             data, offsets = vocabulary.decode(ids)
             raw, at = data.tobytes(), offsets[np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])].tolist()
             yield pa.RecordBatch.from_arrays(
@@ -352,14 +353,17 @@ def decode(tokens: DataFrame, ranks_path: str, ids_col: str = "token_ids", out:
     return kept.mapInArrow(work, schema)
 
 
-def round_trip(docs: DataFrame, ranks_path: str, text_col: str = "text") -> DataFrame:
+def round_trip(docs: DataFrame, ranks_path: str, text_col: str = "text", packed: str | None = None) -> DataFrame:
     """Every row of ``docs`` without its text, plus n_tokens, ids_sha256 and
     decoded_sha256 (columns of these names are replaced).
 
-    Encodes, then decodes the ids, a bounded chunk at a time, and keeps only
-    digests: neither ids nor decoded bytes travel.
+    Encodes, then decodes the ids, a bounded chunk at a time. Decoded bytes do
+    not travel; ids do where ``packed`` names a column for them, 32-bit
+    little-endian integers in one binary value.
     """
     out = {"n_tokens": T.LongType(), "ids_sha256": T.StringType(), "decoded_sha256": T.StringType()}
+    if packed:
+        out[packed] = T.BinaryType()
     kept = docs.drop(*out)
     fields = [f for f in kept.schema if f.name != text_col]
     schema = T.StructType([*fields, *(T.StructField(n, t) for n, t in out.items())])
@@ -372,12 +376,17 @@ def round_trip(docs: DataFrame, ranks_path: str, text_col: str = "text") -> Data
             back, places = vocabulary.decode(ids)
             words, raw = list(map(names.__getitem__, ids.tolist())), back.tobytes()
             at, where = cuts.tolist(), places[cuts].tolist()
+            more = []
+            if packed:
+                flat = ids.astype("<u4").tobytes()
+                more = [pa.array([flat[4 * a : 4 * b] for a, b in zip(at, at[1:])], pa.binary())]
             yield pa.RecordBatch.from_arrays(
                 [
                     *(rows.column(rows.schema.get_field_index(f.name)) for f in fields),
                     pa.array(np.diff(cuts)),
                     pa.array([hashlib.sha256(" ".join(words[a:b]).encode()).hexdigest() for a, b in zip(at, at[1:])]),
                     pa.array([hashlib.sha256(raw[a:b]).hexdigest() for a, b in zip(where, where[1:])]),
+                    *more,
                 ],
                 schema.names,
             )

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vsframe.llm.common import ASCII_SPACE, ascii_lower, materialize, salted_join
+from vsframe.llm.common import ASCII_SPACE, ascii_lower, fresh, materialize, salted_join
 
 #: Shorter keys never go, and keys in fewer documents.
 MIN_CHARS = 20
@@ -80,27 +80,30 @@ _FLAGS = """CAST(array_join(transform(dropped, (x, i) -> concat(
     reverse(lpad(bin(x.bits), 64, '0')))), '') AS BINARY)"""
 
 
-def drop_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
-    """``docs`` with _lines and _kept (arrays of lines) after line dedup.
+def drop_lines(docs: DataFrame, out: tuple[str, str], min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
+    """``docs`` with two more columns named by ``out``: arrays of all lines of
+    the text and of those that stay.
 
     Bitmaps are unpacked on their own side of the join, once a document.
     """
-    flags = drop_bitmaps(docs.select(F.col("doc_id"), F.col("text")), min_chars, min_docs).select(
-        F.col("doc_id").alias("_id"), F.col("row").alias("_row"), F.expr(_FLAGS).alias("_flags")
+    lines, kept = out
+    id_, row, flags = fresh(docs, "_id", "_row", "_flags")
+    found = drop_bitmaps(docs.select("doc_id", "text"), min_chars, min_docs).select(
+        F.col("doc_id").alias(id_), F.col("row").alias(row), F.expr(_FLAGS).alias(flags)
     )
-    joined = docs.join(flags, docs["doc_id"].eqNullSafe(F.col("_id")) & (_row(docs["text"]) == F.col("_row")), "left")
-    kept = F.filter(
-        "_lines",
-        lambda line, i: F.col("_flags").isNull()
-        | (i >= F.octet_length("_flags"))
-        | (F.substring(F.col("_flags"), i + 1, F.lit(1)) == F.lit(b"0")),
+    joined = docs.join(found, docs["doc_id"].eqNullSafe(F.col(id_)) & (_row(docs["text"]) == F.col(row)), "left")
+    stays = F.filter(
+        lines,
+        lambda line, i: F.col(flags).isNull()
+        | (i >= F.octet_length(flags))
+        | (F.substring(F.col(flags), i + 1, F.lit(1)) == F.lit(b"0")),
     )
-    return joined.drop("_id", "_row").withColumn("_lines", _lines(F.col("text"))).withColumn("_kept", kept).drop("_flags")
+    return joined.drop(id_, row).withColumn(lines, _lines(F.col("text"))).withColumn(kept, stays).drop(flags)
 
 
 def line_dedup_report(docs: DataFrame) -> DataFrame:
     """doc_id, n_lines, n_dropped, kept_sha256."""
-    cut = drop_lines(docs.select("doc_id", "text"))
+    cut = drop_lines(docs.select("doc_id", "text"), ("_lines", "_kept"))
     return cut.select(
         "doc_id",
         F.size("_lines").cast("long").alias("n_lines"),
