@@ -66,7 +66,7 @@ def main() -> None:
         builder = builder.config(key, value)
     spark = builder.config("spark.sql.maxMetadataStringLength", "10000").getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    import __spark_entry__ as entry
+    from vsframe.plans.supplied import QUERIES
 
     out = [
         "# Physical plans of the registered queries",
@@ -77,7 +77,7 @@ def main() -> None:
         "broadcasts left then are the ones bounded by construction).",
         "",
     ]
-    for name, fn in entry.queries().items():
+    for name, fn in QUERIES.items():
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
         s = _summary(_final(fn(spark, sf_dir)))

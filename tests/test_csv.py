@@ -53,3 +53,30 @@ def test_null_value_token_applies_to_text_columns(spark):
     assert sorted(tuple(r) for r in plain.collect()) == [("NA", "x", None), ("a", "NA", 1)]
     na = read_typed_csv(spark, path, {"n": "int"}, columns=["s", "t", "n"], null_value="NA")
     assert sorted((tuple(r) for r in na.collect()), key=repr) == sorted([(None, "x", None), ("a", None, 1)], key=repr)
+
+
+class _Session:
+    """What checkpoint_root reads of a session."""
+
+    def __init__(self, conf, checkpoint=None, master="local[2]"):
+        self._values = conf
+        self.conf = self
+        self.sparkContext = type("Context", (), {"getCheckpointDir": lambda _: checkpoint, "master": master})()
+
+    def get(self, key, *default):
+        return self._values.get(key, *default) if default else self._values[key]
+
+
+def test_checkpoint_root_branches():
+    import pytest
+
+    from vsframe.session import checkpoint_root
+
+    warehouse = {"spark.sql.warehouse.dir": "file:/wh"}
+    assert checkpoint_root(_Session({"spark.checkpoint.dir": "file:///shared/"} | warehouse, "hdfs://n/c")) == "file:///shared"
+    assert checkpoint_root(_Session(warehouse, "hdfs://n/c/")) == "hdfs://n/c"
+    assert checkpoint_root(_Session(warehouse)) == "file:/wh"
+    for found in (None, "file:///c", "/c"):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            checkpoint_root(_Session(warehouse, found, "spark://host:7077"))
+    assert checkpoint_root(_Session({"spark.sql.warehouse.dir": "s3a://b/wh"}, None, "yarn")) == "s3a://b/wh"

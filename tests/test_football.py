@@ -147,9 +147,11 @@ EXPECTED_Q4 = [
 ]
 
 
-@pytest.mark.parametrize("strategy,collapse,hot", [("range", False, 0), ("window", False, 0), ("range", True, 3)])
-def test_q4_longest_unbeaten(results, strategy, collapse, hot):
-    out = fb.longest_unbeaten(results, strategy=strategy, collapse_copies=collapse, hot_keys=hot)
+@pytest.mark.parametrize(
+    "strategy,collapse,per_salt", [("bucket", False, 2_000_000), ("window", False, None), ("bucket", True, 1)]
+)
+def test_q4_longest_unbeaten(results, strategy, collapse, per_salt):
+    out = fb.longest_unbeaten(results, strategy=strategy, collapse_copies=collapse, rows_per_salt=per_salt)
     assert out.columns == [
         "Reprezentacija", "Poraz od", "Poraz datum", "Prethodni poraz od", "Prethodni poraz datum", "Period-dana",
     ]

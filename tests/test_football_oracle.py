@@ -24,7 +24,7 @@ SCORERS = ["Ana", "Bo", "Cy", None]
 DATES = [dt.date(1979, 12, 30) + dt.timedelta(days=d) for d in (0, 2, 3, 400, 4000, 4001, 9000)] + [
     dt.date(1990, 6, 1), dt.date(1994, 6, 1), dt.date(1998, 6, 1)]
 
-score = st.one_of(st.integers(0, 4).map(str), st.just("NA"), st.just(""))
+score = st.one_of(st.integers(0, 4).map(str), st.integers(0, 4).map(lambda n: f"{n}.0"), st.just("NA"), st.just(""))
 date = st.one_of(st.sampled_from(DATES).map(str), st.just("NA"))
 match = st.tuples(date, st.sampled_from(TEAMS), st.sampled_from(TEAMS), score, score,
                   st.sampled_from(TOURNAMENTS), st.sampled_from(COUNTRIES))
@@ -43,7 +43,8 @@ RESULTS = """
 CREATE OR REPLACE TABLE raw_r AS SELECT * FROM read_csv('{p}', header = true, all_varchar = true);
 CREATE OR REPLACE TABLE raw_g AS SELECT * FROM read_csv('{q}', header = true, all_varchar = true);
 CREATE OR REPLACE VIEW r AS SELECT TRY_CAST(date AS DATE) AS date, home_team, away_team,
-  TRY_CAST(home_score AS INTEGER) AS hs, TRY_CAST(away_score AS INTEGER) AS aws, tournament, country
+  TRY_CAST(regexp_replace(home_score, '\\.0$', '') AS INTEGER) AS hs,
+  TRY_CAST(regexp_replace(away_score, '\\.0$', '') AS INTEGER) AS aws, tournament, country
 FROM raw_r;
 CREATE OR REPLACE VIEW g AS SELECT TRY_CAST(date AS DATE) AS date, home_team, away_team, team, scorer
 FROM raw_g;

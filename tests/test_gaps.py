@@ -1,4 +1,4 @@
-"""event_gaps / longest_gaps: the skew-safe range strategy against the window one."""
+"""event_gaps / longest_gaps: the skew-safe bucket strategy against the window one."""
 
 import datetime as dt
 import os
@@ -14,10 +14,10 @@ from vsframe.operators import event_gaps, longest_gaps
 SCHEMA = "entity string, day date, seq int, val bigint, kind string"
 
 
-def _gaps(df, strategy, partitions=None, open_end=None):
+def _gaps(df, strategy, bucket=None, open_end=None):
     return event_gaps(
         df, "entity", "day", order=["seq"], carry=["val", "seq"], event=F.col("kind") == "loss",
-        strategy=strategy, partitions=partitions, open_end=open_end,
+        strategy=strategy, bucket=bucket, open_end=open_end,
     )
 
 
@@ -25,13 +25,12 @@ def _sorted(df):
     return sorted((tuple(r) for r in df.collect()), key=repr)
 
 
-@pytest.fixture
-def small_batches(spark):
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    old = spark.conf.get(key)
-    spark.conf.set(key, "3")
-    yield
-    spark.conf.set(key, old)
+BUCKETS = {
+    "day": lambda: None,
+    "week": lambda: F.date_trunc("week", "day"),
+    "month": lambda: F.trunc("day", "month"),
+    "one": lambda: F.lit(1),
+}
 
 
 def _events(seed, n, hot_share):
@@ -48,25 +47,12 @@ def _events(seed, n, hot_share):
 # VSFRAME_EXAMPLES raises the number of random cases for a deeper run.
 @settings(max_examples=int(os.environ.get("VSFRAME_EXAMPLES", "12")), deadline=None,
           suppress_health_check=list(HealthCheck))
-@given(seed=st.integers(0, 10_000), n=st.integers(0, 80), hot=st.floats(0.0, 0.9), parts=st.integers(1, 7))
-def test_range_equals_window(spark, small_batches, seed, n, hot, parts):
+@given(seed=st.integers(0, 10_000), n=st.integers(0, 80), hot=st.floats(0.0, 0.9), bucket=st.sampled_from(sorted(BUCKETS)))
+def test_bucket_equals_window(spark, seed, n, hot, bucket):
     df = spark.createDataFrame(_events(seed, n, hot), SCHEMA)
-    assert _sorted(_gaps(df, "range", parts)) == _sorted(_gaps(df, "window"))
+    assert _sorted(_gaps(df, "bucket", BUCKETS[bucket]())) == _sorted(_gaps(df, "window"))
     end = "2020-02-15"
-    assert _sorted(_gaps(df, "range", parts, end)) == _sorted(_gaps(df, "window", None, end))
-
-
-def test_hot_entity_spans_partitions(spark, small_batches):
-    # one entity holds most rows and crosses every partition boundary
-    data = [("hot", dt.date(2020, 1, 1) + dt.timedelta(days=i), i, i, "loss") for i in range(200)]
-    data += [("cold", dt.date(2020, 1, 1) + dt.timedelta(days=3 * i), i, i, "loss") for i in range(5)]
-    df = spark.createDataFrame(data, SCHEMA)
-    got = _gaps(df, "range", 8)
-    assert got.where("entity = 'hot'").count() == 199
-    assert got.where("entity = 'hot' and gap_days != 1").count() == 0
-    assert _sorted(got) == _sorted(_gaps(df, "window"))
-    # every boundary row found its predecessor in the previous partition
-    assert got.where("prev_seq != seq - 1 and entity = 'hot'").count() == 0
+    assert _sorted(_gaps(df, "bucket", BUCKETS[bucket](), end)) == _sorted(_gaps(df, "window", None, end))
 
 
 def test_output_columns_and_open_runs(spark):
@@ -75,7 +61,7 @@ def test_output_columns_and_open_runs(spark):
          ("x", dt.date(2020, 1, 9), 3, 30, "loss"), ("y", dt.date(2020, 2, 1), 1, 5, "loss")],
         SCHEMA,
     )
-    got = _gaps(df, "range", 2)
+    got = _gaps(df, "bucket")
     assert got.columns == ["entity", "day", "seq", "val", "prev_day", "prev_val", "prev_seq", "gap_days"]
     assert [tuple(r) for r in got.collect()] == [("x", dt.date(2020, 1, 9), 3, 30, dt.date(2020, 1, 1), 10, 1, 8)]
     open_runs = event_gaps(df, "entity", "day", order=["seq"], event=F.col("kind") == "loss", closed_only=False)
@@ -116,11 +102,11 @@ def test_longest_total_order_and_per_entity(spark):
 
 
 @settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
-@given(seed=st.integers(0, 10_000), n=st.integers(1, 60), parts=st.integers(1, 5))
-def test_gaps_telescope_to_span(spark, seed, n, parts):
+@given(seed=st.integers(0, 10_000), n=st.integers(1, 60))
+def test_gaps_telescope_to_span(spark, seed, n):
     """Per entity, the closed gaps sum to last event date minus first event date."""
     df = spark.createDataFrame(_events(seed, n, 0.5), SCHEMA).where("day is not null and kind = 'loss'")
-    gaps = _gaps(df, "range", parts)
+    gaps = _gaps(df, "bucket")
     total = {r[0]: r[1] for r in gaps.groupBy("entity").agg(F.sum("gap_days")).collect()}
     span = {
         r["entity"]: r["span"]
@@ -131,11 +117,42 @@ def test_gaps_telescope_to_span(spark, seed, n, parts):
     assert total == span
 
 
-def test_hot_third_is_spread_over_partitions(spark):
-    """One user with a third of all events: the range exchange used by the gap
-    operator keeps every partition near the average size, and the answer
-    still equals the per-user window's."""
-    n, parts = 30_000, 12
+@pytest.fixture(params=["true", "false"])
+def exchange_reuse(spark, request):
+    """Many partitions, with shared exchanges and without."""
+    conf = {"spark.sql.exchange.reuse": request.param, "spark.sql.shuffle.partitions": "8"}
+    old = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in old.items():
+        spark.conf.set(k, v)
+
+
+@pytest.mark.parametrize("copies", [False, True])
+def test_many_events_equal_the_window(spark, exchange_reuse, copies):
+    """400,000 events of 5 users, a third of them one user's."""
+    n = 400_000
+    df = spark.range(n, numPartitions=8).select(
+        F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.concat(F.lit("u"), F.col("id") % 4)).alias("entity"),
+        (F.lit(dt.datetime(2024, 1, 1)) + F.make_dt_interval(secs=(F.xxhash64("id") % 2_000_000).cast("decimal(18,6)")))
+        .cast("timestamp_ntz").alias("ts"),
+        (F.col("id") % 7).alias("seq"),
+    )
+    df = df.unionAll(df.where("seq = 0 AND entity = 'hot'").limit(50))
+
+    def bag(strategy):
+        got = event_gaps(df, "entity", "ts", order=["seq"], strategy=strategy, collapse_copies=copies,
+                         bucket=F.date_trunc("hour", "ts") if strategy == "bucket" else None)
+        return got.agg(F.count("*"), F.sum(F.xxhash64(*got.columns).cast("decimal(38,0)"))).first()
+
+    got, want = bag("bucket"), bag("window")
+    assert got == want and got[0] == n + 50 - 5
+
+
+def test_hot_third_is_spread_over_tasks(spark):
+    """One user with a third of all events: no group that a lag task gets is large."""
+    n = 30_000
     df = spark.range(n).select(
         F.when(F.col("id") % 3 == 0, F.lit(0)).otherwise(F.col("id") % 500 + 1).alias("entity"),
         (F.lit(dt.date(2020, 1, 1)) + (F.col("id") % 700).cast("int")).alias("day"),
@@ -143,74 +160,32 @@ def test_hot_third_is_spread_over_partitions(spark):
         F.col("id").alias("val"),
         F.lit("loss").alias("kind"),
     )
-    sizes = [
-        r["n"]
-        for r in df.repartitionByRange(parts, "entity", "day", "seq")
-        .groupBy(F.spark_partition_id().alias("p"))
-        .agg(F.count(F.lit(1)).alias("n"))
-        .collect()
-    ]
-    assert max(sizes) < 2 * n / parts  # the hot user alone would be n / 3
-    got = _gaps(df, "range", parts)
+    assert df.groupBy("entity", "day").count().agg(F.max("count")).first()[0] < 50
+    got = _gaps(df, "bucket")
     assert got.count() == n - 501
     assert got.exceptAll(_gaps(df, "window")).count() == 0
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in plan and "rangepartitioning" not in plan
 
 
 @settings(max_examples=int(os.environ.get("VSFRAME_EXAMPLES", "6")), deadline=None,
           suppress_health_check=list(HealthCheck))
-@given(seed=st.integers(0, 10_000), n=st.integers(0, 50), copies=st.integers(1, 40), parts=st.integers(1, 5))
-def test_collapse_copies_is_exact(spark, seed, n, copies, parts):
+@given(seed=st.integers(0, 10_000), n=st.integers(0, 50), copies=st.integers(1, 40))
+def test_collapse_copies_is_exact(spark, seed, n, copies):
     rows = _events(seed, n, 0.3)
     hot = ("hot", dt.date(2020, 1, 10), 7, 1, "loss")
     df = spark.createDataFrame(rows + [hot] * copies, SCHEMA)
     want = _sorted(_gaps(df, "window"))
-    for strategy in ("range", "window"):
+    for strategy in ("bucket", "window"):
         got = event_gaps(
             df, "entity", "day", order=["seq"], carry=["val", "seq"], event=F.col("kind") == "loss",
-            strategy=strategy, partitions=parts, collapse_copies=True,
+            strategy=strategy, collapse_copies=True,
         )
         assert _sorted(got) == want
 
 
 def test_collapse_copies_counts_before_the_shuffle(spark):
     df = spark.createDataFrame([("hot", dt.date(2020, 1, 1), 1, 1, "loss")] * 500, SCHEMA)
-    got = event_gaps(df, "entity", "day", order=["seq"], collapse_copies=True, partitions=4)
+    got = event_gaps(df, "entity", "day", order=["seq"], collapse_copies=True)
     assert got.count() == 499 and got.where("gap_days != 0").count() == 0
-    text = got._jdf.queryExecution().executedPlan().toString()
-    assert "partial_count" in text
-    head, _, tail = text.partition("rangepartitioning")
-    assert "partial_count" in tail  # the copy count is taken below the range exchange
-
-
-def test_lag_kernel_across_batches_without_spark():
-    """The per-partition lag over Arrow batches, called directly."""
-    import pyarrow as pa
-
-    from vsframe.operators.gaps import _HEAD, _lag_in_partition
-
-    def batch(ents, days, vals):
-        return pa.RecordBatch.from_arrays(
-            [pa.array(ents, pa.string()), pa.array(days, pa.int32()), pa.array(vals, pa.int64())], names=["e", "d", "v"]
-        )
-
-    empty = batch([], [], [])
-    batches = [
-        empty,
-        batch(["a", "a"], [1, 2], [10, None]),
-        empty,
-        batch(["a", "b", None], [3, 1, 5], [30, 40, 50]),
-        batch([None, "b"], [6, 2], [60, 70]),
-    ]
-    run = _lag_in_partition("e", ["d", "v"], ["prev_d", "prev_v"])
-    out = pa.Table.from_batches(list(run(iter(batches))))
-    assert out.column_names == ["e", "d", "v", "prev_d", "prev_v", _HEAD]
-    got = list(zip(*[out.column(c).to_pylist() for c in ("e", "d", "prev_d", "prev_v", _HEAD)]))
-    assert got == [
-        ("a", 1, None, None, True),   # first row of the partition: patched later from the hand-off
-        ("a", 2, 1, 10, False),
-        ("a", 3, 2, None, False),     # predecessor from the previous batch, null value carried
-        ("b", 1, None, None, False),  # new entity
-        (None, 5, None, None, False),
-        (None, 6, 5, 50, False),      # a null entity is one entity, across the batch boundary
-        ("b", 2, None, None, False),  # same name, not adjacent: not its predecessor here
-    ]
+    assert "partial_count" in got._jdf.queryExecution().executedPlan().toString()

@@ -176,7 +176,7 @@ def test_apply_types_lenient_and_idempotent(spark):
     typed = apply_types(df, {"d": "date", "n": "int"}, ["f"])
     assert typed.dtypes == [("d", "date"), ("n", "int"), ("f", "boolean"), ("other", "string")]
     assert [tuple(r) for r in typed.collect()] == [
-        (dt.date(2020, 1, 2), 5, True, "x"), (None, None, False, "y"), (None, None, False, "z"),
+        (dt.date(2020, 1, 2), 5, True, "x"), (None, None, False, "y"), (None, 1, False, "z"),
     ]
     # typing an already-typed column is a no-op (the reference re-applies to_date)
     assert [tuple(r) for r in apply_types(typed, {"d": "date"}).collect()] == [tuple(r) for r in typed.collect()]
@@ -186,7 +186,7 @@ def test_empty_inputs_give_empty_results(spark):
     from vsframe import event_gaps, longest_gaps
 
     ev = spark.createDataFrame([], "entity string, day date, seq int, val bigint")
-    for strategy in ("range", "window"):
+    for strategy in ("bucket", "window"):
         gaps = event_gaps(ev, "entity", "day", order=["seq"], carry=["val"], strategy=strategy)
         assert gaps.collect() == []
         assert gaps.columns == ["entity", "day", "seq", "val", "prev_day", "prev_val", "gap_days"]
@@ -201,6 +201,22 @@ def test_empty_inputs_give_empty_results(spark):
     assert repeated_in_group(matches, ["a"]).collect() == []
 
 
+def test_lenient_whole_numbers(spark):
+    """What Spark casts them to with ANSI mode off."""
+    from vsframe import lenient
+
+    want = {
+        "45.0": 45, "3.7": 3, "-0.5": 0, "-3.9": -3, "+4.2": 4, ".5": 0, "5.": 5, ".": 0, "-.": 0, "-": None, "+": None,
+        "1e3": None, "": None, " 7 ": 7, "\t8.2\n": 8, "2147483647.9": 2147483647, "1.2.3": None, "1.a": None,
+        "NA": None, "00012": 12, "1 2": None, "3,5": None, "\u0661": None,
+    }
+    df = spark.createDataFrame([(k,) for k in want] + [("2147483648",), ("9223372036854775808",), (None,)], "s string")
+    got = {r[0]: (r[1], r[2]) for r in df.select("s", lenient("s", "int"), lenient("s", "bigint")).collect()}
+    assert {k: got[k] for k in want} == {k: (v, v) for k, v in want.items()}
+    assert got["2147483648"] == (None, 2147483648) and got["9223372036854775808"] == (None, None)
+    assert got[None] == (None, None)
+
+
 def test_lenient_timestamps(spark):
     from vsframe import lenient
 
@@ -218,8 +234,8 @@ def test_restrict_with_hot_key_salting_is_exact_and_spreads(spark):
     keys = ["hot"] * 600 + [rnd.choice(["a", "b", "c", "d", None]) for _ in range(300)]
     facts = spark.createDataFrame([(k, i % 5) for i, k in enumerate(keys)] + [("hot", 1)] * 50, "team string, v int")
     members = spark.createDataFrame([("hot",), ("a",), ("c",), (None,), ("a",)], "team string")
-    plain = rows(restrict_to_members(facts, members, "team"))
-    salted_df = restrict_to_members(facts, members, "team", hot_keys=2, salts=8)
+    plain = rows(restrict_to_members(facts, members, "team", rows_per_salt=None))
+    salted_df = restrict_to_members(facts, members, "team", rows_per_salt=80)
     assert rows(salted_df) == plain and salted_df.columns == facts.columns
     # the hot key's rows are spread over the salts, not held by one task
     coalesce = "spark.sql.adaptive.coalescePartitions.enabled"
@@ -230,9 +246,23 @@ def test_restrict_with_hot_key_salting_is_exact_and_spreads(spark):
     finally:
         spark.conf.set(coalesce, old)
     assert max(r["count"] for r in per_task) < 650 / 2
-    # salts sized from the hot key's own row count: 650 rows / 100 per salt
-    sized = restrict_to_members(facts, members, "team", hot_keys=2, rows_per_salt=100)
-    assert rows(sized) == plain
+
+
+def test_every_hot_key_is_salted(spark):
+    """More hot keys than any fixed number of them would take."""
+    facts = spark.range(20_000).select((F.col("id") % 100).alias("k"), F.col("id").alias("v"))
+    members = spark.range(0, 200, 2).select(F.col("id").alias("k"))
+    got = restrict_to_members(facts, members, "k", rows_per_salt=50)
+    assert got.count() == 10_000 and got.where("k % 2 = 1").count() == 0
+    coalesce = "spark.sql.adaptive.coalescePartitions.enabled"
+    old = spark.conf.get(coalesce)
+    spark.conf.set(coalesce, "false")
+    try:
+        tasks = got.groupBy("k", F.spark_partition_id().alias("p")).count()
+        spread = tasks.groupBy("k").count()
+        assert spread.count() == 50 and spread.agg(F.min("count")).first()[0] > 1
+    finally:
+        spark.conf.set(coalesce, old)
 
 
 @settings(max_examples=int(os.environ.get("VSFRAME_EXAMPLES", "8")), deadline=None,
@@ -240,16 +270,13 @@ def test_restrict_with_hot_key_salting_is_exact_and_spreads(spark):
 @given(
     facts=st.lists(st.tuples(st.sampled_from(["h", "a", "b", None]), st.integers(0, 3)), max_size=60),
     members=st.lists(st.sampled_from(["h", "a", "z", None]), max_size=6),
-    hot=st.integers(1, 3),
-    salts=st.integers(1, 9),
     per_salt=st.integers(1, 20),
 )
-def test_salted_restrict_equals_plain(spark, facts, members, hot, salts, per_salt):
+def test_salted_restrict_equals_plain(spark, facts, members, per_salt):
     f = spark.createDataFrame(facts, "k string, v int")
     m = spark.createDataFrame([(x,) for x in members], "k string")
-    plain = rows(restrict_to_members(f, m, "k"))
-    assert rows(restrict_to_members(f, m, "k", hot_keys=hot, salts=salts)) == plain
-    assert rows(restrict_to_members(f, m, "k", hot_keys=hot, rows_per_salt=per_salt)) == plain
+    plain = rows(restrict_to_members(f, m, "k", rows_per_salt=None))
+    assert rows(restrict_to_members(f, m, "k", rows_per_salt=per_salt)) == plain
 
 
 def test_less_used_branches(spark):

@@ -12,6 +12,8 @@ import pytest
 
 import __spark_entry__ as entry
 from conftest import SF001
+from vsframe.plans.supplied import QUERIES
+from vsframe.plans.supplied_sql import ORACLE_SQL
 
 SF001 = os.environ.get("VSFRAME_ORACLE_SF", SF001)
 
@@ -36,15 +38,16 @@ def _norm(v):
 
 
 def test_every_query_has_an_oracle():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(QUERIES) == set(ORACLE_SQL)
+    assert set(QUERIES) <= set(entry.queries()) and set(ORACLE_SQL) <= set(entry.oracle_sql())
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_matches_oracle(spark, duck, name):
-    df = entry.queries()[name](spark, SF001)
+    df = QUERIES[name](spark, SF001)
     cols = sorted(df.columns)
     got = sorted((tuple(_norm(r[c]) for c in cols) for r in df.collect()), key=repr)
-    rel = duck.sql(entry.oracle_sql()[name])
+    rel = duck.sql(ORACLE_SQL[name])
     assert sorted(rel.columns) == cols
     duck_types = dict(zip(rel.columns, (str(t) for t in rel.types)))
     assert {c: DUCK_TYPE.get(t) for c, t in df.dtypes} == duck_types
@@ -54,6 +57,15 @@ def test_query_matches_oracle(spark, duck, name):
     assert got == want
 
 
+@pytest.mark.parametrize("name", ["repeat_in_group_enriched", "period_top_n_with_mode"])
+def test_order_matches_oracle(spark, duck, name):
+    """K3, K4: row by row, in the order returned."""
+    df = QUERIES[name](spark, SF001)
+    rel = duck.sql(ORACLE_SQL[name])
+    got = [tuple(_norm(r[c]) for c in rel.columns) for r in df.collect()]
+    assert got == [tuple(map(_norm, r)) for r in rel.fetchall()] and len(got) > 1
+
+
 def test_entry_smoke(spark):
     df = entry.entry(spark)
     rows = df.collect()
@@ -70,20 +82,19 @@ def test_queries_match_oracle_as_sort_merge_joins(spark, duck):
     for k in keys:
         spark.conf.set(k, "-1")
     try:
-        for name, fn in entry.queries().items():
+        for name, fn in QUERIES.items():
             df = fn(spark, SF001)
             cols = sorted(df.columns)
             got = sorted((tuple(_norm(r[c]) for c in cols) for r in df.collect()), key=repr)
-            rel = duck.sql(entry.oracle_sql()[name])
+            rel = duck.sql(ORACLE_SQL[name])
             idx = {c: i for i, c in enumerate(rel.columns)}
             want = sorted((tuple(_norm(r[idx[c]]) for c in cols) for r in rel.fetchall()), key=repr)
             assert got == want, name
             final = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
             assert "BroadcastNestedLoopJoin" not in final and "CartesianProduct" not in final, name
             if "BroadcastHashJoin" in final:
-                # only the bounded ones: the gap hand-off (one row per partition)
-                # and the salted hot keys (a top-K)
-                assert "_vs_pid" in final or "_vs_salts" in final, name
+                # only the bounded one: keys with more than rows_per_salt rows
+                assert "_vs_salts" in final, name
     finally:
         for k, v in old.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)

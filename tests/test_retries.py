@@ -1,8 +1,8 @@
 """Failed tasks are retried to the same answer.
 
 Runs in its own Spark process (local mode retries tasks only with
-``local[N,F]``): the first attempt of some tasks fails, once before the range
-shuffle of the gap operator and once in the stage that computes the lag, and
+``local[N,F]``): the first attempt of some tasks fails, once before the
+shuffles of the gap operator and once in the stage that computes the lag, and
 the result must equal a failure-free run. The salted membership queries
 (whose salt hashes the partition id) are checked the same way.
 """
@@ -39,12 +39,12 @@ SCRIPT = textwrap.dedent(
     def many_salts(spark, d):
         ev = spark.read.parquet(d + "/events.parquet").select("user_id", "event_id", "event_type")
         members = member_set(ev, ["user_id"], name="user_id", where=ev.event_type == "purchase")
-        return restrict_to_members(ev, members, "user_id", hot_keys=8, rows_per_salt=20)
+        return restrict_to_members(ev, members, "user_id", rows_per_salt=20)
 
     queries = (supplied.restrict_members, supplied.longest_gaps_top20, many_salts)
     salted = [sorted(map(tuple, q(spark, d).collect())) for q in queries]
 
-    # failing before the range shuffle: the events scan is wrapped
+    # failing before the shuffles: the events scan is wrapped
     original = spark.read.parquet
     def flaky_read(path):
         df = original(path)
@@ -54,7 +54,7 @@ SCRIPT = textwrap.dedent(
     salted_retry = [sorted(map(tuple, q(spark, d).collect())) for q in queries]
     spark.read.parquet = original
 
-    # failing in the lag's own stage (after the range shuffle)
+    # failing in the lag's own stage (after the shuffles)
     out = supplied.event_gaps_query(spark, d)
     after = sorted(map(tuple, out.mapInArrow(flaky, out.schema).collect()))
     same = clean == before == after and len(clean) > 0 and salted == salted_retry

@@ -25,8 +25,7 @@ def as_column(c: str | Column) -> Column:
 
 def truthy(c: str | Column, tokens: Iterable[str] = TRUE_TOKENS) -> Column:
     """True when the lower-cased text is one of ``tokens``; false otherwise, null included."""
-    low = F.lower(as_column(c).cast("string"))
-    return F.when(low.isin(*[t.lower() for t in tokens]), F.lit(True)).otherwise(F.lit(False))
+    return F.coalesce(F.lower(as_column(c).cast("string")).isin(*[t.lower() for t in tokens]), F.lit(False))
 
 
 def in_aliases(c: str | Column, aliases: Iterable[str]) -> Column:
@@ -50,6 +49,20 @@ _LENIENT_TYPES = {
 }
 
 
+# Whole numbers in text: an optional sign, digits, and a fraction that is cut off.
+_WHOLE = r"^\s*([+-]?[0-9]*)(?:\.[0-9]*)?\s*$"
+
+
+def _lenient_whole(col: Column, data_type: T.DataType) -> Column:
+    """Text as Spark casts it to a whole number with ANSI mode off: blanks
+    around it are ignored, a fraction is cut off (``-0.5`` and ``.5`` give 0),
+    and text, exponents and overflow give null."""
+    digits = F.regexp_extract(col, _WHOLE, 1)
+    # a bare point, or a sign and a point, is 0; a bare sign or nothing is null
+    digits = F.when(col.contains(".") & digits.isin("", "+", "-"), F.lit("0")).otherwise(digits)
+    return F.when(col.rlike(_WHOLE), digits.try_cast(data_type))
+
+
 def lenient(c: str | Column, type_name: str) -> Column:
     """Cast text to ``type_name``; malformed input gives null instead of an error."""
     col = as_column(c)
@@ -61,7 +74,10 @@ def lenient(c: str | Column, type_name: str) -> Column:
         return col.try_cast(T.TimestampNTZType())
     if type_name not in _LENIENT_TYPES:
         raise ValueError(f"unsupported lenient type {type_name!r}")
-    return col.try_cast(_LENIENT_TYPES[type_name])
+    data_type = _LENIENT_TYPES[type_name]
+    if isinstance(data_type, (T.IntegerType, T.LongType)):
+        return _lenient_whole(col.cast("string"), data_type)
+    return col.try_cast(data_type)
 
 
 def period_predicate(

@@ -8,16 +8,13 @@ Two physical strategies give the same rows:
 * ``"window"``: ``lag`` over ``Window.partitionBy(entity)``. Each entity's
   events go to one task, so it is only right when no entity is large, for
   instance after aggregating to one row per entity and day.
-* ``"range"`` (default): skew-safe. Rows are range-partitioned on
-  (entity, time, tie-break) and sorted within partitions, so every partition
-  holds a similar number of rows however the entities are sized, and a hot
-  entity spans many consecutive partitions. The lag is taken inside each
-  partition over Arrow batches (one pass, no second shuffle); only the first
-  row of a partition lacks its predecessor, which is the last row of the
-  previous non-empty partition. Those last rows are found by a map-side
-  aggregate keyed by partition id (at most one row per partition), shifted by
-  one partition, broadcast (size bounded by the partition count) and patched
-  into the first rows.
+* ``"bucket"`` (default): skew-safe. ``lag`` runs within (entity, time bucket),
+  a day unless the caller chooses finer or coarser buckets, so a hot entity
+  spreads over as many groups as it has buckets. Only the first event of a
+  bucket lacks its predecessor, which is the last event of the entity's
+  previous bucket: those last events come from a ``max_by`` aggregate with
+  map-side partial steps, ``lead`` hands them to the entity's next bucket, and
+  an equi-join on (entity, bucket) fills them in.
 """
 
 from __future__ import annotations
@@ -26,112 +23,42 @@ from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-_PID = "_vs_pid"
+_GROUP = "_vs_group"
 _HEAD = "_vs_head"
 _LAST = "_vs_last"
 _COPIES = "_vs_copies"
-_STRATEGIES = ("range", "window")
+_STRATEGIES = ("bucket", "window")
 
 
-def _lag_in_partition(entity: str, lagged: Sequence[str], out_names: Sequence[str]):
-    """mapInArrow body: previous row's values within one sorted partition."""
-
-    def run(batches):
-        import numpy as np
-        import pyarrow as pa
-        import pyarrow.compute as pc
-
-        prev = None  # one-row slice: the last row of the previous batch
-        for rb in batches:
-            n = rb.num_rows
-            if n == 0:
-                continue
-
-            def shifted(name):
-                col = rb.column(name)
-                head = prev.column(name) if prev is not None else pa.nulls(1, col.type)
-                return pa.concat_arrays([head, col.slice(0, n - 1)])
-
-            ent, pent = rb.column(entity), shifted(entity)
-            has_prev = np.ones(n, dtype=bool)
-            has_prev[0] = prev is not None
-            same = pc.and_(
-                pa.array(has_prev),
-                pc.or_(
-                    pc.fill_null(pc.equal(ent, pent), False),
-                    pc.and_(pc.is_null(ent), pc.is_null(pent)),
-                ),
-            )
-            cols = [rb.column(i) for i in range(rb.num_columns)]
-            for name in lagged:
-                s = shifted(name)
-                cols.append(pc.if_else(same, s, pa.nulls(n, s.type)))
-            head = np.zeros(n, dtype=bool)
-            head[0] = prev is None
-            cols.append(pa.array(head))
-            yield pa.RecordBatch.from_arrays(cols, names=[*rb.schema.names, *out_names, _HEAD])
-            prev = rb.slice(n - 1, 1)
-
-    return run
-
-
-def _default_partitions(spark) -> int:
-    """The session's shuffle partition count (sized by whoever runs the cluster)."""
-    try:
-        return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    except (TypeError, ValueError):
-        try:
-            return max(1, spark.sparkContext.defaultParallelism)
-        except Exception:  # noqa: BLE001  (no SparkContext in a Connect session)
-            return 200
-
-
-def _lag_by_range(
+def _lag_by_bucket(
     src: DataFrame,
     entity: str,
     keys: Sequence[str],
     lagged: Sequence[str],
     out_names: Sequence[str],
-    partitions: int | None,
+    bucket: Column | None,
 ) -> DataFrame:
-    n_parts = partitions or _default_partitions(src.sparkSession)
-    order = [F.col(k).asc_nulls_first() for k in keys]
-    # An explicit partition count keeps AQE from coalescing this exchange or
-    # reading it locally (it does those only to shuffles it planned itself or
-    # to repartitions without a count), so a partition id is a range
-    # partition and both consumers below see the same ids (the exchange itself
-    # is shared: a ReusedExchange in the final plan).
-    ranged = src.repartitionByRange(n_parts, *order).withColumn(_PID, F.spark_partition_id())
-    tagged = ranged.sortWithinPartitions(*order)
-    fields = list(tagged.schema.fields)
-    fields += [T.StructField(o, src.schema[c].dataType, True) for c, o in zip(lagged, out_names)]
-    fields.append(T.StructField(_HEAD, T.BooleanType(), True))
-    within = tagged.mapInArrow(_lag_in_partition(entity, lagged, out_names), T.StructType(fields))
-
-    # Last row of each non-empty partition, handed to the next non-empty one.
-    # Read from the unsorted partitions: max_by needs no input order, and the
-    # aggregate's own sort is on the partition id, constant within a partition.
-    last = ranged.groupBy(_PID).agg(
-        F.max_by(F.struct(*[F.col(c) for c in [entity, *lagged]]), F.struct(*[F.col(k) for k in keys])).alias(_LAST)
+    # One struct key: equal structs may hold nulls, so null entities and times
+    # join without null-safe equality, and the join reuses the window's shuffle.
+    at = F.to_date(keys[1]) if bucket is None else bucket
+    grouped = src.withColumn(_GROUP, F.struct(F.col(entity).alias("entity"), at.alias("at")))
+    within = Window.partitionBy(_GROUP).orderBy(*[F.col(k).asc_nulls_first() for k in keys[1:]])
+    rows = grouped.select(
+        "*",
+        *[F.lag(c).over(within).alias(o) for c, o in zip(lagged, out_names)],
+        (F.row_number().over(within) == 1).alias(_HEAD),
     )
-    # An unpartitioned window, on purpose: its input is one row per partition.
-    handoff = last.select(
-        F.lead(_PID).over(Window.orderBy(_PID)).alias(_PID), _LAST
-    ).where(F.col(_PID).isNotNull())
-
-    joined = within.join(F.broadcast(handoff), on=_PID, how="left")
-    patch = (
-        F.col(_HEAD)
-        & F.col(_LAST).isNotNull()
-        & F.col(_LAST).getField(entity).eqNullSafe(F.col(entity))
+    last = grouped.groupBy(_GROUP).agg(
+        F.max_by(F.struct(*lagged), F.struct(*keys[1:])).alias(_LAST)
     )
-    prev_cols = [
-        F.when(patch, F.col(_LAST).getField(c)).otherwise(F.col(o)).alias(o)
-        for c, o in zip(lagged, out_names)
-    ]
-    return joined.select(*[F.col(c) for c in src.columns], *prev_cols)
+    # An entity has one row a bucket here, whatever its events.
+    buckets = Window.partitionBy(F.struct(F.col(_GROUP)["entity"])).orderBy(F.col(_GROUP)["at"].asc_nulls_first())
+    handoff = last.select(F.lead(_GROUP).over(buckets).alias(_GROUP), _LAST).where(F.col(_GROUP).isNotNull())
+    joined = rows.join(handoff, on=_GROUP, how="left")
+    patch = F.col(_HEAD) & F.col(_LAST).isNotNull()
+    prev = [F.when(patch, F.col(_LAST)[c]).otherwise(F.col(o)).alias(o) for c, o in zip(lagged, out_names)]
+    return joined.select(*[F.col(c) for c in src.columns], *prev)
 
 
 def _lag_by_window(
@@ -154,8 +81,8 @@ def event_gaps(
     gap_col: str = "gap_days",
     closed_only: bool = True,
     open_end: str | None = None,
-    strategy: str = "range",
-    partitions: int | None = None,
+    strategy: str = "bucket",
+    bucket: Column | None = None,
     collapse_copies: bool = False,
 ) -> DataFrame:
     """Each event with the previous event of the same entity and the days between.
@@ -175,9 +102,13 @@ def event_gaps(
     from a ``max_by`` aggregate with map-side partial steps, so a hot entity is
     reduced before it is shuffled.
 
+    ``bucket`` (strategy ``"bucket"``) must not decrease with ``time``; it
+    defaults to the day. Choose one in which an entity has few enough events
+    for one task.
+
     ``collapse_copies`` is for inputs where one row may be repeated very many
-    times: identical copies share every sort key, so no partitioner can split
-    them. They are first counted by an aggregate whose map-side partial step
+    times: identical copies share entity and bucket, so they reach one task.
+    They are first counted by an aggregate whose map-side partial step
     leaves at most one row per copy group per task, the distinct rows are
     lagged, and the copies are restored exactly (each extra copy follows the
     previous identical one, zero days later). It costs one extra shuffle of
@@ -199,8 +130,8 @@ def event_gaps(
         src = src.where(event)
     src = src.select(*dict.fromkeys([*keys, *carry]))
     base = src.groupBy(*src.columns).agg(F.count(F.lit(1)).alias(_COPIES)) if collapse_copies else src
-    if strategy == "range":
-        lagged_df = _lag_by_range(base, entity, keys, lagged, out_names, partitions)
+    if strategy == "bucket":
+        lagged_df = _lag_by_bucket(base, entity, keys, lagged, out_names, bucket)
     else:
         lagged_df = _lag_by_window(base, entity, keys, lagged, out_names)
     if collapse_copies:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 _TIES = ("named", "dense")
 _MODE_TIES = ("named", "all")
+_PAIR = "_vs_pair"
 
 
 def count_per_group(
@@ -70,12 +71,28 @@ def top_n_per_group(
     shuffle on ``group``, which bounds what a large group sends to one task.
     Spark does so for ``n`` up to ``spark.sql.optimizer.windowGroupLimitThreshold``
     (1000 by default); raise it for a larger ``n``.
+
+    With ``ties="dense"`` the ranks are those of the distinct (group, measure)
+    pairs, joined back on the pair, so rows that tie never meet in a window:
+    at most ``n`` pairs a group are joined, a size Spark checks before it
+    broadcasts them.
     """
     if ties not in _TIES:
         raise ValueError(f"ties must be one of {_TIES}")
     group = list(group)
-    w = _rank_window(group, measure, name if ties == "named" else None)
-    return df.withColumn(rank_col, F.dense_rank().over(w)).where(F.col(rank_col) <= F.lit(n))
+    if ties == "named":
+        w = _rank_window(group, measure, name)
+        return df.withColumn(rank_col, F.dense_rank().over(w)).where(F.col(rank_col) <= F.lit(n))
+    # a struct key: equal structs may hold nulls, as groups may
+    pair = F.struct(*[F.col(c) for c in [*group, measure]])
+    ranked = (
+        df.select(*group, measure)
+        .distinct()
+        .withColumn(rank_col, F.dense_rank().over(_rank_window(group, measure, None)))
+        .where(F.col(rank_col) <= F.lit(n))
+        .select(pair.alias(_PAIR), rank_col)
+    )
+    return df.withColumn(_PAIR, pair).join(ranked, on=_PAIR).select(*df.columns, rank_col)
 
 
 def mode_per_group(
@@ -92,18 +109,24 @@ def mode_per_group(
     """The most frequent ``value`` per group, as text, with its count.
 
     ``ties="named"`` takes the first tied value by name (nulls sort first, and
-    a null winner gives an empty string). ``ties="all"`` joins every tied
-    non-null value, sorted, with ``sep``. ``weight`` names a column of
-    partial counts to sum instead of counting rows. Counting is a partial +
-    final aggregate; the rank-1 filter becomes a WindowGroupLimit, so only
-    tied winners reach the final per-group step.
+    a null winner gives an empty string): one ``min_by`` aggregate over the
+    counts. ``ties="all"`` joins every tied non-null value, sorted, with
+    ``sep``; the rank-1 filter becomes a WindowGroupLimit, but the tied values
+    of a group are its output, one text, and grow with their number. ``weight``
+    names a column of partial counts to sum instead of counting rows. Counting
+    is a partial + final aggregate.
     """
     if ties not in _MODE_TIES:
         raise ValueError(f"ties must be one of {_MODE_TIES}")
     group = list(group)
     out_col = out_col or value
     counts = count_per_group(df, [*group, value], count_col, weight=weight)
-    w = _rank_window(group, count_col, value if ties == "named" else None)
+    if ties == "named":
+        first = F.min_by(F.col(value), F.struct(-F.col(count_col), F.col(value)))
+        return counts.groupBy(*group).agg(
+            F.coalesce(first.cast("string"), F.lit("")).alias(out_col), F.max(count_col).alias(count_col)
+        )
+    w = _rank_window(group, count_col, None)
     winners = counts.withColumn("_mode_rank", F.dense_rank().over(w)).where(F.col("_mode_rank") == 1)
     tied = F.transform(F.array_sort(F.collect_set(value)), lambda v: v.cast("string"))
     return winners.groupBy(*group).agg(

@@ -37,9 +37,7 @@ def restrict_to_members(
     key: str,
     *,
     member_key: str | None = None,
-    hot_keys: int = 0,
-    rows_per_salt: int = 2_000_000,
-    salts: int | None = None,
+    rows_per_salt: int | None = 2_000_000,
 ) -> DataFrame:
     """Rows of ``df`` whose ``key`` is a member: a left-semi join.
 
@@ -51,29 +49,29 @@ def restrict_to_members(
 
     A sort-merge join sends every row of one key to one task, and AQE cannot
     split it when the member side comes out of an aggregate (a distinct set):
-    its skew rule needs a bare shuffle on both sides. ``hot_keys=K`` salts the
-    K heaviest keys of ``df`` explicitly. They are found by a count per key
-    (map-side partial) and a distributed top-K, so at most K rows are
-    broadcast. A hot key with r rows gets ``ceil(r / rows_per_salt)`` salts
-    (or a fixed ``salts``); each of its rows takes a salt from a hash of its
-    partition id and values (deterministic under retries), its member row is
-    repeated once per salt, and the semi join runs on (key, salt). So a hot
-    key is cut into tasks of about ``rows_per_salt`` rows whatever its size,
-    the member side grows by about (hot rows / rows_per_salt) rows, and every
-    other key is untouched. The salt hashes every column of ``df``, so
-    project ``df`` to the columns needed downstream first; the key count
-    reads only ``key``.
+    its skew rule needs a bare shuffle on both sides. So every key with more
+    than ``rows_per_salt`` rows, however many such keys there are, is salted.
+    They are found by a count per key (map-side partial); fewer than
+    ``rows / rows_per_salt`` keys can have so many rows, which bounds what is
+    broadcast. A hot key with r rows gets ``ceil(r / rows_per_salt)`` salts;
+    each of its rows takes a salt from a hash of its partition id and values
+    (deterministic under retries), its member row is repeated once per salt,
+    and the semi join runs on (key, salt). Every other key is untouched. The
+    salt hashes every column of ``df``, so project ``df`` to the columns needed
+    downstream first; the key count reads only ``key``.
+
+    ``rows_per_salt=None`` leaves the count and the salts out: for a ``df`` that
+    has few rows a key by construction, such as counts per key.
     """
     right = members.select(F.col(member_key or key).alias(key))
-    if hot_keys <= 0:
+    if rows_per_salt is None:
         return df.join(right, on=key, how="left_semi")
 
-    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("_vs_rows"))
-    per_key = F.lit(salts) if salts else F.ceil(F.col("_vs_rows") / F.lit(rows_per_salt))
     hot = (
-        counts.orderBy(F.col("_vs_rows").desc(), F.col(key))
-        .limit(hot_keys)
-        .select(key, F.greatest(F.lit(1), per_key).cast("int").alias(_SALTS))
+        df.groupBy(key)
+        .agg(F.count(F.lit(1)).alias("_vs_rows"))
+        .where(F.col("_vs_rows") > F.lit(rows_per_salt))
+        .select(key, F.ceil(F.col("_vs_rows") / F.lit(rows_per_salt)).cast("int").alias(_SALTS))
     )
     row_hash = F.xxhash64(F.spark_partition_id(), *[F.col(c) for c in df.columns])
     left = (

@@ -130,9 +130,9 @@ def longest_unbeaten(
     member_tournament: str = WORLD_CUP,
     per_entity: bool = False,
     open_end: str | None = None,
-    strategy: str = "range",
+    strategy: str = "bucket",
     collapse_copies: bool = False,
-    hot_keys: int = 0,
+    rows_per_salt: int | None = 2_000_000,
 ) -> DataFrame:
     """Q4: the ``n`` longest spans between consecutive losses of a World Cup team.
 
@@ -144,8 +144,8 @@ def longest_unbeaten(
     ``open_end`` also counts each team's run still unbeaten at that date (its
     row has a null loss opponent). ``collapse_copies`` handles heavily
     duplicated match rows without a hot partition (see ``event_gaps``);
-    ``hot_keys`` salts the busiest teams in the membership join (see
-    ``restrict_to_members``).
+    teams with more than ``rows_per_salt`` losses are salted in the membership
+    join (see ``restrict_to_members``).
     """
     members = member_set(
         results, ["home_team", "away_team"], name="team", where=F.col("tournament") == F.lit(member_tournament)
@@ -162,11 +162,12 @@ def longest_unbeaten(
         period_predicate("date", T.DateType(), from_date=since) & (F.col("ga") > F.col("gf"))
     ).select("team", "date", "opponent")
     gaps = event_gaps(
-        restrict_to_members(losses, members, "team", hot_keys=hot_keys),
+        restrict_to_members(losses, members, "team", rows_per_salt=rows_per_salt),
         "team",
         "date",
         order=["opponent"],
         carry=["opponent"],
+        bucket=F.trunc("date", "year"),  # a team loses a few times a year
         open_end=open_end,
         strategy=strategy,
         collapse_copies=collapse_copies,

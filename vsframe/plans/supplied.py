@@ -18,7 +18,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vsframe.functions.scalar import pair_label, period_predicate, truthy
@@ -57,10 +57,11 @@ PURCHASE_BEFORE = "2024-01-03"
 GAPS_SINCE = "2024-01-05"
 DEFICIT_SINCE = "1996-01-01"
 LONGEST_N = 20
-# Events are keyed by user, and one user may own a large share of them: the
-# heaviest users are salted across tasks in the membership semi join, each
-# into about (its rows / 2M) salts.
-HOT_USERS = 64
+# Texts whose whole-number reading has a rule of its own.
+ODD_NUMBERS = ("45.0", "3.7", "-0.5", ".5", "5.", ".", "-", "1e3", "", "  ", "2147483647.9", "2147483648", "1.2.3")
+# Rows of one user that one task of a membership join takes.
+ROWS_PER_SALT = 2_000_000
+OPEN_END = "2024-02-10"
 
 
 def _ts(text: str):
@@ -70,7 +71,7 @@ def _ts(text: str):
 # -- two-sided fact: balance against each counterparty ------------------------
 
 def either_side_filter(spark: SparkSession, d: str) -> DataFrame:
-    trade = nation_trade(Tables(spark, d), involving=SUBJECT_NATION)
+    trade = nation_trade(Tables(spark, d))
     return (
         either_side(trade, "seller_nation", "buyer_nation", SUBJECT_NATION)
         .groupBy("seller_nation", "buyer_nation")
@@ -80,7 +81,7 @@ def either_side_filter(spark: SparkSession, d: str) -> DataFrame:
 
 def _balance(t: Tables) -> DataFrame:
     return net_by_counterparty(
-        nation_trade(t, involving=SUBJECT_NATION),
+        nation_trade(t),
         SUBJECT_NATION,
         "seller_nation",
         "buyer_nation",
@@ -119,9 +120,12 @@ def two_sided_long(spark: SparkSession, d: str) -> DataFrame:
 
 # -- membership ---------------------------------------------------------------
 
+def _early_final() -> Column:
+    return (F.col("o_orderstatus") == F.lit(MEMBER_STATUS)) & (F.col("o_orderdate") < _ts(MEMBER_BEFORE))
+
+
 def _member_nations(t: Tables) -> DataFrame:
-    early_final = (F.col("o_orderstatus") == F.lit(MEMBER_STATUS)) & (F.col("o_orderdate") < _ts(MEMBER_BEFORE))
-    return member_set(nation_trade(t, order_where=early_final), ["seller_nation", "buyer_nation"], name="nation")
+    return member_set(nation_trade(t, order_where=_early_final()), ["seller_nation", "buyer_nation"], name="nation")
 
 
 def member_nations(spark: SparkSession, d: str) -> DataFrame:
@@ -140,9 +144,10 @@ def _early_purchasers(t: Tables) -> DataFrame:
 
 def restrict_members(spark: SparkSession, d: str) -> DataFrame:
     t = Tables(spark, d)
-    errors = t.events.where(F.col("event_type") == F.lit("error")).select("user_id", "event_id")
-    kept = restrict_to_members(errors, _early_purchasers(t), "user_id", hot_keys=HOT_USERS)
-    return count_per_group(kept, ["user_id"], "n_errors")
+    errors = t.events.where(F.col("event_type") == F.lit("error")).select("user_id")
+    # the count commutes with the semi join: one row a user is left to join
+    counts = count_per_group(errors, ["user_id"], "n_errors")
+    return restrict_to_members(counts, _early_purchasers(t), "user_id", rows_per_salt=None)
 
 
 # -- repeats within a group ---------------------------------------------------
@@ -158,6 +163,36 @@ def repeat_in_group(spark: SparkSession, d: str) -> DataFrame:
     return _repeats(Tables(spark, d))
 
 
+def repeat_in_group_filtered(spark: SparkSession, d: str) -> DataFrame:
+    """Repeats among the lines that were not returned."""
+    t = Tables(spark, d)
+    lines = t.lineitem.select("l_orderkey", "l_partkey", "l_returnflag").join(
+        t.part.select(F.col("p_partkey").alias("l_partkey"), "p_brand"), on="l_partkey"
+    )
+    return repeated_in_group(
+        lines,
+        ["l_orderkey", "p_brand"],
+        min_count=2,
+        count_col="n_lines",
+        fact_filter=F.col("l_returnflag") != F.lit("R"),
+    )
+
+
+def three_key_join(spark: SparkSession, d: str) -> DataFrame:
+    """Counts per (customer, year, priority) joined to each such order.
+
+    Priority 5-LOW is made null: null key parts group together but never join.
+    The order side repeats keys, which multiplies the counts' rows.
+    """
+    priority = F.nullif(F.col("o_orderpriority"), F.lit("5-LOW"))
+    orders = Tables(spark, d).orders.select(
+        "o_custkey", F.year("o_orderdate").alias("order_year"), priority.alias("priority"), "o_orderkey", "o_orderstatus"
+    )
+    keys = ["o_custkey", "order_year", "priority"]
+    facts = count_per_group(orders.where(F.col("o_orderstatus") != F.lit("P")), keys, "n_orders")
+    return facts.join(orders, on=keys, how="inner")
+
+
 def repeat_in_group_enriched(spark: SparkSession, d: str) -> DataFrame:
     t = Tables(spark, d)
     urgent = alias_filter(t.orders, "o_orderpriority", PRIORITY_ALIASES).select(
@@ -213,9 +248,9 @@ def _orders_by_year(t: Tables) -> DataFrame:
     second shuffle by customer key. A customer with very many orders is still
     safe: both join sides are plain shuffles, so AQE splits its partition, and
     the count that follows combines map-side. The year is stated non-null
-    (already implied by the floor) so the filter Catalyst infers for the right
-    side of a join on ``order_year`` adds nothing and the two halves of
-    ``period_top_n_with_mode`` plan the same orders subtree (one shared shuffle).
+    (already implied by the floor), so the filter that a join on ``order_year``
+    infers adds nothing and both halves of ``period_top_n_with_mode`` share one
+    plan up to these counts.
     """
     orders = from_period(t.orders, "o_orderdate", from_year=TOP_FROM_YEAR)
     year = F.year("o_orderdate")
@@ -228,12 +263,10 @@ def _customer_counts(t: Tables) -> DataFrame:
     return count_per_group(joined, ["order_year", "c_name", "c_nationkey"], "n_orders")
 
 
-def _top_named(t: Tables) -> DataFrame:
-    return top_n_per_group(_customer_counts(t), ["order_year"], "n_orders", "c_name", n=TOP_N, ties="named", rank_col="rnk")
-
-
 def period_top_n_named(spark: SparkSession, d: str) -> DataFrame:
-    return _top_named(Tables(spark, d))
+    return top_n_per_group(
+        _customer_counts(Tables(spark, d)), ["order_year"], "n_orders", "c_name", n=TOP_N, ties="named", rank_col="rnk"
+    )
 
 
 def period_top_n_ties(spark: SparkSession, d: str) -> DataFrame:
@@ -242,39 +275,46 @@ def period_top_n_ties(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def _nation_counts(t: Tables) -> DataFrame:
-    customers = t.customer.select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("n_nationkey"))
-    nations = t.nation.select("n_nationkey", "n_name")
-    return _orders_by_year(t).join(customers, on="o_custkey").join(nations, on="n_nationkey")
+def _nation_counts(t: Tables, customer_counts: DataFrame) -> DataFrame:
+    """Customer counts with their nation's name; sums of them count orders.
+
+    A missing nation is -1, which no nation has: joined as null it would put a
+    filter into this half's scan of customers and keep the halves apart.
+    """
+    key = F.coalesce("c_nationkey", F.lit(-1))
+    return customer_counts.join(t.nation.select("n_nationkey", "n_name"), key == F.col("n_nationkey"))
 
 
-def _modal_named(t: Tables) -> DataFrame:
+def _modal(t: Tables, customer_counts: DataFrame, ties: str, out_col: str) -> DataFrame:
     return mode_per_group(
-        _nation_counts(t), ["order_year"], "n_name", ties="named", out_col="modal_nation", count_col="n_orders"
+        _nation_counts(t, customer_counts),
+        ["order_year"],
+        "n_name",
+        ties=ties,
+        out_col=out_col,
+        count_col="n_orders",
+        weight="n_orders",
     )
 
 
 def modal_value_named(spark: SparkSession, d: str) -> DataFrame:
-    return _modal_named(Tables(spark, d))
+    t = Tables(spark, d)
+    return _modal(t, _customer_counts(t), "named", "modal_nation")
 
 
 def modal_values_ties(spark: SparkSession, d: str) -> DataFrame:
-    return mode_per_group(
-        _nation_counts(Tables(spark, d)),
-        ["order_year"],
-        "n_name",
-        ties="all",
-        out_col="modal_nations",
-        count_col="n_orders",
-    )
+    t = Tables(spark, d)
+    return _modal(t, _customer_counts(t), "all", "modal_nations")
 
 
 def period_top_n_with_mode(spark: SparkSession, d: str) -> DataFrame:
     t = Tables(spark, d)
-    top = _top_named(t).withColumn("label", F.lit(TOP_LABEL))
-    mode = _modal_named(t).select("order_year", "modal_nation")
+    counts = _customer_counts(t)  # one plan for both halves: its exchange is reused
+    top = top_n_per_group(counts, ["order_year"], "n_orders", "c_name", n=TOP_N, ties="named", rank_col="rnk")
+    mode = _modal(t, counts, "named", "modal_nation").select("order_year", "modal_nation")
     return (
-        top.join(mode, on="order_year", how="left")
+        top.withColumn("label", F.lit(TOP_LABEL))
+        .join(mode, on="order_year", how="left")
         .select("c_name", "c_nationkey", "n_orders", "rnk", "order_year", "label", "modal_nation")
         .orderBy("order_year", F.col("n_orders").desc(), "c_name")
     )
@@ -282,7 +322,7 @@ def period_top_n_with_mode(spark: SparkSession, d: str) -> DataFrame:
 
 # -- gaps between events ------------------------------------------------------
 
-def _error_gaps(t: Tables, members: DataFrame | None = None) -> DataFrame:
+def _error_gaps(t: Tables, members: DataFrame | None = None, open_end: str | None = None) -> DataFrame:
     events = t.events
     # filter first, so the membership join and its hot-key count see only the
     # error events since the floor (both pushed into the scan)
@@ -291,8 +331,16 @@ def _error_gaps(t: Tables, members: DataFrame | None = None) -> DataFrame:
         & period_predicate("ts", events.schema["ts"].dataType, from_date=GAPS_SINCE)
     ).select("user_id", "ts", "event_id", "value")
     if members is not None:
-        errors = restrict_to_members(errors, members, "user_id", hot_keys=HOT_USERS)
-    gaps = event_gaps(errors, "user_id", "ts", order=["event_id"], carry=["event_id", "value"])
+        errors = restrict_to_members(errors, members, "user_id", rows_per_salt=ROWS_PER_SALT)
+    gaps = event_gaps(
+        errors,
+        "user_id",
+        "ts",
+        order=["event_id"],
+        carry=["event_id", "value"],
+        bucket=F.date_trunc("hour", "ts"),
+        open_end=open_end,
+    )
     return gaps.select(
         "user_id",
         "event_id",
@@ -309,6 +357,11 @@ def event_gaps_query(spark: SparkSession, d: str) -> DataFrame:
     return _error_gaps(Tables(spark, d))
 
 
+def open_gaps(spark: SparkSession, d: str) -> DataFrame:
+    """Closed gaps, and each user's run still open at an as-of date."""
+    return _error_gaps(Tables(spark, d), open_end=OPEN_END)
+
+
 def longest_gaps_top20(spark: SparkSession, d: str) -> DataFrame:
     t = Tables(spark, d)
     return longest_gaps(
@@ -324,17 +377,20 @@ def longest_gaps_per_entity(spark: SparkSession, d: str) -> DataFrame:
 
 def deficit_gaps_top20(spark: SparkSession, d: str) -> DataFrame:
     t = Tables(spark, d)
+    early, recent = _early_final(), F.col("o_orderdate") >= _ts(DEFICIT_SINCE)
     trade = nation_trade(
         t,
-        order_cols=[F.to_date("o_orderdate").alias("order_date")],
-        order_where=F.col("o_orderdate") >= _ts(DEFICIT_SINCE),
+        order_cols=[F.to_date("o_orderdate").alias("order_date"), early.alias("early"), recent.alias("recent")],
+        order_where=early | recent,
     )
+    # one pass over the trade gives both the daily sums and the members
     daily = (
-        _long_trade(trade, keep=["order_date"])
-        .groupBy("nation", "order_date")
-        .agg(F.sum("sold").alias("sold"), F.sum("bought").alias("bought"))
+        _long_trade(trade, keep=["order_date", "early", "recent"])
+        .groupBy("nation", "order_date", "recent")
+        .agg(F.sum("sold").alias("sold"), F.sum("bought").alias("bought"), F.max("early").alias("early"))
+        .withColumn("member", F.max("early").over(Window.partitionBy("nation")))
+        .where(F.col("member") & F.col("recent"))
     )
-    daily = restrict_to_members(daily, _member_nations(t), "nation")
     # One row per (nation, day) here, so a nation's window is bounded by the
     # number of days, not by data volume: the plain window strategy is safe.
     gaps = event_gaps(
@@ -368,6 +424,9 @@ def _order_text(t: Tables) -> DataFrame:
         .otherwise(F.to_date("o_orderdate").cast("string"))
         .alias("order_date"),
         F.when(prio == F.lit("3-MEDIUM"), F.concat(F.lit("#"), F.col("o_custkey").cast("string")))
+        .when(prio == F.lit("2-HIGH"), F.concat(F.col("o_custkey").cast("string"), F.lit(".0")))
+        .when(prio == F.lit("1-URGENT"), F.concat(F.lit(" -"), F.col("o_custkey").cast("string"), F.lit(".7 ")))
+        .when(status == F.lit("P"), F.element_at(F.array(*map(F.lit, ODD_NUMBERS)), F.expr(f"CAST(o_orderkey % {len(ODD_NUMBERS)} AS INT) + 1")))
         .otherwise(F.col("o_custkey").cast("string"))
         .alias("custkey"),
         F.when(status == F.lit("F"), F.lit("TRUE")).when(status == F.lit("O"), F.lit("yes")).alias("fulfilled"),
@@ -416,6 +475,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "restrict_to_members": restrict_members,
     "repeat_in_group": repeat_in_group,
     "repeat_in_group_enriched": repeat_in_group_enriched,
+    "repeat_in_group_filtered": repeat_in_group_filtered,
+    "three_key_join": three_key_join,
     "alias_filter": alias_filter_count,
     "truthy_flag": truthy_flag,
     "from_period": from_period_count,
@@ -426,6 +487,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "modal_values_ties": modal_values_ties,
     "period_top_n_with_mode": period_top_n_with_mode,
     "event_gaps": event_gaps_query,
+    "open_gaps": open_gaps,
     "longest_gaps_top20": longest_gaps_top20,
     "deficit_gaps_top20": deficit_gaps_top20,
     "longest_gaps_per_entity": longest_gaps_per_entity,

@@ -15,6 +15,8 @@ from vsframe.plans.supplied import (
     LONGEST_N,
     MEMBER_BEFORE,
     MEMBER_STATUS,
+    ODD_NUMBERS,
+    OPEN_END,
     PRIORITY_ALIASES,
     PURCHASE_BEFORE,
     SUBJECT_NATION,
@@ -108,6 +110,8 @@ gaps AS (
 """
 
 
+_ODD = "[" + ", ".join(f"'{x}'" for x in ODD_NUMBERS) + "]"
+
 ORACLE_SQL: dict[str, str] = {
     "either_side_filter": f"""
 WITH {_TRADE}
@@ -144,6 +148,18 @@ SELECT r.l_orderkey, r.p_brand, r.n_lines, CAST(o.o_orderdate AS DATE) AS order_
 FROM repeats r JOIN orders o ON r.l_orderkey = o.o_orderkey
 WHERE lower(o.o_orderpriority) IN ({_ALIASES})
 ORDER BY order_date, r.l_orderkey, r.p_brand
+""",
+    "repeat_in_group_filtered": """
+SELECT l.l_orderkey, p.p_brand, COUNT(*) AS n_lines
+FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey
+WHERE l.l_returnflag <> 'R' GROUP BY 1, 2 HAVING COUNT(*) >= 2
+""",
+    "three_key_join": """
+WITH k AS (SELECT o_custkey, CAST(year(o_orderdate) AS INTEGER) AS order_year,
+                  NULLIF(o_orderpriority, '5-LOW') AS priority, o_orderkey, o_orderstatus FROM orders),
+f AS (SELECT o_custkey, order_year, priority, COUNT(*) AS n_orders FROM k WHERE o_orderstatus <> 'P' GROUP BY 1, 2, 3)
+SELECT f.o_custkey, f.order_year, f.priority, f.n_orders, k.o_orderkey, k.o_orderstatus
+FROM f JOIN k ON f.o_custkey = k.o_custkey AND f.order_year = k.order_year AND f.priority = k.priority
 """,
     "alias_filter": f"""
 SELECT o_orderpriority, COUNT(*) AS n_orders FROM orders
@@ -187,6 +203,13 @@ FROM top_named t LEFT JOIN modal m ON t.order_year = m.order_year
 ORDER BY t.order_year, t.n_orders DESC, t.c_name
 """,
     "event_gaps": "WITH " + _gaps_sql(False) + " SELECT * FROM gaps",
+    "open_gaps": "WITH " + _gaps_sql(False) + f"""
+SELECT * FROM gaps UNION ALL
+SELECT user_id, NULL, DATE '{OPEN_END}', NULL, CAST(ts AS DATE), event_id, value,
+       CAST(date_diff('day', CAST(ts AS DATE), DATE '{OPEN_END}') AS INTEGER)
+FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM errs)
+WHERE rn = 1 AND ts <= TIMESTAMP '{OPEN_END}'
+""",
     "longest_gaps_top20": f"WITH {_PURCHASERS}, " + _gaps_sql(True) + f"""
 SELECT * FROM gaps ORDER BY gap_days DESC, user_id, event_date, event_id LIMIT {LONGEST_N}
 """,
@@ -221,11 +244,16 @@ SELECT o_orderkey,
   TRY_CAST(CASE WHEN o_orderpriority = '5-LOW' THEN 'NA'
                 WHEN o_orderstatus = 'P' AND o_orderpriority = '4-NOT SPECIFIED' THEN '1999-13-45'
                 ELSE CAST(CAST(o_orderdate AS DATE) AS VARCHAR) END AS DATE) AS order_date,
-  TRY_CAST(CASE WHEN o_orderpriority = '3-MEDIUM' THEN '#' || CAST(o_custkey AS VARCHAR)
-                ELSE CAST(o_custkey AS VARCHAR) END AS INTEGER) AS custkey,
+  CASE WHEN regexp_full_match(custtext, '\\s*[+-]?([0-9]+(\\.[0-9]*)?|\\.[0-9]*)\\s*')
+       THEN TRY_CAST(CASE WHEN regexp_full_match(custtext, '\\s*[+-]?\\..*') THEN '0'
+                          ELSE regexp_extract(custtext, '[+-]?[0-9]+') END AS INTEGER) END AS custkey,
   COALESCE(lower(CASE WHEN o_orderstatus = 'F' THEN 'TRUE' WHEN o_orderstatus = 'O' THEN 'yes' END)
            IN ('true', 't', 'yes', '1'), false) AS fulfilled
-FROM orders
+FROM (SELECT *, CASE WHEN o_orderpriority = '3-MEDIUM' THEN '#' || o_custkey
+                     WHEN o_orderpriority = '2-HIGH' THEN o_custkey || '.0'
+                     WHEN o_orderpriority = '1-URGENT' THEN ' -' || o_custkey || '.7 '
+                     WHEN o_orderstatus = 'P' THEN """ + _ODD + """[o_orderkey % """ + str(len(ODD_NUMBERS)) + """ + 1]
+                     ELSE CAST(o_custkey AS VARCHAR) END AS custtext FROM orders)
 """,
     "csv_round_trip": """
 SELECT o_orderkey, o_custkey, o_orderstatus, CAST(o_orderdate AS DATE) AS order_date, o_orderpriority,
