@@ -33,7 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vsframe.llm.common import (
@@ -55,7 +55,9 @@ SHINGLE_WORDS = 5
 #: Similarity threshold, a percentage, so that comparisons are of integers.
 PERCENT = 80
 #: Cells of the rarity sketch, and of one of its blocks.
-SKETCH_BITS, BLOCK_BITS = 20, 12
+SKETCH_BITS, BLOCK_BITS = 22, 14
+#: Bits of a node's parity sketch, in longs.
+PARITY_LONGS = 16
 _MULTIPLIERS = mix64(np.arange(1, 17, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -86,6 +88,17 @@ def _node(shingles: np.ndarray) -> int:
     return int(mix64(mix64(shingles ^ np.uint64(0x5851F42D4C957F2D)).sum(keepdims=True) + np.uint64(len(shingles))).view(np.int64)[0])
 
 
+def _parities(shingles: np.ndarray) -> np.ndarray:
+    """Parities of the counts of a set's shingles in 1024 hash classes.
+
+    Two sets' parities differ in at most as many classes as their symmetric
+    difference has shingles, so many differences rule a link out for certain.
+    """
+    bits = PARITY_LONGS * 64
+    odd = np.bincount((shingles & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _prefix_size(size: int, percent: int) -> int:
     return size - -(-percent * size // 100) + 1
 
@@ -94,7 +107,7 @@ def rarity_sketch(docs: DataFrame, words: int) -> np.ndarray:
     """Counts of all shingles of all rows, by the top bits of their hashes.
 
     Tasks send compressed blocks of their counts, which are summed per block;
-    the sum, 4 MiB whatever the input, goes to every task of the next step.
+    the sum, 16 MiB whatever the input, goes to every task of the next step.
     """
     cells = 1 << BLOCK_BITS
 
@@ -129,8 +142,8 @@ def rarity_sketch(docs: DataFrame, words: int) -> np.ndarray:
 
 
 def prefixes(docs: DataFrame, sketch: np.ndarray, words: int, percent: int) -> DataFrame:
-    """(key, doc_id, node, size, grp, prefix) of every row of ``docs`` (key,
-    doc_id, text); grp hashes prefix and size. A group's prefix stands in the
+    """(key, doc_id, node, size, grp, parity, prefix) of every row of ``docs``
+    (key, doc_id, text); grp hashes prefix and size. A group's prefix stands in the
     first of its rows that a task meets, and is null in the others.
     """
     sent = docs.sparkSession.sparkContext.broadcast(sketch)
@@ -138,7 +151,7 @@ def prefixes(docs: DataFrame, sketch: np.ndarray, words: int, percent: int) -> D
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for rows, data, offsets in text_chunks(batches):
-            nodes, sizes, groups, parts = [], [], [], []
+            nodes, sizes, groups, parities, parts = [], [], [], [], []
             for s in shingle_sets(data, offsets, words):
                 counts = sent.value[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
                 prefix = s[np.argsort(counts, kind="stable")][: _prefix_size(len(s), percent)] if len(s) else s
@@ -146,6 +159,7 @@ def prefixes(docs: DataFrame, sketch: np.ndarray, words: int, percent: int) -> D
                 nodes.append(_node(s))
                 sizes.append(len(s))
                 groups.append(group)
+                parities.append(_parities(s))
                 parts.append(None if group in seen else prefix.view(np.int64))
                 seen.add(group)
             yield pa.RecordBatch.from_arrays(
@@ -155,27 +169,31 @@ def prefixes(docs: DataFrame, sketch: np.ndarray, words: int, percent: int) -> D
                     pa.array(nodes, pa.int64()),
                     pa.array(sizes, pa.int32()),
                     pa.array(groups, pa.int64()),
+                    pa.array(parities, pa.list_(pa.int64())),
                     pa.array(parts, pa.list_(pa.int64())),
                 ],
-                ["key", "doc_id", "node", "size", "grp", "prefix"],
+                ["key", "doc_id", "node", "size", "grp", "parity", "prefix"],
             )
 
-    return docs.mapInArrow(work, "key long, doc_id long, node long, size int, grp long, prefix array<long>")
+    return docs.mapInArrow(
+        work, "key long, doc_id long, node long, size int, grp long, parity array<long>, prefix array<long>"
+    )
 
 
 def prefix_posts(rows: DataFrame) -> DataFrame:
     """(token, grp, size, pos) for the prefix shingles that several groups have.
 
-    Minimum and maximum group of a shingle combine before their shuffle. A
-    filter of bounded size then spares most other shingles the join that
-    selects exactly; repeats of a post, one a task at most, go last.
+    Counts of a shingle combine before their shuffle (a group counts once a
+    task, so a group of copies may pass for several; its posts then pair with
+    nothing). A filter of bounded size spares most other shingles the join
+    that selects exactly; repeats of a post go last.
     """
     rows = rows.where("size > 0 AND prefix IS NOT NULL").select("grp", "size", "prefix")
     shared = materialize(
-        rows.select("grp", F.explode("prefix").alias("token"))
+        rows.select(F.explode("prefix").alias("token"))
         .groupBy("token")
-        .agg(F.min("grp").alias("x"), F.max("grp").alias("y"))
-        .where("x <> y")
+        .agg(F.count(F.lit(1)).alias("n"))
+        .where("n > 1")
         .select("token"),
         "shared-shingles",
     )
@@ -228,15 +246,28 @@ def _wanted_texts(docs: DataFrame, heads: DataFrame, pairs: DataFrame) -> DataFr
     return materialize(rows.mapInArrow(screen, rows.schema).join(wanted, "key").select("node", "text"), "wanted-texts")
 
 
-def _attach(pairs: DataFrame, texts: DataFrame, side: str, other: str) -> DataFrame:
-    """``pairs`` with the text of its ``side``. A node in many pairs is salted
-    by the other side, its text repeated for the salts that occur only."""
+def _attach(pairs: DataFrame, table: DataFrame, columns: list[str], side: str, other: str) -> DataFrame:
+    """``pairs`` with ``columns`` of its ``side``'s node. A node in many pairs is
+    salted by the other side, its row repeated for the salts that occur only."""
     salted = pairs.withColumn("_salt", F.pmod(F.xxhash64(other, F.lit(3)), F.lit(64)))
     keys = salted.select(side, "_salt").distinct()
-    found = keys.join(texts.select(F.col("node").alias(side), F.col("text").alias(f"text_{side}")), side)
+    named = [F.col(c).alias(f"{c}_{side}") for c in columns]
+    found = keys.join(table.select(F.col("node").alias(side), *named), side)
     return salted.join(found, [side, "_salt"]).drop("_salt")
 
 
+def sieve(pairs: DataFrame, heads: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that sizes and parities don't rule out; loses no link."""
+    columns = ["size", "parity"]
+    full = _attach(_attach(pairs, heads, columns, "a", "b"), heads, columns, "b", "a")
+    differ = F.aggregate(
+        F.zip_with("parity_a", "parity_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x
+    )
+    total = F.col("size_a") + F.col("size_b")
+    near = 100 * F.least("size_a", "size_b") >= percent * F.greatest("size_a", "size_b")
+    return full.where(near & ((100 + percent) * differ <= (100 - percent) * total)).select("a", "b")
+
+
 def verify(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs (u, v) of ``pairs`` (a, b) whose whole sets link; sets are
     made from the texts again, which are a fraction of their size."""
@@ -254,19 +285,24 @@ def verify(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Data
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays(batch.columns[:2], ["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
-    full = _attach(_attach(pairs.select("a", "b"), texts, "a", "b"), texts, "b", "a")
+    full = _attach(_attach(pairs, texts, ["text"], "a", "b"), texts, ["text"], "b", "a")
     return full.select("a", "b", "text_a", "text_b").mapInArrow(work, "u long, v long")
 
 
+def row_key() -> Column:
+    """A hash of a row's id and text; rows without text and with an empty one agree."""
+    return F.xxhash64(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")))
+
+
 def link_components(docs: DataFrame, words: int = SHINGLE_WORDS, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for every row of ``docs`` (doc_id, text)."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    docs = docs.select(F.xxhash64("doc_id", "text").alias("key"), "doc_id", "text")
+    """(key, doc_id, n_shingles, component_id) for every row of ``docs``
+    (doc_id, text); key is ``row_key``."""
+    docs = docs.select(row_key().alias("key"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     rows = materialize(prefixes(docs, rarity_sketch(docs, words), words, percent), "prefixes")
     heads = materialize(
         rows.where("size > 0")
         .groupBy("node")
-        .agg(F.min("doc_id").alias("rep"), F.min("key").alias("key"), F.max("size").alias("size"), F.max("grp").alias("grp")),
+        .agg(F.min("doc_id").alias("rep"), F.min("key").alias("key"), F.max("size").alias("size"), F.max("grp").alias("grp"), F.max("parity").alias("parity")),
         "nodes",
     )
     leaders = heads.groupBy("grp").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("members"))
@@ -289,7 +325,7 @@ def link_components(docs: DataFrame, words: int = SHINGLE_WORDS, percent: int =
         .where("node <> leader")
         .select(F.col("node").alias("a"), F.col("leader").alias("b"))
     )
-    pairs = materialize(across.unionByName(inside).distinct(), "pairs")
+    pairs = materialize(sieve(across.unionByName(inside).distinct(), heads, percent), "pairs")
     links = materialize(verify(pairs, _wanted_texts(docs, heads, pairs), words, percent), "links")
     found = materialize(components(links), "components")
 
@@ -318,7 +354,7 @@ def link_components(docs: DataFrame, words: int = SHINGLE_WORDS, percent: int =
         .select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
         .distinct()
     )
-    rest = materialize(rest, "open-pairs")
+    rest = materialize(sieve(rest, heads, percent), "open-pairs")
     more = materialize(verify(rest, _wanted_texts(docs, heads, rest), words, percent), "open-links")
     stars = found.where("node <> component").select(F.col("node").alias("u"), F.col("component").alias("v"))
     final = components(stars.unionByName(more))
@@ -326,7 +362,8 @@ def link_components(docs: DataFrame, words: int = SHINGLE_WORDS, percent: int =
     named = heads.join(final, "node", "left").select("node", "rep", F.coalesce("component", "node").alias("component"))
     ids = named.groupBy("component").agg(F.min("rep").alias("component_id"))
     of_node = salted_join(named, ids, ["component"], "node", "inner").select("node", "component_id")
-    return salted_join(rows.select("doc_id", "node", "size"), of_node, ["node"], "doc_id", "left").select(
+    return salted_join(rows.select("key", "doc_id", "node", "size"), of_node, ["node"], "key", "left").select(
+        "key",
         "doc_id",
         F.col("size").cast("long").alias("n_shingles"),
         F.when(F.col("size") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),

@@ -54,7 +54,7 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return link_components(read_table(spark, sf_dir, "documents"))
+    return link_components(read_table(spark, sf_dir, "documents")).drop("key")
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
