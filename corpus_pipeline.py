@@ -1,15 +1,83 @@
 """The corpus pipeline: stages over ``documents``, each one operator of vsframe.llm.
 
-Every stage reads what its predecessor kept, as Parquet in the shared folder.
+Every stage gets what its predecessor kept, written to the shared folder as
+Parquet and read again, and is decided on that alone. All stages but the last
+return the columns of their input; ``n_chars``, where there is one, follows the
+text. Rows with a null id or text pass like others: no letter means no
+language, so null and empty texts go in the first stage.
 """
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from vsframe.llm.common import materialize, read_table
+from vsframe.llm import bpe
+from vsframe.llm.common import fresh, let_workers_import, materialize, read_table, salted_join
+from vsframe.llm.decontamination import mark_contamination
+from vsframe.llm.langid import UNKNOWN, classify, train_prototypes
+from vsframe.llm.line_dedup import drop_lines
+from vsframe.llm.ngram_join import link_components, row_key
 
-STAGES: list = []
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a recognised language; learns from all labelled ones."""
+    let_workers_import(spark)
+    pred, score = fresh(docs, "_lang", "_score")
+    found = classify(docs, train_prototypes(docs), out=(pred, score))
+    return found.where(F.col(pred) != UNKNOWN).drop(pred, score)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the lines that many others hold."""
+    lines, kept = fresh(docs, "_lines", "_kept")
+    cut = drop_lines(docs, (lines, kept))
+    changed = F.size(lines) != F.size(kept)
+    text = F.when(changed, F.array_join(kept, "\n")).otherwise(F.col("text"))
+    out = cut.withColumn("text", text)
+    if "n_chars" in docs.columns:
+        size = F.char_length("text").cast(docs.schema["n_chars"].dataType)
+        out = out.withColumn("n_chars", F.when(changed, size).otherwise(F.col("n_chars")))
+    return out.select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of linked documents the one with the smallest id."""
+    let_workers_import(spark)
+    (key,) = fresh(docs, "_key")
+    gone = (
+        link_components(docs.select("doc_id", "text"))
+        .where(~F.col("doc_id").eqNullSafe(F.col("component_id")))
+        .select(F.col("key").alias(key))
+        .distinct()
+    )
+    (spread,) = fresh(docs, "_spread")
+    keyed = docs.withColumn(key, row_key()).withColumn(spread, F.col(key))
+    return salted_join(keyed, gone, [key], spread, "left_anti").select(*docs.columns)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no passage of the benchmark."""
+    words, spans, items = fresh(docs, "_words", "_spans", "_items")
+    marked = mark_contamination(docs, read_table(spark, sf_dir, "benchmark"), out=(words, spans, items))
+    return marked.where(F.size(spans) == 0).drop(words, spans, items)
+
+
+def byte_level_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document's token ids, packed, with digests of ids and decoded
+    bytes, in place of its text."""
+    let_workers_import(spark)
+    return bpe.round_trip(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), packed="token_ids")
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("line_dedup", line_dedup),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("byte_level_bpe", byte_level_bpe),
+]
 
 #: No SQL: language ID by hypervectors and BPE ids are not expressible.
 ORACLE_SQL = None

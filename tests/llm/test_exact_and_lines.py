@@ -1,0 +1,127 @@
+"""Exact dedup, line dedup and WARC against plain Python."""
+
+import base64
+import hashlib
+from collections import Counter, defaultdict
+
+import pytest
+from llm_cases import SCHEMA, corpus, with_clashes, workers  # noqa: F401  (workers: a fixture)
+
+from vsframe.llm.exact_dedup import duplicate_groups, exact_dedup
+from vsframe.llm.line_dedup import drop_bitmaps, line_dedup_report
+from vsframe.llm.warc import archive_report, parse_records, read_archives, write_archives
+
+
+def lower(text):
+    return "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+
+
+def bag(df):
+    return Counter(map(tuple, df.collect()))
+
+
+def expected_exact(rows):
+    groups = defaultdict(list)
+    for i, t, _ in rows:
+        groups[lower(t)].append(i)
+    out = Counter()
+    for i, t, _ in rows:
+        ids = groups[lower(t)]
+        known = [x for x in ids if x is not None]
+        keep = max(known) if known else None
+        out[(i, keep, len(ids), i == keep, hashlib.sha256(lower(t).encode()).hexdigest())] += 1
+    return out
+
+
+def test_exact_dedup(spark):
+    rows = corpus(2, 80) + [(3000, "ÀB same", None), (3001, "ÀB SAME", None), (3002, "àb same", None)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = exact_dedup(with_clashes(df))
+    assert bag(got) == expected_exact(rows)
+    found = duplicate_groups(df).collect()
+    assert all(r.group_size > 1 for r in found) and len(found) == sum(n for k, n in expected_exact(rows).items() if k[2] > 1)
+
+
+def test_exact_dedup_of_one_large_group(spark):
+    rows = [(i, "Copy" if i % 3 else f"text {i}", None) for i in range(900)]
+    assert bag(exact_dedup(spark.createDataFrame(rows, SCHEMA))) == expected_exact(rows)
+
+
+def expected_lines(rows):
+    def key(line):
+        return lower(line.strip(" \t\n\x0b\f\r"))
+
+    holders = defaultdict(set)
+    for i, t, _ in rows:
+        for line in (t or "").split("\n"):
+            holders[key(line)].add(i)
+    out = Counter()
+    for i, t, _ in rows:
+        lines = (t or "").split("\n")
+        kept = []
+        for line in lines:
+            of = holders[key(line)]
+            last = max((x for x in of if x is not None), default=None)
+            if len(key(line)) < 20 or len(of) < 3 or i == last:
+                kept.append(line)
+        out[(i, len(lines), len(lines) - len(kept), hashlib.sha256("\n".join(kept).encode()).hexdigest())] += 1
+    return out
+
+
+def test_line_dedup(spark):
+    rows = corpus(3, 90)
+    long = "\n".join(f"{'shared line number' if j % 3 else 'own line'} {j} of a very long document" for j in range(700))
+    rows += [(4000 + k, long.replace("own", f"own{k}"), None) for k in range(3)]
+    want = expected_lines(rows)
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert bag(line_dedup_report(with_clashes(df))) == want
+    assert sum(k[2] for k in want) > 900
+    bitmaps = drop_bitmaps(df.select("doc_id", "text")).collect()
+    assert all(x.bits != 0 for r in bitmaps for x in r.dropped)  # no empty words travel
+
+
+def test_empty_tables(spark):
+    empty = spark.createDataFrame([], SCHEMA)
+    assert exact_dedup(empty).collect() == [] and line_dedup_report(empty).collect() == []
+    pages = spark.createDataFrame([], "page_id long, url string, html string")
+    assert archive_report(pages).collect() == []
+
+
+def expected_warc(rows, least=0):
+    largest = {}
+    for i, _, html in rows:
+        if i is not None:
+            largest[html or ""] = max(i, largest.get(html or "", i))
+    out = Counter()
+    for i, _, html in rows:
+        data = (html or "").encode()
+        keep = largest.get(html or "")
+        revisit = keep is not None and i != keep and len(data) >= least
+        digest = base64.b32encode(hashlib.sha1(data).digest()).decode()
+        out[(i, len(data), digest, "revisit" if revisit else "response", keep if revisit else None)] += 1
+    return out
+
+
+@pytest.mark.parametrize("least", [0, 10])
+def test_warc_revisits(spark, least):
+    html = ["<p>ä</p>", "a\r\n\r\nWARC/1.1\r\nb", "", None, "x" * 300_000, "same " * 40]
+    rows = [(i, f"http://h/{i}", html[i % 6] if i % 5 else html[5]) for i in range(120)]
+    rows += [(500, None, "line\nends"), (501, "http://e/\r\nContent-Length: 0", "forged"), rows[7], rows[7], (None, "u", "no id")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert bag(archive_report(with_clashes(df), least)) == expected_warc(rows, least)
+
+
+def test_archives_are_valid_and_read_back(spark):
+    from vsframe.session import shared_dir
+
+    path = shared_dir(spark, "warc-test")
+    rows = [("response", 1, "http://x/\r\ny", "D1", 3, None, "a\nb"), ("revisit", 2, None, "D1", 3, 1, None)]
+    schema = "record_type string, id long, url string, payload_digest string, payload_bytes long, refers_to long, payload string"
+    write_archives(spark.createDataFrame(rows, schema), path)
+    got = sorted(map(tuple, read_archives(spark, path).collect()))
+    assert got == [("response", 1, "http://x/%0D%0Ay", "D1", 3, None, "a\nb"), ("revisit", 2, None, "D1", 3, 1, None)]
+
+
+def test_parse_rejects_what_is_no_record():
+    with pytest.raises(ValueError, match="no record"):
+        list(parse_records(b"nothing\r\n\r\nhere"))
