@@ -15,8 +15,11 @@ that can be compared on their own:
    depth ``length`` by rank doubling (a suffix array of the slices). In suffix
    order, equal windows are neighbours, ordered by position: the previous
    smaller position gives a window's longest previous factor its earlier match,
-   the next larger one its later match. An anchor with too many slices for one
-   task sends window hashes instead, which are counted like words.
+   the next larger one its later match. An anchor with too many
+   different slices for one task is refined: its windows are cut into blocks by
+   their distance to the anchor, blocks meet by a hash of the bytes that all
+   windows of a block share, equal blocks collapse, and groups that are still
+   too large are cut into narrower blocks, down to single windows.
 
 With ``keep_first`` a window goes only if it has an earlier match (by doc_id,
 null first, then offset), so the first copy stays; else every copy goes. Null
@@ -30,7 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vsframe.llm.common import RollingHash, key_filter, materialize, passes, salted_join, text_chunks
@@ -39,8 +42,10 @@ LENGTH = 200
 GRAM = 32
 #: Different slices of one anchor that one task may compare by suffix order.
 GROUP_SLICES = 512
+#: Windows of a block, by refinement step; a block of one is its window.
+BLOCKS = (32, 4, 1)
 #: Bytes of slices that are sorted at once.
-SORT_BYTES = 4 << 20
+SORT_BYTES = 2 << 20
 _PLACE_BITS = 24
 _SEGMENT = 1 << 23  # longer texts are anchored in overlapping segments
 
@@ -188,7 +193,7 @@ def repeated_spans(
     # anchors with several different slices
     groups = slices.groupBy("h").agg(F.count(F.lit(1)).alias("d")).where("d > 1")
     open_slices = materialize(salted_join(slices, groups, ["h"], "sh", "inner"), "open-slices")
-    wanted = open_slices.groupBy("key").agg(F.collect_list(F.struct("h", "c", "ws", "n", "d")).alias("cuts"))
+    wanted = open_slices.groupBy("key").agg(F.collect_list(F.struct("h", "ws", "n", "d")).alias("cuts"))
     sent = docs.sparkSession.sparkContext.broadcast(key_filter(wanted.select("key")))
 
     def screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,76 +208,116 @@ def repeated_spans(
             for cut in cuts.as_py():
                 if (cut["d"] > group_slices) == hot:
                     at, n = cut["ws"], cut["n"]
-                    yield cut["h"], cut["c"], key.as_py(), doc.as_py(), at, n, raw[at : at + n + length - 1]
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["h", "c", "key", "doc_id", "ws", "n", "slice"]
-        types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
-        for batch in batches:
-            for lo in range(0, len(batch), 256):
-                rows = list(zip(*slice_rows(batch.slice(lo, 256), False)))
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, types)], names)
-
-    def hash_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["h", "w", "c", "key", "doc_id", "start"]
-        for batch in batches:
-            for lo in range(0, len(batch), 64):
-                for h, c, key, doc, at, n, raw in slice_rows(batch.slice(lo, 64), True):
-                    w = RollingHash(np.frombuffer(raw, np.uint8)).windows(length)
-                    same = [np.full(n, x, np.int64) for x in (c, key, doc)]
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(np.full(n, h, np.int64)),
-                            pa.array(w.view(np.int64)),
-                            *(pa.array(x) for x in same),
-                            pa.array(np.arange(at, at + n), pa.int32()),
-                        ],
-                        names,
-                    )
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Batches come sorted by anchor; whole groups are compared together."""
-        held: list[tuple] = []
-        size = 0
-        for batch in batches:
-            columns = [batch.column(i).to_pylist() for i in range(7)]
-            for row in zip(*columns):
-                if size > SORT_BYTES and row[0] != held[-1][0]:
-                    yield _compared(held, length, keep_first)
-                    held, size = [], 0
-                held.append(row)
-                size += len(row[6])
-        if held:
-            yield _compared(held, length, keep_first)
-
-    cuts = texts.mapInArrow(cut, "h long, c long, key long, doc_id long, ws int, n int, slice binary")
-    span_schema = "key long, start int, end int"
-    sorted_spans = cuts.repartition("h").sortWithinPartitions("h").mapInArrow(compare, span_schema)
-
-    windows = texts.mapInArrow(hash_windows, "h long, w long, c long, key long, doc_id long, start int")
-    counted = (
-        windows.groupBy("h", "w")
-        .agg(F.sum("c").alias("of"), F.count(F.lit(1)).alias("m"), F.min(F.struct("doc_id", "start")).alias("first"))
-        .where("m > 1")
-    )
-    hot = salted_join(windows, counted, ["h", "w"], "key", "inner")
-    if keep_first:
-        hot = hot.where("first.doc_id <> doc_id OR first.start <> start")
-    hot_spans = hot.select("key", "start", (F.col("start") + length).alias("end"))
-    return spans.unionByName(sorted_spans).unionByName(hot_spans)
+                    yield cut["h"], key.as_py(), doc.as_py(), at, n, raw[at : at + n + length - 1]
+
+    def cut(hot: bool) -> DataFrame:
+        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for lo in range(0, len(batch), 256):
+                    rows = list(zip(*slice_rows(batch.slice(lo, 256), hot)))
+                    if rows:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, _SLICE_TYPES)], _SLICE_NAMES)
+
+        return texts.mapInArrow(work, _SLICE_SCHEMA)
+
+    def compare(rows: DataFrame, group: Column) -> DataFrame:
+        """Spans from the slices of whole groups, each compared in one task."""
+
+        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held: list[tuple] = []
+            size = 0
+            for batch in batches:
+                for row in zip(*(batch.column(i).to_pylist() for i in range(6))):
+                    if size > SORT_BYTES and row[0] != held[-1][0]:
+                        yield _compared(held, length, keep_first)
+                        held, size = [], 0
+                    held.append(row)
+                    size += len(row[5])
+            if held:
+                yield _compared(held, length, keep_first)
+
+        grouped = rows.select(group.alias("g"), "key", "doc_id", "ws", "n", "slice")
+        return grouped.repartition("g").sortWithinPartitions("g").mapInArrow(work, "key long, start int, end int")
+
+    def blocks(rows: DataFrame, width: int) -> DataFrame:
+        """Slices cut into blocks of ``width`` windows by distance to the anchor."""
+
+        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                out = []
+                for h, key, doc, ws, n, raw in zip(*(batch.column(i).to_pylist() for i in range(6))):
+                    out += [(h, key, doc, ws + lo, hi - lo, raw[lo : hi + length - 1], block, core, sub)
+                            for lo, hi, block, core, sub in _blocks(h, n, raw, length, gram, width)]
+                if out:
+                    types = [*_SLICE_TYPES, pa.int32(), pa.int64(), pa.int64()]
+                    names = [*_SLICE_NAMES, "block", "core", "sub"]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names)
+
+        return rows.mapInArrow(work, f"{_SLICE_SCHEMA}, block int, core long, sub long")
+
+    found = spans.unionByName(compare(cut(False), F.col("h")))
+    hot = materialize(cut(True), "hot-slices")
+    for width in BLOCKS:
+        if hot.isEmpty():
+            break
+        parts = materialize(blocks(hot, width), "blocks")
+        group, same = ["h", "block", "core"], ["h", "block", "core", "sub"]
+        counted = materialize(
+            parts.groupBy(*same)
+            .agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("doc_id", "ws", "key", "n", "slice")).alias("rep"))
+            .select(*same, "m", "rep.*"),
+            "distinct-blocks",
+        )
+        firsts = counted.where("m > 1").select(*same, F.col("doc_id").alias("doc1"), F.col("ws").alias("ws1"))
+        copies = salted_join(parts.drop("slice"), firsts, same, "key", "inner")
+        if keep_first:
+            copies = copies.where("doc_id <> doc1 OR ws <> ws1")
+        found = found.unionByName(
+            copies.select("key", F.col("ws").alias("start"), (F.col("ws") + F.col("n") + (length - 1)).alias("end"))
+        )
+        sizes = counted.groupBy(*group).agg(F.count(F.lit(1)).alias("d")).where("d > 1")
+        open_blocks = materialize(salted_join(counted, sizes, group, "sub", "inner"), "open-blocks")
+        found = found.unionByName(
+            compare(open_blocks.where(F.col("d") <= group_slices), F.xxhash64(*group))
+        )
+        hot = open_blocks.where(F.col("d") > group_slices).select(*_SLICE_NAMES)
+    return found
+
+
+_SLICE_NAMES = ["h", "key", "doc_id", "ws", "n", "slice"]
+_SLICE_TYPES = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+_SLICE_SCHEMA = "h long, key long, doc_id long, ws int, n int, slice binary"
+
+
+def _blocks(h: int, n: int, raw: bytes, length: int, gram: int, width: int) -> Iterator[tuple[int, int, int, int, int]]:
+    """For each block of a slice's windows: its first window and the one after
+    its last, its number, and hashes of the bytes that all windows of a whole
+    such block share and of all its bytes.
+
+    A window's distance to the anchor is the same wherever the window occurs,
+    so equal windows are in blocks of one number with equal shared bytes.
+    """
+    rolling = RollingHash(np.frombuffer(raw, np.uint8))
+    anchor = int(np.argmax(rolling.windows(gram).view(np.int64) == h))
+    for block in range(max(0, anchor - n + 1) // width, anchor // width + 1):
+        lo, hi = max(0, anchor - (block + 1) * width + 1), min(n, anchor - block * width + 1)
+        if lo < hi:
+            shared = anchor - block * width, anchor - (block + 1) * width + 1 + length
+            ends = np.array([shared, (lo, hi + length - 1)])
+            core, sub = rolling.slices(ends[:, 0], ends[:, 1]).view(np.int64).tolist()
+            yield lo, hi, block, core, sub
 
 
 def _compared(held: list[tuple], length: int, keep_first: bool) -> pa.RecordBatch:
     """Spans of the windows of some whole groups of slices that repeat in them."""
-    sizes = np.array([len(r[6]) for r in held])
-    data = np.frombuffer(b"".join(r[6] for r in held), np.uint8)
-    n = np.array([r[5] for r in held])
+    sizes = np.array([len(r[5]) for r in held])
+    data = np.frombuffer(b"".join(r[5] for r in held), np.uint8)
+    n = np.array([r[4] for r in held])
     at = np.cumsum(sizes) - sizes
     within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
     rank = truncated_ranks(data, np.repeat(at, n) + within, length)
     # places in the order of (document, offset); dense, so equal windows compare as integers
-    doc, start = np.repeat([r[3] for r in held], n), np.repeat([r[4] for r in held], n) + within
+    doc, start = np.repeat([r[2] for r in held], n), np.repeat([r[3] for r in held], n) + within
     order = np.lexsort((start, doc))
     new = np.ones(len(order), bool)
     new[1:] = (np.diff(doc[order]) != 0) | (np.diff(start[order]) != 0)
@@ -284,7 +329,7 @@ def _compared(held: list[tuple], length: int, keep_first: bool) -> pa.RecordBatc
     edge = np.concatenate([[True], owner[1:] != owner[:-1]])
     begins = np.flatnonzero(gone & (edge | ~np.concatenate([[False], gone[:-1]])))
     stops = np.flatnonzero(gone & np.concatenate([edge[1:] | ~gone[1:], [True]]))
-    keys = np.array([r[2] for r in held], np.int64)
+    keys = np.array([r[1] for r in held], np.int64)
     return pa.RecordBatch.from_arrays(
         [pa.array(keys[owner[begins]]), pa.array(start[begins], pa.int32()), pa.array(start[stops] + length, pa.int32())],
         ["key", "start", "end"],
