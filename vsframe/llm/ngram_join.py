@@ -58,6 +58,8 @@ PERCENT = 80
 SKETCH_BITS, BLOCK_BITS = 22, 14
 #: Bits of a node's parity sketch, in longs.
 PARITY_LONGS = 16
+#: Longs of it that posts carry, folded, so that the join itself drops pairs.
+FOLDED_LONGS = 4
 _MULTIPLIERS = mix64(np.arange(1, 17, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -99,6 +101,19 @@ def _parities(shingles: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
+def _folded(parity: str) -> list[Column]:
+    """A parity sketch of fewer classes: long k is the exclusive or of every
+    FOLDED_LONGS-th long from k on. The bound on differences still holds."""
+    step = PARITY_LONGS // FOLDED_LONGS
+    out = []
+    for k in range(FOLDED_LONGS):
+        fold = F.col(parity)[k]
+        for j in range(1, step):
+            fold = fold.bitwiseXOR(F.col(parity)[k + j * FOLDED_LONGS])
+        out.append(fold.alias(f"fold{k}"))
+    return out
+
+
 def _prefix_size(size: int, percent: int) -> int:
     return size - -(-percent * size // 100) + 1
 
@@ -331,25 +346,31 @@ def link_components(docs: DataFrame, words: int = SHINGLE_WORDS, percent: int =
 
     # all pairs between different components
     labelled = materialize(
-        heads.join(found, "node", "left").select("node", "grp", F.coalesce("component", "node").alias("component"), "size"),
+        heads.join(found, "node", "left").select(
+            "node", "grp", F.coalesce("component", "node").alias("component"), "size", *_folded("parity")
+        ),
         "labelled-nodes",
     )
+    folds = [f"fold{k}" for k in range(FOLDED_LONGS)]
     many = labelled.join(leaders.where("members > 1").select("grp"), "grp", "left_semi")
     mixed_groups = many.groupBy("grp").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y")
     own = salted_join(many, mixed_groups.select("grp"), ["grp"], "node", "left_semi").select(
         F.xxhash64("grp", F.lit(9)).alias("token"), "node", "component", "size", F.lit(0).alias("pos")
     )
-    spread = posts.join(labelled.drop("size"), "grp").select("token", "node", "component", "size", "pos")
+    spread = posts.join(labelled.select("node", "grp", "component"), "grp").select("token", "node", "component", "size", "pos")
     mixed = spread.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y")
+    still = salted_join(spread, mixed.select("token"), ["token"], "node", "left_semi").unionByName(own)
     open_posts = materialize(
-        salted_join(spread, mixed.select("token"), ["token"], "node", "left_semi").unionByName(own), "open-posts"
+        salted_join(still, labelled.select("node", *folds), ["node"], "token", "inner", salts=1), "open-posts"
     )
     x, y = open_posts.alias("x"), open_posts.alias("y")
     total = F.col("x.size") + F.col("y.size")
     most = F.least(F.col("x.size") - F.col("x.pos"), F.col("y.size") - F.col("y.pos"))  # from a first common shingle on
+    differ = sum((F.bit_count(F.col(f"x.{k}").bitwiseXOR(F.col(f"y.{k}"))) for k in folds), F.lit(0))
     rest = (
         x.join(y, F.col("x.token") == F.col("y.token"))
         .where((F.col("x.component") < F.col("y.component")) & ((100 + percent) * most >= percent * total))
+        .where((100 + percent) * differ <= (100 - percent) * total)
         .where(100 * F.least("x.size", "y.size") >= percent * F.greatest("x.size", "y.size"))
         .select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
         .distinct()
