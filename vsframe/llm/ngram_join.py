@@ -317,7 +317,7 @@ def link_components(docs: DataFrame, words: int = SHINGLE_WORDS, percent: int =
     heads = materialize(
         rows.where("size > 0")
         .groupBy("node")
-        .agg(F.min("doc_id").alias("rep"), F.min("key").alias("key"), F.max("size").alias("size"), F.max("grp").alias("grp"), F.max("parity").alias("parity")),
+        .agg(F.min("doc_id").alias("rep"), F.min("key").alias("key"), *(F.max(c).alias(c) for c in ("size", "grp", "parity"))),
         "nodes",
     )
     leaders = heads.groupBy("grp").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("members"))

@@ -246,8 +246,8 @@ def repeated_spans(
             for batch in batches:
                 out = []
                 for h, key, doc, ws, n, raw in zip(*(batch.column(i).to_pylist() for i in range(6))):
-                    out += [(h, key, doc, ws + lo, hi - lo, raw[lo : hi + length - 1], block, core, sub)
-                            for lo, hi, block, core, sub in _blocks(h, n, raw, length, gram, width)]
+                    for lo, hi, *names_of in _blocks(h, n, raw, length, gram, width):
+                        out.append((h, key, doc, ws + lo, hi - lo, raw[lo : hi + length - 1], *names_of))
                 if out:
                     types = [*_SLICE_TYPES, pa.int32(), pa.int64(), pa.int64()]
                     names = [*_SLICE_NAMES, "block", "core", "sub"]
