@@ -132,7 +132,8 @@ def rarity_sketch(docs: DataFrame, words: int) -> np.ndarray:
             sets = shingle_sets(data, offsets, words)
             if sets:
                 at = (np.concatenate(sets) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
-                counts += np.bincount(at, minlength=len(counts)).astype(np.uint32)
+                cell, n = np.unique(at, return_counts=True)  # no temporary of the sketch's size
+                counts[cell] += n.astype(np.uint32)
         blocks = counts.reshape(-1, cells)
         some = np.flatnonzero(blocks.any(1))
         yield pa.RecordBatch.from_arrays(
