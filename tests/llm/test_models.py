@@ -5,7 +5,7 @@ import math
 import random
 import re
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -196,6 +196,54 @@ def test_probabilities_sum_to_one():
         assert abs((10 ** model.log10(every)).sum() - 1) < 1e-9
 
 
+def test_counts_are_exact_however_many_contexts(spark):
+    """Far more contexts than SLOT_BITS has slots: known and unknown stay apart."""
+    rnd = random.Random(14)
+    letters = "abcdefghijklmnopqrstuvwxyz0123456789"
+    train = ["".join(rnd.choices(letters, k=4000)) for _ in range(100)]
+    held = [train[3][50:90], "".join(rnd.choices(letters, k=60)), "ÜÜ über 🙂", ""]
+    rows = [(k, t, False) for k, t in enumerate(train)] + [(1000 + k, t, True) for k, t in enumerate(held)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, held_out boolean").repartition(4)
+    counts = context_mixing.corpus_counts(docs.where("NOT held_out"))
+    model = context_mixing.train(counts)
+    got = {r.doc_id: r.score for r in context_mixing.score_texts(docs, counts, model).collect()}
+
+    fitted = getattr(model, "model", model)
+    after = [defaultdict(Counter) for _ in range(5)]
+    for t in train:
+        b = b"\xfe" * 4 + t.encode() + b"\xff"
+        for i in range(4, len(b)):
+            for k in range(5):
+                after[k][b[i - k : i]][b[i]] += 1
+    for i, t in enumerate(held):
+        b, want = b"\xfe" * 4 + lower(t).encode() + b"\xff", 0
+        for j in range(4, len(b)):
+            for bit in range(8):
+                n = np.zeros((2, 5, 1))
+                for k in range(5):
+                    for byte, c in after[k][b[j - k : j]].items():
+                        if byte >> 8 - bit == b[j] >> 8 - bit:
+                            n[byte >> 7 - bit & 1, k, 0] += c
+                x, gate = context_mixing._inputs(*n, bit)
+                x = np.clip(fitted.weights[gate[0]] @ x, -12, 12)
+                p, node, cell = 1 / (1 + np.exp(-x[0])), (b[j] | 256) >> 8 - bit, context_mixing._bucket(x)[0]
+                if fitted.refined[node, cell]:
+                    p = (p + fitted.refine[node, cell]) / 2
+                want += math.log10(p if b[j] >> 7 - bit & 1 else 1 - p)
+        assert abs(got[1000 + i] - want) < 1e-6, (i, got[1000 + i], want)
+
+
+@pytest.mark.parametrize("bits", [0, 6])
+def test_scores_do_not_rest_on_what_is_sent(spark, monkeypatch, bits):
+    rows = corpus(9, 60)
+    def scores():
+        return sorted((str(r.doc_id), r.n_known, round(r.base_score, 6), round(r.score, 6)) for r in context_mixing.scoring_report(spark.createDataFrame(rows, SCHEMA)).collect())
+
+    want = scores()
+    monkeypatch.setattr(context_mixing, "HEAVY_BITS", bits)
+    assert scores() == want
+
+
 def test_context_mixing_of_nothing(spark):
     assert context_mixing.scoring_report(spark.createDataFrame([], SCHEMA)).collect() == []
     held = next(i for i in range(99) if zlib.crc32(str(i).encode()) % 7 == 2)

@@ -2,22 +2,29 @@
 
 A text, A-Z lower-cased, is coded byte by byte and each byte bit by bit, most
 significant first, with an end byte after the last. Five predictors see the bits
-so far of the byte and its 0 to 4 bytes before, hashed to slots that count zeros
-and ones; their probabilities are mixed in the logistic domain by weights. Which
+so far of the byte and its 0 to 4 bytes before, and have exact counts of the zeros
+and ones that followed; their probabilities are mixed in the logistic domain by weights. Which
 weight vector is used is gated by the longest context seen before, by how often
 it was seen, and by the bit. A last table refines the mixed probability
 adaptively. The sum of log10 probabilities is a proper score of the whole text.
 
 Predictors depend on five bytes at most, so everything is counted by distinct
-five-byte grams: a shuffle sums grams over all training texts, slot counts are
-sums over grams, and weights are learned online over grams weighted by their
+five-byte grams: a shuffle sums grams over all training texts, predictors' counts
+are sums over grams, and weights are learned online over grams weighted by their
 counts, in parallel parts whose weights are averaged, in several rounds. A gram
 trains with its own occurrence left out of the counts, or long contexts would
-predict themselves. Slot tables have a fixed size, the bound on what tasks get.
+predict themselves.
+
+The counts are a table of gram blocks that grows with the corpus: a block holds
+all grams of some contexts of three bytes, so orders 3 and 4 are counted within
+it. Orders 0 to 2 depend on three bytes, and their table, at most one row a byte
+trigram, goes to every task. No two contexts ever share a count.
 
 The base score is an add-one word model. Words counted often enough that there
 can be only ``2 ** HEAVY_BITS`` of them go to every task; the others meet their
-texts in a join.
+texts in a join. So it is with grams: log probabilities of the most frequent, at
+most ``2 ** HEAVY_BITS``, go to every task; other grams of the texts to be scored,
+never seen ones too, meet the blocks, and what comes out joins the texts.
 
 Rows with a null id are trained on and not held out; null texts are empty. With
 no training text, counts are zero and every bit costs its untrained guess.
@@ -25,7 +32,6 @@ no training text, counts are zero and every bit costs its untrained guess.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,11 +39,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vsframe.llm.common import RollingHash, lower_bytes, materialize, mix64, text_chunks, word_spans
+from vsframe.llm.common import RollingHash, lower_bytes, materialize, mix64, salted_join, text_chunks, word_spans
 
 ORDERS = 5  # contexts of 0 to 4 bytes
+#: Slots an order of ``SlotCounts``, for counts held in memory only.
 SLOT_BITS = 20
-BLOCK_BITS = 12
+#: Grams of a block at least, but for the last ones of a task; contexts are not
+#: cut, so a block has at most 2**16 more.
+BLOCK_GRAMS = 1 << 15
+LOW = 3  # bytes of the grams of orders 0 to 2
 #: Words with at least N / 2**HEAVY_BITS of the N training tokens go to every
 #: task, so at most 2**HEAVY_BITS words, 64 MiB.
 HEAVY_BITS = 22
@@ -89,46 +99,109 @@ def _bucket(x: np.ndarray) -> np.ndarray:
     return np.clip(((x + 8) * (BUCKETS / 16)).astype(np.int64), 0, BUCKETS - 1)
 
 
-class Model:
-    """Slot counts, gated weights and the refining table."""
+class SlotCounts:
+    """Counts hashed to a fixed number of slots; for few grams, in memory."""
 
     def __init__(self, zeros: np.ndarray, ones: np.ndarray):
         self.zeros, self.ones = zeros, ones
+
+    def __call__(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.stack([slots(grams, bit)[0] for bit in range(8)])
+        return self.zeros[at].astype(np.float64), self.ones[at].astype(np.float64)
+
+
+def _sorted_sums(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys in order and how many occurrences lie before each and after all."""
+    order = np.argsort(keys, kind="stable")
+    return keys[order], np.concatenate([[0], np.cumsum(n[order])])
+
+
+class ExactCounts:
+    """Zeros and ones (8, ORDERS, n) that followed each bit's contexts: orders 0
+    to 2 from sorted trigrams, the others from grams that hold all those with
+    the contexts asked for."""
+
+    def __init__(self, low: tuple[np.ndarray, np.ndarray], keys: np.ndarray, n: np.ndarray):
+        rest = [_sorted_sums(keys & np.uint64((1 << 8 * size) - 1), n) for size in range(LOW + 1, ORDERS + 1)]
+        self.low, self.rest = low, rest
+
+    def __call__(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        out = np.zeros((2, 8, ORDERS, len(grams)))
+        for order in range(ORDERS):
+            if order >= LOW - 1:
+                keys, sums = self.low if order < LOW else self.rest[order - LOW]
+            else:  # short contexts: trigrams by their last bytes
+                keys, n = self.low[0] & np.uint64((1 << 8 * (order + 1)) - 1), np.diff(self.low[1])
+                keys, index = np.unique(keys, return_inverse=True)
+                sums = np.concatenate([[0], np.cumsum(np.bincount(index, n, len(keys)))]).astype(np.int64)
+            own, index = np.unique(grams & np.uint64((1 << 8 * (order + 1)) - 1), return_inverse=True)
+            first = own & ~np.uint64(255)
+            before = sums[np.searchsorted(keys, first)]
+            after = sums[np.searchsorted(keys, first + np.uint64(256))]
+            for bit in range(8):  # the range of last bytes halves with each bit
+                half = np.uint64(128 >> bit)
+                middle = sums[np.searchsorted(keys, first + half)]
+                out[0, bit, order], out[1, bit, order] = (middle - before)[index], (after - middle)[index]
+                one = (own & half) != 0
+                first = np.where(one, first + half, first)
+                before, after = np.where(one, middle, before), np.where(one, after, middle)
+        return out[0], out[1]
+
+
+def _nodes(grams: np.ndarray, bit: int) -> tuple[np.ndarray, np.ndarray]:
+    """The bits before ``bit`` of the last byte, after a 1, and the bit."""
+    byte = grams & np.uint64(255)
+    node = ((byte | np.uint64(256)) >> np.uint64(8 - bit)).astype(np.int64)
+    return node, ((byte >> np.uint64(7 - bit)) & np.uint64(1)).astype(np.int64)
+
+
+def _left_out(zeros: np.ndarray, ones: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return np.maximum(zeros - (y == 0), 0), np.maximum(ones - (y == 1), 0)
+
+
+class Model:
+    """Gated weights and the refining table, over counts: slots of zeros and
+    ones, or those that ``over`` puts in their place."""
+
+    def __init__(self, zeros: np.ndarray | None = None, ones: np.ndarray | None = None):
+        self.counts = None if zeros is None else SlotCounts(zeros, ones)
         self.weights = np.full((GATES, ORDERS), 1 / ORDERS)
         self.refine = np.full((256, BUCKETS), 0.5)
         self.refined = np.zeros((256, BUCKETS), bool)
 
-    def _counts(self, at: np.ndarray, y: np.ndarray, left_out: bool) -> tuple[np.ndarray, np.ndarray]:
-        zeros, ones = self.zeros[at].astype(np.float64), self.ones[at].astype(np.float64)
-        if left_out:
-            zeros, ones = np.maximum(zeros - (y == 0), 0), np.maximum(ones - (y == 1), 0)
-        return zeros, ones
+    def over(self, counts: ExactCounts) -> Model:
+        """This model, sharing its weights and table, with other counts."""
+        out = Model()
+        out.counts, out.weights, out.refine, out.refined = counts, self.weights, self.refine, self.refined
+        return out
 
     def learn(self, grams: np.ndarray, counts: np.ndarray) -> None:
         """One online pass: a step a batch of bits, down the coding cost's gradient."""
+        every_zero, every_one = self.counts(grams)
         for lo in range(0, len(grams), BATCH):
-            part, weight = grams[lo : lo + BATCH], counts[lo : lo + BATCH].astype(np.float64)
+            here = slice(lo, lo + BATCH)
+            part, weight = grams[here], counts[here].astype(np.float64)
             for bit in range(8):
-                at, y = slots(part, bit)
-                x, gate = _inputs(*self._counts(at, y, True), bit)
+                y = _nodes(part, bit)[1]
+                x, gate = _inputs(*_left_out(every_zero[bit][:, here], every_one[bit][:, here], y), bit)
                 error = (y - _squash((self.weights[gate].T * x).sum(0))) * weight
                 total = np.bincount(gate, weight, GATES)
                 for k in range(ORDERS):
                     slope = np.bincount(gate, error * x[k], GATES) / np.maximum(total, 1)
                     self.weights[:, k] += RATE * slope
 
-    def mixed(self, at: np.ndarray, y: np.ndarray, bit: int, left_out: bool = False) -> np.ndarray:
-        x, gate = _inputs(*self._counts(at, y, left_out), bit)
+    def mixed(self, zeros: np.ndarray, ones: np.ndarray, bit: int) -> np.ndarray:
+        x, gate = _inputs(zeros, ones, bit)
         return np.clip((self.weights[gate].T * x).sum(0), -12, 12)
 
     def outcomes(self, grams: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """(256, BUCKETS, 2): weights of zeros and ones by node and mixed value."""
         out = np.zeros(256 * BUCKETS * 2)
+        zeros, ones = self.counts(grams)
         for bit in range(8):
-            at, y = slots(grams, bit)
-            node = (((grams & np.uint64(255)) | np.uint64(256)) >> np.uint64(8 - bit)).astype(np.int64)
-            cell = (node * BUCKETS + _bucket(self.mixed(at, y, bit, True))) * 2 + y
-            out += np.bincount(cell, counts, len(out))
+            node, y = _nodes(grams, bit)
+            x = self.mixed(*_left_out(zeros[bit], ones[bit], y), bit)
+            out += np.bincount((node * BUCKETS + _bucket(x)) * 2 + y, counts, len(out))
         return out.reshape(256, BUCKETS, 2)
 
     def set_refinement(self, outcomes: np.ndarray) -> None:
@@ -139,10 +212,10 @@ class Model:
     def log10(self, grams: np.ndarray) -> np.ndarray:
         """log10 probability of each gram's last byte after the others."""
         out = np.zeros(len(grams))
+        zeros, ones = self.counts(grams)
         for bit in range(8):
-            at, y = slots(grams, bit)
-            x = self.mixed(at, y, bit)
-            node = (((grams & np.uint64(255)) | np.uint64(256)) >> np.uint64(8 - bit)).astype(np.int64)
+            node, y = _nodes(grams, bit)
+            x = self.mixed(zeros[bit], ones[bit], bit)
             bucket = _bucket(x)
             p = _squash(x)
             p = np.where(self.refined[node, bucket], (p + self.refine[node, bucket]) / 2, p)
@@ -210,64 +283,86 @@ def corpus_counts(texts: DataFrame) -> DataFrame:
     return materialize(parts.groupBy("kind", "key").agg(F.sum("n").alias("n")), "corpus-counts")
 
 
-def _grams(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    return batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy()
+_BLOCK = "keys binary, n binary"
 
 
-def _slot_counts(grams: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Zeros and ones of every slot, summed block by block; of fixed size."""
-    cells = 1 << BLOCK_BITS
+def gram_blocks(grams: DataFrame) -> DataFrame:
+    """Blocks (keys, n) of the rows of ``grams`` (key, n), as bytes of int64; all
+    rows of one context of three bytes are in one block."""
 
-    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros((2, ORDERS << SLOT_BITS))
-        for batch in batches:
-            keys, n = _grams(batch)
-            for bit in range(8):
-                at, y = slots(keys, bit)
-                for value in (0, 1):
-                    here = y == value
-                    for order in range(ORDERS):
-                        np.add.at(counts[value], at[order][here], n[here])
-        blocks = counts.reshape(2, -1, cells)
-        some = np.flatnonzero(blocks.any((0, 2)))
-        packed = [zlib.compress(np.ascontiguousarray(blocks[:, i]).tobytes(), 1) for i in some]
-        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(packed, pa.binary())], ["block", "counts"])
-
-    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def block(keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([keys.tobytes()]), pa.array([n.tobytes()])], ["keys", "n"])
+
+        size = 0
         for batch in batches:
-            for block, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                got = np.frombuffer(zlib.decompress(packed)).reshape(2, cells)
-                sums[block] = sums[block] + got if block in sums else got
-        packed = [s.astype(np.float32).tobytes() for s in sums.values()]
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(packed, pa.binary())], ["block", "counts"])
+            held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy()))
+            size += len(batch)
+            if size >= BLOCK_GRAMS:
+                keys, n = (np.concatenate(x) for x in zip(*held))
+                context = keys & 0xFFFFFF00
+                cut = int(np.argmax(context == context[-1]))  # the last context may go on; rows are sorted by it
+                if cut:
+                    yield block(keys[:cut], n[:cut])
+                held, size = [(keys[cut:], n[cut:])], len(keys) - cut
+        if size:
+            yield block(*(np.concatenate(x) for x in zip(*held)))
+
+    context = F.col("key").bitwiseAND(F.lit(0xFFFFFF00).cast("long"))
+    dealt = grams.select("key", "n", context.alias("c")).repartition("c").sortWithinPartitions("c")
+    return dealt.select("key", "n").mapInArrow(work, _BLOCK)
 
-    out = np.zeros((2, ORDERS << SLOT_BITS - BLOCK_BITS, cells), np.float32)
-    schema = "block int, counts binary"
-    for row in grams.mapInArrow(partial, schema).repartition("block").mapInArrow(total, schema).collect():
-        out[:, row.block] = np.frombuffer(row.counts, np.float32).reshape(2, cells)
-    return out[0].ravel(), out[1].ravel()
 
+def _blocks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    for batch in batches:
+        for keys, n in zip(batch.column(0), batch.column(1)):
+            yield np.frombuffer(keys.as_py(), np.uint64), np.frombuffer(n.as_py(), np.int64)
 
-def train(counts: DataFrame) -> Model:
+
+def low_counts(grams: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted trigrams and sums for orders 0 to 2: at most 2**24, a few million in UTF-8."""
+    found = grams.groupBy(F.col("key").bitwiseAND(F.lit((1 << 8 * LOW) - 1)).alias("key")).agg(F.sum("n").alias("n")).toArrow()
+    return _sorted_sums(found.column(0).to_numpy().view(np.uint64), found.column(1).to_numpy())
+
+
+class Trained:
+    """The fitted model, with the grams it counts: their blocks, a table; and the
+    trigrams, a broadcast of bounded size."""
+
+    def __init__(self, model: Model, blocks: DataFrame, low):
+        self.model, self.blocks, self.low = model, blocks, low
+
+    def log10(self, blocks: DataFrame, least: int) -> DataFrame:
+        """(key, logp) of the grams in ``blocks`` with n of at least ``least``,
+        or, where that is 0, of those with n of 0."""
+        model, low = self.model, self.low
+
+        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for keys, n in _blocks_of(batches):
+                wanted = keys[n >= least] if least else keys[n == 0]
+                if len(wanted):
+                    found = model.over(ExactCounts(low.value, keys, n)).log10(wanted)
+                    yield pa.RecordBatch.from_arrays([pa.array(wanted.view(np.int64)), pa.array(found)], ["key", "logp"])
+
+        return blocks.mapInArrow(work, "key long, logp double")
+
+
+def train(counts: DataFrame) -> Trained:
     """Fit the mixing model to the grams in ``counts`` (corpus_counts)."""
-    sc = counts.sparkSession.sparkContext
     grams = counts.where("kind = 1").select("key", "n")
-    model = Model(*_slot_counts(grams))
-    tables = sc.broadcast((model.zeros, model.ones))
-
-    def learner(state: tuple[np.ndarray, np.ndarray, np.ndarray]) -> Model:
-        fresh = Model(*tables.value)
-        fresh.weights, fresh.refine, fresh.refined = (x.copy() for x in state)
-        return fresh
+    blocks = materialize(gram_blocks(grams), "gram-blocks")
+    low = counts.sparkSession.sparkContext.broadcast(low_counts(grams))
+    model = Model()
 
     for _ in range(ROUNDS):
-        state = (model.weights, model.refine, model.refined)
 
-        def work(batches: Iterator[pa.RecordBatch], state=state) -> Iterator[pa.RecordBatch]:
-            own, bits = learner(state), 0
-            for batch in batches:
-                keys, n = _grams(batch)
+        def work(batches: Iterator[pa.RecordBatch], model=model) -> Iterator[pa.RecordBatch]:
+            own, bits = Model(), 0
+            own.weights, own.refine, own.refined = model.weights.copy(), model.refine, model.refined
+            for keys, n in _blocks_of(batches):
+                own.counts = ExactCounts(low.value, keys, n)
                 order = np.argsort(mix64(keys), kind="stable")  # a fixed shuffle
                 own.learn(keys[order], n[order])
                 bits += len(keys)
@@ -278,31 +373,40 @@ def train(counts: DataFrame) -> Model:
                     ["at", "w", "n"],
                 )
 
-        means = grams.mapInArrow(work, "at int, w double, n double").groupBy("at").agg((F.sum("w") / F.sum("n")).alias("w"))
+        means = blocks.mapInArrow(work, "at int, w double, n double").groupBy("at").agg((F.sum("w") / F.sum("n")).alias("w"))
         for row in means.collect():  # GATES * ORDERS numbers
             model.weights.flat[row["at"]] = row["w"]
 
-    state = (model.weights, model.refine, model.refined)
-
     def outcome(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, sums = learner(state), np.zeros((256, BUCKETS, 2))
-        for batch in batches:
-            sums += own.outcomes(*_grams(batch))
+        sums = np.zeros((256, BUCKETS, 2))
+        for keys, n in _blocks_of(batches):
+            sums += model.over(ExactCounts(low.value, keys, n)).outcomes(keys, n)
         at = np.flatnonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(sums.ravel()[at])], ["at", "n"])
 
     sums = np.zeros((256, BUCKETS, 2))
-    for row in grams.mapInArrow(outcome, "at int, n double").groupBy("at").agg(F.sum("n").alias("n")).collect():
+    for row in blocks.mapInArrow(outcome, "at int, n double").groupBy("at").agg(F.sum("n").alias("n")).collect():
         sums.flat[row["at"]] = row["n"]
     model.set_refinement(sums)
-    return model
+    return Trained(model, blocks, low)
+
+
+def heavy_least(grams: DataFrame) -> int:
+    """A count that at most 2**HEAVY_BITS grams reach: the least power of two, or 1."""
+    by_size = grams.groupBy(F.length(F.bin("n")).alias("bits")).agg(F.count(F.lit(1)).alias("c")).collect()
+    least, total = 63, 0
+    sizes = {r.bits: r.c for r in by_size}
+    while least and total + sizes.get(least, 0) <= 1 << HEAVY_BITS:
+        total += sizes.get(least, 0)
+        least -= 1
+    return 1 << least
 
 
 class _Scorer:
-    """Model probabilities with a direct-mapped cache of grams."""
+    """Log probabilities of known grams, with a direct-mapped cache; NaN for others."""
 
-    def __init__(self, model: Model):
-        self.model = model
+    def __init__(self, known: np.ndarray, logs: np.ndarray):
+        self.known, self.logs = known, logs
         self.keys = np.full(1 << CACHE_BITS, np.uint64(2**64 - 1), np.uint64)
         self.values = np.zeros(1 << CACHE_BITS)
 
@@ -312,17 +416,20 @@ class _Scorer:
         miss = np.flatnonzero(self.keys[place] != grams)
         if len(miss):
             distinct, first, index = np.unique(grams[miss], return_index=True, return_inverse=True)
-            found = np.concatenate([self.model.log10(distinct[i : i + (1 << 16)]) for i in range(0, len(distinct), 1 << 16)])
+            found = np.full(len(distinct), np.nan)
+            if len(self.known):
+                at = np.minimum(np.searchsorted(self.known, distinct), len(self.known) - 1)
+                found = np.where(self.known[at] == distinct, self.logs[at], np.nan)
             out[miss] = found[index]
             self.keys[place[miss][first]] = distinct
             self.values[place[miss][first]] = found
         return out
 
 
-_PART = "word long, rid long, tf long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double"
+_PART = "kind int, word long, rid long, tf long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double"
 
 
-def score_texts(docs: DataFrame, counts: DataFrame, model: Model) -> DataFrame:
+def score_texts(docs: DataFrame, counts: DataFrame, model: Trained) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for
     each row of ``docs`` (doc_id, text, held_out)."""
     spark = docs.sparkSession
@@ -334,12 +441,16 @@ def score_texts(docs: DataFrame, counts: DataFrame, model: Model) -> DataFrame:
     heavy = words.where(F.col("n") >= least).select("key", "n").toArrow()
     keys = heavy.column(0).to_numpy()
     order = np.argsort(keys)
-    sent = spark.sparkContext.broadcast((keys[order], heavy.column(1).to_numpy()[order], model))
+    grams = counts.where("kind = 1").select("key", "n")
+    frequent = model.log10(model.blocks, heavy_least(grams)).toArrow()
+    logs = frequent.column(0).to_numpy().view(np.uint64), frequent.column(1).to_numpy()
+    by_key = np.argsort(logs[0])
+    sent = spark.sparkContext.broadcast((keys[order], heavy.column(1).to_numpy()[order], logs[0][by_key], logs[1][by_key]))
     lowest = float(np.log10(float(tokens + 1 * (distinct + 1))))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, n, model = sent.value
-        scorer = _Scorer(model)
+        known, n, *logs = sent.value
+        scorer = _Scorer(*logs)
         names = [f.split()[0] for f in _PART.split(", ")]
         for rows, data, offsets in text_chunks(batches):
             data = lower_bytes(data)
@@ -355,11 +466,15 @@ def score_texts(docs: DataFrame, counts: DataFrame, model: Model) -> DataFrame:
             base = np.bincount(row[heavy_here], np.log10(c[index][heavy_here] + 1.0), size) + np.log10(texts + 1.0)
             n_known = np.bincount(row[heavy_here], minlength=size) + (1 if texts else 0)
             grams, bounds = text_grams(data, offsets)
-            sums = np.concatenate([[0], np.cumsum(scorer.score(grams))])
+            found = scorer.score(grams)
+            rare = np.flatnonzero(np.isnan(found))
+            found[rare] = 0
+            sums = np.concatenate([[0], np.cumsum(found)])
             rid = rows.column(0).to_numpy()
             none = np.zeros(size, np.int64)
             yield pa.RecordBatch.from_arrays(
                 [
+                    pa.array(np.zeros(size, np.int32)),
                     pa.array(mix64(rid.view(np.uint64)).view(np.int64)),  # spreads rows; their tf of 0 counts nothing
                     rows.column(0),
                     pa.array(none),
@@ -372,23 +487,38 @@ def score_texts(docs: DataFrame, counts: DataFrame, model: Model) -> DataFrame:
                 ],
                 names,
             )
-            pair, tf = np.unique(row[~heavy_here] * max(1, len(word)) + index[~heavy_here], return_counts=True)
-            if len(pair):
-                of, which = np.divmod(pair, max(1, len(word)))
-                nulls = [pa.nulls(len(pair), t) for t in (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64())]
-                yield pa.RecordBatch.from_arrays([pa.array(word[which]), pa.array(rid[of]), pa.array(tf), *nulls], names)
+            other, index_of = np.unique(grams[rare], return_inverse=True)
+            owner = np.searchsorted(bounds, rare, "right") - 1
+            for kind, of, which, names_of in ((0, row[~heavy_here], index[~heavy_here], word), (1, owner, index_of, other.view(np.int64))):
+                pair, tf = np.unique(of * max(1, len(names_of)) + which, return_counts=True)
+                if len(pair):
+                    of, which = np.divmod(pair, max(1, len(names_of)))
+                    nulls = [pa.nulls(len(pair), t) for t in (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64())]
+                    kinds = pa.array(np.full(len(pair), kind, np.int32))
+                    yield pa.RecordBatch.from_arrays([kinds, pa.array(names_of[which]), pa.array(rid[of]), pa.array(tf), *nulls], names)
 
     ordered = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text", "held_out")
-    parts = ordered.mapInArrow(work, _PART)
+    parts = materialize(ordered.mapInArrow(work, _PART), "score-parts")
+    wanted = parts.where("kind = 1").select(F.col("word").alias("key")).distinct().withColumn("n", F.lit(0).cast("long"))
+    scored = model.log10(gram_blocks(grams.unionByName(wanted)), 0)
+    of_grams = salted_join(parts.where("kind = 1").withColumnRenamed("word", "key"), scored, ["key"], "rid", "inner")
     rare = words.where(F.col("n") < least).select(F.col("key").alias("word"), F.col("n").alias("c"))
-    joined = parts.join(rare, "word", "left")
+    joined = parts.where("kind = 0").join(rare, "word", "left")
     c = F.coalesce("c", F.lit(0))
-    rows = joined.groupBy("rid").agg(
+    columns = ["rid", "doc_id", "held_out", "n_tokens"]
+    of_words = joined.select(
+        *columns,
+        (F.coalesce("n_known", F.lit(0)) + F.when(c > 0, F.col("tf")).otherwise(0)).alias("n_known"),
+        (F.coalesce("base", F.lit(0.0)) + F.col("tf") * F.log10(c + 1.0)).alias("base"),
+        "score",
+    )
+    of_grams = of_grams.select(*columns, "n_known", "base", (F.col("tf") * F.col("logp")).alias("score"))
+    rows = of_words.unionByName(of_grams).groupBy("rid").agg(
         F.max("doc_id").alias("doc_id"),
         F.max("held_out").alias("held_out"),
         F.max("n_tokens").alias("n_tokens"),
-        (F.sum("n_known") + F.sum(F.when(c > 0, F.col("tf")).otherwise(0))).alias("n_known"),
-        (F.sum("base") + F.sum(F.col("tf") * F.log10(c + 1.0))).alias("base"),
+        F.sum("n_known").alias("n_known"),
+        F.sum("base").alias("base"),
         F.sum("score").alias("score"),
     )
     return rows.select(
