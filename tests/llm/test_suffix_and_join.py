@@ -77,6 +77,26 @@ def test_first_copies_stay(spark, group_slices):
         assert (got[0], got[1], hashlib.sha256(got[2]).hexdigest()) == (removed, runs, sha), i
 
 
+@pytest.mark.parametrize("group_slices", [512, 1])
+@pytest.mark.parametrize("shared_id", [None, 7])
+def test_one_id_and_one_offset_but_two_texts(spark, monkeypatch, shared_id, group_slices):
+    monkeypatch.setattr(suffix_dedup.repeated_spans, "__defaults__", (200, 32, False, group_slices))
+    rnd = random.Random(5)
+    header, *ends = ("".join(rnd.choices("abcdefgh ", k=n)) for n in (300, 400, 90, 250))
+    texts = [header + e for e in ends]
+    rows = [(shared_id, t, None) for t in texts[:2]]
+    got = bag(suffix_dedup.suffix_dedup_report(spark.createDataFrame(rows, SCHEMA)))
+    assert got == Counter((shared_id, *w) for w in expected_suffix(texts[:2], 200))
+    assert sorted(k[2] for k in got) == [300, 300]
+
+    keyed = [(k, shared_id, t) for k, t in enumerate(texts)]  # the first of them, by key, stays
+    df = spark.createDataFrame(keyed, "key long, doc_id long, text string")
+    spans = defaultdict(list)
+    for r in suffix_dedup.repeated_spans(df, keep_first=True, group_slices=group_slices).collect():
+        spans[r.key].append({"start": r.start, "end": r.end})
+    assert [suffix_dedup._removed(t.encode(), spans[k])[0] for k, t in enumerate(texts)] == [0, 300, 300]
+
+
 def test_long_text_in_segments(monkeypatch):
     data = np.frombuffer("".join(random.Random(9).choices("abcd", k=5000)).encode(), np.uint8)
     whole = suffix_dedup.anchor_runs(data, np.array([0, len(data)]), 50, 8)

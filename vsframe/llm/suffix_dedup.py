@@ -22,8 +22,10 @@ that can be compared on their own:
    too large are cut into narrower blocks, down to single windows.
 
 With ``keep_first`` a window goes only if it has an earlier match (by doc_id,
-null first, then offset), so the first copy stays; else every copy goes. Null
-texts are empty; repeated rows are copies of each other.
+null first, then key, then offset), so the first copy stays; else every copy
+goes. Null texts are empty; texts that share an id, or have none, are told apart
+by their key; repeated rows, of one key, are copies of each other, and
+``keep_first`` treats them as one.
 """
 
 from __future__ import annotations
@@ -178,16 +180,16 @@ def repeated_spans(
     live = materialize(salted_join(anchors, repeated, ["h"], "key", "left_semi"), "repeated-anchors")
     slices = materialize(
         live.groupBy("h", "sh")
-        .agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("doc_id", "ws", "key", "n")).alias("rep"))
+        .agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("doc_id", "key", "ws", "n")).alias("rep"))
         .select("h", "sh", "c", "rep.*"),
         "slices",
     )
 
     # slices equal as a whole
-    firsts = slices.where("c > 1").select("h", "sh", F.col("doc_id").alias("doc1"), F.col("ws").alias("ws1"))
+    firsts = slices.where("c > 1").select("h", "sh", F.col("key").alias("key1"), F.col("ws").alias("ws1"))
     copies = salted_join(live, firsts, ["h", "sh"], "key", "inner")
     if keep_first:
-        copies = copies.where("doc_id <> doc1 OR ws <> ws1")
+        copies = copies.where("key <> key1 OR ws <> ws1")
     spans = copies.select("key", F.col("ws").alias("start"), (F.col("ws") + F.col("n") + (length - 1)).alias("end"))
 
     # anchors with several different slices
@@ -264,14 +266,14 @@ def repeated_spans(
         group, same = ["h", "block", "core"], ["h", "block", "core", "sub"]
         counted = materialize(
             parts.groupBy(*same)
-            .agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("doc_id", "ws", "key", "n", "slice")).alias("rep"))
+            .agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("doc_id", "key", "ws", "n", "slice")).alias("rep"))
             .select(*same, "m", "rep.*"),
             "distinct-blocks",
         )
-        firsts = counted.where("m > 1").select(*same, F.col("doc_id").alias("doc1"), F.col("ws").alias("ws1"))
+        firsts = counted.where("m > 1").select(*same, F.col("key").alias("key1"), F.col("ws").alias("ws1"))
         copies = salted_join(parts.drop("slice"), firsts, same, "key", "inner")
         if keep_first:
-            copies = copies.where("doc_id <> doc1 OR ws <> ws1")
+            copies = copies.where("key <> key1 OR ws <> ws1")
         found = found.unionByName(
             copies.select("key", F.col("ws").alias("start"), (F.col("ws") + F.col("n") + (length - 1)).alias("end"))
         )
@@ -316,11 +318,13 @@ def _compared(held: list[tuple], length: int, keep_first: bool) -> pa.RecordBatc
     at = np.cumsum(sizes) - sizes
     within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
     rank = truncated_ranks(data, np.repeat(at, n) + within, length)
-    # places in the order of (document, offset); dense, so equal windows compare as integers
-    doc, start = np.repeat([r[2] for r in held], n), np.repeat([r[3] for r in held], n) + within
-    order = np.lexsort((start, doc))
+    # places in the order of (document, key, offset); dense, so equal windows compare as integers
+    keys = np.array([r[1] for r in held], np.int64)
+    key, doc = np.repeat(keys, n), np.repeat(np.array([r[2] for r in held], np.int64), n)
+    start = np.repeat([r[3] for r in held], n) + within
+    order = np.lexsort((start, key, doc))
     new = np.ones(len(order), bool)
-    new[1:] = (np.diff(doc[order]) != 0) | (np.diff(start[order]) != 0)
+    new[1:] = (doc[order][1:] != doc[order][:-1]) | (key[order][1:] != key[order][:-1]) | (np.diff(start[order]) != 0)
     position = np.empty(len(order), np.int64)
     position[order] = np.cumsum(new)
     earlier, later = factor_matches(rank, position)
@@ -329,7 +333,6 @@ def _compared(held: list[tuple], length: int, keep_first: bool) -> pa.RecordBatc
     edge = np.concatenate([[True], owner[1:] != owner[:-1]])
     begins = np.flatnonzero(gone & (edge | ~np.concatenate([[False], gone[:-1]])))
     stops = np.flatnonzero(gone & np.concatenate([edge[1:] | ~gone[1:], [True]]))
-    keys = np.array([r[1] for r in held], np.int64)
     return pa.RecordBatch.from_arrays(
         [pa.array(keys[owner[begins]]), pa.array(start[begins], pa.int32()), pa.array(start[stops] + length, pa.int32())],
         ["key", "start", "end"],
