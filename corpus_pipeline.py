@@ -43,18 +43,26 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest id."""
+    """One row of each group of linked documents: the one with the smallest id,
+    null last, then row key, and of identical rows the first of the input. Rows
+    without words link with nothing and stay."""
     let_workers_import(spark)
-    (key,) = fresh(docs, "_key")
-    gone = (
-        link_components(docs.select("doc_id", "text"))
-        .where(~F.col("doc_id").eqNullSafe(F.col("component_id")))
-        .select(F.col("key").alias(key))
-        .distinct()
-    )
-    (spread,) = fresh(docs, "_spread")
+    key, spread, place, row = fresh(docs, "_key", "_spread", "_place", "_row")
+    linked = link_components(docs.select("doc_id", "text"), component="group").where("group IS NOT NULL")
+    found = materialize(linked.groupBy("group", "key").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("n")), "linked-rows")
+    first = found.groupBy("group").agg(F.min(F.struct(F.col("id").isNull(), "id", "key")).alias("first")).select("group", F.col("first.key").alias("first"))
+    marked = salted_join(found, first, ["group"], "key", "inner")
+    gone = marked.where("key <> first OR n > 1").select(F.col("key").alias(key))
     keyed = docs.withColumn(key, row_key()).withColumn(spread, F.col(key))
-    return salted_join(keyed, gone, [key], spread, "left_anti").select(*docs.columns)
+    out = salted_join(keyed, gone, [key], spread, "left_anti").select(*docs.columns)
+    repeated = materialize(marked.where("key = first AND n > 1").select(F.col("key").alias(key)), "repeated-rows")
+    if repeated.isEmpty():
+        return out
+    # counted before the shuffle, and combined there too
+    numbered = keyed.withColumn(place, F.monotonically_increasing_id())
+    copies = salted_join(numbered, repeated, [key], spread, "left_semi")
+    one = copies.groupBy(key).agg(F.min_by(F.struct(*docs.columns), place).alias(row))
+    return out.unionByName(one.select(*(F.col(row)[c].alias(c) for c in docs.columns)))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

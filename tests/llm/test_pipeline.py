@@ -67,6 +67,21 @@ def test_stages(spark):
             assert len(rows) == len(before) > 20
 
 
+def test_one_row_of_each_group_stays(spark):
+    """Repeated rows, two linked texts of one id, and groups without ids."""
+    rnd = random.Random(31)
+    a, b, c, d = (prose(rnd, "en", 80) for _ in range(4))
+    rows = [(1, a, "en")] * 3 + [(2, a, "en"), (None, a, "en")]
+    rows += [(5, b, "en"), (5, b + " more", "en"), (6, b, "en")]
+    rows += [(None, c, "en"), (None, c + " more", "en"), (None, c, "fr"), (None, d, "en"), (None, d, "en")]
+    rows += [(9, "quite alone here with six words", "en"), (None, "no id and alone with words", "en"), (None, None, "en"), (10, "", "en"), (10, "", "en")]
+    docs = with_clashes(spark.createDataFrame(rows, SCHEMA).repartition(3))
+    out = corpus_pipeline.near_duplicates(spark, docs, "")
+    got = sorted((r.doc_id or 0, (r.text or "")[:20]) for r in out.collect())
+    want = [(1, a), (5, b), (0, c), (0, d), (9, rows[-5][1]), (0, rows[-4][1]), (0, ""), (10, ""), (10, "")]
+    assert out.columns == docs.columns and got == sorted((i, t[:20]) for i, t in want)
+
+
 def test_run(spark):
     folder, _, _ = tables(spark)
     out = corpus_pipeline.run(spark, folder)

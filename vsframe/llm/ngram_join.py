@@ -310,9 +310,12 @@ def row_key() -> Column:
     return F.xxhash64(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")))
 
 
-def link_components(docs: DataFrame, words: int = SHINGLE_WORDS, percent: int = PERCENT) -> DataFrame:
+def link_components(
+    docs: DataFrame, words: int = SHINGLE_WORDS, percent: int = PERCENT, component: str | None = None
+) -> DataFrame:
     """(key, doc_id, n_shingles, component_id) for every row of ``docs``
-    (doc_id, text); key is ``row_key``."""
+    (doc_id, text); key is ``row_key``. ``component`` names one more column, that
+    tells components apart whose ids are null or shared; null without words."""
     docs = docs.select(row_key().alias("key"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     rows = materialize(prefixes(docs, rarity_sketch(docs, words), words, percent), "prefixes")
     heads = materialize(
@@ -383,10 +386,12 @@ def link_components(docs: DataFrame, words: int = SHINGLE_WORDS, percent: int =
 
     named = heads.join(final, "node", "left").select("node", "rep", F.coalesce("component", "node").alias("component"))
     ids = named.groupBy("component").agg(F.min("rep").alias("component_id"))
-    of_node = salted_join(named, ids, ["component"], "node", "inner").select("node", "component_id")
+    more_columns = [] if component is None else [F.col("component").alias(component)]
+    of_node = salted_join(named, ids, ["component"], "node", "inner").select("node", "component_id", *more_columns)
     return salted_join(rows.select("key", "doc_id", "node", "size"), of_node, ["node"], "key", "left").select(
         "key",
         "doc_id",
         F.col("size").cast("long").alias("n_shingles"),
         F.when(F.col("size") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
+        *([] if component is None else [F.col(component)]),
     )
