@@ -241,9 +241,18 @@ def test_scores_do_not_rest_on_what_is_sent(spark, monkeypatch, bits):
 
     want = scores()
     monkeypatch.setattr(context_mixing, "HEAVY_BITS", bits)
+    monkeypatch.setattr(context_mixing, "HEAVY_GRAM_BITS", bits)
     assert scores() == want
 
 
+def test_bits_per_byte(spark):
+    rows = [(k, t, k % 3 == 0) for k, (_, t, _) in enumerate(corpus(9, 30))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, held_out boolean")
+    counts = context_mixing.corpus_counts(docs.where("NOT held_out"))
+    for r in context_mixing.score_texts(docs, counts, context_mixing.train(counts)).collect():
+        assert math.isclose(r.bits_per_byte, -r.score * math.log2(10) / (len((rows[r.doc_id][1] or "").encode()) + 1))
+
+
 def test_context_mixing_of_nothing(spark):
     assert context_mixing.scoring_report(spark.createDataFrame([], SCHEMA)).collect() == []
     held = next(i for i in range(99) if zlib.crc32(str(i).encode()) % 7 == 2)

@@ -5,15 +5,16 @@ significant first, with an end byte after the last. Five predictors see the bits
 so far of the byte and its 0 to 4 bytes before, and have exact counts of the zeros
 and ones that followed; their probabilities are mixed in the logistic domain by weights. Which
 weight vector is used is gated by the longest context seen before, by how often
-it was seen, and by the bit. A last table refines the mixed probability
-adaptively. The sum of log10 probabilities is a proper score of the whole text.
+it was seen, and by the bit. A last table refines the mixed probability by
+what followed in training. The sum of log10 probabilities is a proper score of the whole text.
 
 Predictors depend on five bytes at most, so everything is counted by distinct
 five-byte grams: a shuffle sums grams over all training texts, predictors' counts
 are sums over grams, and weights are learned online over grams weighted by their
 counts, in parallel parts whose weights are averaged, in several rounds. A gram
 trains with its own occurrence left out of the counts, or long contexts would
-predict themselves.
+predict themselves. Only the weights are learned in steps: counts and refining
+table are totals over the whole training corpus, and stay fixed while scoring.
 
 The counts are a table of gram blocks that grows with the corpus: a block holds
 all grams of some contexts of three bytes, so orders 3 and 4 are counted within
@@ -23,7 +24,7 @@ trigram, goes to every task. No two contexts ever share a count.
 The base score is an add-one word model. Words counted often enough that there
 can be only ``2 ** HEAVY_BITS`` of them go to every task; the others meet their
 texts in a join. So it is with grams: log probabilities of the most frequent, at
-most ``2 ** HEAVY_BITS``, go to every task; other grams of the texts to be scored,
+most ``2 ** HEAVY_GRAM_BITS``, go to every task; other grams of the texts to be scored,
 never seen ones too, meet the blocks, and what comes out joins the texts.
 
 Rows with a null id are trained on and not held out; null texts are empty. With
@@ -51,6 +52,8 @@ LOW = 3  # bytes of the grams of orders 0 to 2
 #: Words with at least N / 2**HEAVY_BITS of the N training tokens go to every
 #: task, so at most 2**HEAVY_BITS words, 64 MiB.
 HEAVY_BITS = 22
+#: Log probabilities of at most 2**HEAVY_GRAM_BITS grams go to every task, 32 MiB.
+HEAVY_GRAM_BITS = 21
 END, PAD = 255, 254  # bytes that UTF-8 never has
 ROUNDS = 3
 RATE = 0.1
@@ -392,11 +395,11 @@ def train(counts: DataFrame) -> Trained:
 
 
 def heavy_least(grams: DataFrame) -> int:
-    """A count that at most 2**HEAVY_BITS grams reach: the least power of two, or 1."""
+    """A count that at most 2**HEAVY_GRAM_BITS grams reach: the least power of two, or 1."""
     by_size = grams.groupBy(F.length(F.bin("n")).alias("bits")).agg(F.count(F.lit(1)).alias("c")).collect()
     least, total = 63, 0
     sizes = {r.bits: r.c for r in by_size}
-    while least and total + sizes.get(least, 0) <= 1 << HEAVY_BITS:
+    while least and total + sizes.get(least, 0) <= 1 << HEAVY_GRAM_BITS:
         total += sizes.get(least, 0)
         least -= 1
     return 1 << least
@@ -411,6 +414,10 @@ class _Scorer:
         self.values = np.zeros(1 << CACHE_BITS)
 
     def score(self, grams: np.ndarray) -> np.ndarray:
+        """In slices, which bound the temporaries."""
+        return np.concatenate([self._score(grams[i : i + (1 << 18)]) for i in range(0, max(1, len(grams)), 1 << 18)])
+
+    def _score(self, grams: np.ndarray) -> np.ndarray:
         place = (mix64(grams) >> np.uint64(64 - CACHE_BITS)).astype(np.int64)
         out = self.values[place]
         miss = np.flatnonzero(self.keys[place] != grams)
@@ -426,12 +433,13 @@ class _Scorer:
         return out
 
 
-_PART = "kind int, word long, rid long, tf long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double"
+_PART = "kind int, word long, rid long, tf long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, coded long"
 
 
 def score_texts(docs: DataFrame, counts: DataFrame, model: Trained) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for
-    each row of ``docs`` (doc_id, text, held_out)."""
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score,
+    bits_per_byte (the end byte is one of them) for each row of ``docs`` (doc_id,
+    text, held_out)."""
     spark = docs.sparkSession
     words = counts.where("kind = 0")
     stats = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
@@ -484,6 +492,7 @@ def score_texts(docs: DataFrame, counts: DataFrame, model: Trained) -> DataFrame
                     pa.array(n_known),
                     pa.array(base),
                     pa.array(np.diff(sums[bounds])),
+                    pa.array(np.diff(bounds)),
                 ],
                 names,
             )
@@ -493,19 +502,20 @@ def score_texts(docs: DataFrame, counts: DataFrame, model: Trained) -> DataFrame
                 pair, tf = np.unique(of * max(1, len(names_of)) + which, return_counts=True)
                 if len(pair):
                     of, which = np.divmod(pair, max(1, len(names_of)))
-                    nulls = [pa.nulls(len(pair), t) for t in (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64())]
+                    nulls = [pa.nulls(len(pair), t) for t in (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64())]
                     kinds = pa.array(np.full(len(pair), kind, np.int32))
                     yield pa.RecordBatch.from_arrays([kinds, pa.array(names_of[which]), pa.array(rid[of]), pa.array(tf), *nulls], names)
 
     ordered = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text", "held_out")
     parts = materialize(ordered.mapInArrow(work, _PART), "score-parts")
     wanted = parts.where("kind = 1").select(F.col("word").alias("key")).distinct().withColumn("n", F.lit(0).cast("long"))
-    scored = model.log10(gram_blocks(grams.unionByName(wanted)), 0)
+    # written in between, or each task would keep two Python workers
+    scored = model.log10(materialize(gram_blocks(grams.unionByName(wanted)), "wanted-blocks"), 0)
     of_grams = salted_join(parts.where("kind = 1").withColumnRenamed("word", "key"), scored, ["key"], "rid", "inner")
     rare = words.where(F.col("n") < least).select(F.col("key").alias("word"), F.col("n").alias("c"))
     joined = parts.where("kind = 0").join(rare, "word", "left")
     c = F.coalesce("c", F.lit(0))
-    columns = ["rid", "doc_id", "held_out", "n_tokens"]
+    columns = ["rid", "doc_id", "held_out", "n_tokens", "coded"]
     of_words = joined.select(
         *columns,
         (F.coalesce("n_known", F.lit(0)) + F.when(c > 0, F.col("tf")).otherwise(0)).alias("n_known"),
@@ -520,6 +530,7 @@ def score_texts(docs: DataFrame, counts: DataFrame, model: Trained) -> DataFrame
         F.sum("n_known").alias("n_known"),
         F.sum("base").alias("base"),
         F.sum("score").alias("score"),
+        F.max("coded").alias("coded"),
     )
     return rows.select(
         "doc_id",
@@ -529,6 +540,7 @@ def score_texts(docs: DataFrame, counts: DataFrame, model: Trained) -> DataFrame
         F.lit(tokens).cast("long").alias("train_tokens"),
         (F.col("base") - F.col("n_tokens") * F.lit(lowest)).alias("base_score"),
         "score",
+        (F.col("score") * F.lit(float(-np.log2(10))) / F.col("coded")).alias("bits_per_byte"),
     )
 
 
@@ -537,4 +549,4 @@ def scoring_report(docs: DataFrame) -> DataFrame:
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7 == 2, F.lit(False))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", held.alias("held_out"))
     counts = corpus_counts(docs.where(~F.col("held_out")))
-    return score_texts(docs, counts, train(counts))
+    return score_texts(docs, counts, train(counts)).drop("bits_per_byte")
