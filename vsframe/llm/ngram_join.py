@@ -17,7 +17,8 @@ result, rests on it.
 3. What is left, two nodes in different components that share a prefix shingle
    or a group, is paired in full, cut by size and by position in the prefixes,
    and verified. A large group of near copies is one component by then, so its
-   pairs are never made, and no link between different texts is lost.
+   pairs are never made: components are exact, but links within one are not all
+   found, so neither links nor their number come back.
 
 Texts are cut at ASCII white space after lower-casing A-Z. With fewer words
 than a shingle has, the whole sequence is the one shingle; without words (null
