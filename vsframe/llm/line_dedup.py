@@ -2,10 +2,11 @@
 
 Each line is replaced by a 128-bit hash of its key (the line without leading
 and trailing ASCII white space, A-Z lower-cased). The hashes are
-range-partitioned and sorted within partitions by hash, document (largest
-first) and position, so the first occurrence in that order, the one that stays,
-is met first and equal hashes of one document are neighbours; a hot line spans
-as many partitions as its documents need. What comes back is no text but one
+range-partitioned by hash and document (largest first), so a hot line spans as
+many partitions as its documents need, and counted there per document; the sort
+within partitions that is asked for feeds only these counts, and Spark drops it.
+The occurrences that stay are those of the largest document id, found by a max
+aggregate per hash and a join, not by a sorted stream. What comes back is no text but one
 sparse bitmap a document: words of 64 lines, bit set where the line goes, words
 without a set bit left out.
 
