@@ -13,9 +13,9 @@ that can be compared on their own:
    several different slices.
 3. All slices of an anchor meet in one task, which sorts their suffixes to
    depth ``length`` by rank doubling (a suffix array of the slices). In suffix
-   order, equal windows are neighbours, ordered by position: the previous
-   smaller position gives a window's longest previous factor its earlier match,
-   the next larger one its later match. An anchor with too many
+   order, equal windows are neighbours, ordered by position: those after the
+   first of them have an earlier match, those before the last a later one. Only
+   equality of ranks is used; lengths of previous factors are not computed. An anchor with too many
    different slices for one task is refined: its windows are cut into blocks by
    their distance to the anchor, blocks meet by a hash of the bytes that all
    windows of a block share, equal blocks collapse, and groups that are still
