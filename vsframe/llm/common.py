@@ -111,11 +111,11 @@ def row_chunks(offsets: np.ndarray, most: int = CHUNK_BYTES) -> Iterator[tuple[i
         lo = min(hi, n)
 
 
-def text_chunks(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+def text_chunks(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """(rows, bytes, offsets) for row ranges of bounded text size."""
     for batch in batches:
         data, offsets = utf8(batch.column(batch.schema.get_field_index(column)))
-        for lo, hi in row_chunks(offsets):
+        for lo, hi in row_chunks(offsets, most):
             yield batch.slice(lo, hi - lo), data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
 
 

@@ -17,6 +17,7 @@ from vsframe.llm.line_dedup import line_dedup_report
 from vsframe.llm.ngram_join import link_components
 from vsframe.llm.pii import personal_data_report
 from vsframe.llm.suffix_dedup import suffix_dedup_report
+from vsframe.llm.token_records import token_record_report
 from vsframe.llm.warc import archive_report
 
 
@@ -61,6 +62,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(read_table(spark, sf_dir, "documents"))
 
 
+def op13_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_record_report(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii_weak_supervision": op1_pii_weak_supervision,
     "op2_warc_revisits": op2_warc_revisits,
@@ -72,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontamination": op8_decontamination,
     "op9_ngram_join": op9_ngram_join,
     "op10_language_id": op10_language_id,
+    "op13_token_records": op13_token_records,
 }
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
