@@ -111,9 +111,20 @@ def test_repeats_nulls_and_empty(spark):
     assert empty.collect() == [] and empty.columns == ["doc_id", "start", "n_tokens", "ids_crc32"]
 
 
+def test_widths():
+    lists = [[2], [70000, 5, 2], [], [9] * 300 + [65535], [4, 2]]
+    ids, counts = np.array(sum(lists, []), np.uint32), np.array([len(x) for x in lists])
+    numbers, known = np.array([5, -7, 0, 2**62, 1]), np.array([True, True, False, True, True])
+    for narrow in (False, True):
+        words, offsets = tr.frames(numbers, known, ids, counts, narrow)
+        same, cuts = tr.parse_frames(words.tobytes() + b"\n")
+        assert [tr.token_ids(same, a, b).tolist() for a, b in zip(cuts, cuts[1:])] == [[i % 65536 if narrow else i for i in x] for x in lists]
+        assert tr._doc_ids(same, cuts[:-1]).to_pylist() == [5, -7, None, 2**62, 1]
+
+
 def test_damage_is_found():
     ids, counts = ENCODER.encode(*utf8(pa.array(["some words here", "and more"])), 2)
-    words, offsets = tr.frames(np.array([1, 2]), np.array([True, True]), ids, counts)
+    words, offsets = tr.frames(np.array([1, 2]), np.array([True, True]), ids, counts, True)
     whole = words.tobytes() + b"\n"
     assert tr.parse_frames(whole)[1].tolist() == offsets.tolist() and len(tr.parse_frames(b"")[1]) == 1
     for at in (0, 9, 20, len(whole) - 3):

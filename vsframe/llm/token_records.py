@@ -4,8 +4,9 @@ A record is a frame of little-endian 32-bit words: the payload's length in
 bytes (two words), the masked checksum of these, the payload, and the payload's
 masked checksum. Checksums are CRC-32C, masked by a rotation and a constant,
 so that a checksum stored within checked data does not weaken it. A payload is
-one document: its id (two words), one word of flags (1: the id is not null),
-then its token ids. A file is a run of frames and one line feed, which Spark's
+one document: its id (two words), one word of flags, then its token ids, of 16
+bits where the vocabulary has no larger ids (padded to a whole word), else of 32.
+A file is a run of frames and one line feed, which Spark's
 text writer adds; files are cut by bytes, at ``FILE_BYTES`` or one longer frame.
 
 Documents are written in ascending order (null ids first; equal ids by
@@ -52,6 +53,8 @@ _POLYNOMIAL, _MASK = 0x82F63B78, 0xA282EAD8
 _BLOCK = 256
 _HEAD = 3  # words before a payload: length, length, checksum
 _OWN = 3  # words of a payload before its ids: id, id, flags
+#: Flags: the id is not null; ids take 16 bits; the last 16 bits are padding.
+_KNOWN, _NARROW, _PADDED = 1, 2, 4
 
 
 def _tables() -> np.ndarray:
@@ -119,27 +122,39 @@ def masked_checksums(words: np.ndarray, starts: np.ndarray, counts: np.ndarray)
     return ((crc >> 15) | (crc << 17)) + np.uint32(_MASK)
 
 
-def frames(doc_ids: np.ndarray, known: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def frames(doc_ids: np.ndarray, known: np.ndarray, ids: np.ndarray, counts: np.ndarray, narrow: bool) -> tuple[np.ndarray, np.ndarray]:
     """All frames as 32-bit words, and n + 1 word offsets of the frames.
 
     ``ids`` holds the documents' token ids one after another, ``counts`` how
-    many each has; ``known`` is false where an id is null.
+    many each has; ``known`` is false where an id is null. Ids take 16 bits
+    each if ``narrow``.
     """
-    sizes = counts + _OWN
+    odd = counts % 2 if narrow else np.zeros(len(counts), np.int64)
+    sizes = _OWN + ((counts + odd) // 2 if narrow else counts)
     offsets = np.concatenate([[0], np.cumsum(sizes + _HEAD + 1)])
-    at, out = offsets[:-1], np.zeros(offsets[-1], np.uint32)
+    at, out = offsets[:-1], np.zeros(offsets[-1], "<u4")
     length = (sizes * 4).astype(np.uint64)
     numbers = np.where(known, doc_ids, 0).astype(np.int64).view(np.uint64)
     low = np.uint64(0xFFFFFFFF)
     out[at], out[at + 1] = length & low, length >> np.uint64(32)
     out[at + 2] = masked_checksums(out, at, np.full(len(at), 2))
-    out[at + 3], out[at + 4], out[at + 5] = numbers & low, numbers >> np.uint64(32), known
+    out[at + 3], out[at + 4] = numbers & low, numbers >> np.uint64(32)
+    out[at + 5] = known * _KNOWN + narrow * _NARROW + odd * _PADDED
+    units, each = (out.view("<u2"), 2) if narrow else (out, 1)
     inner = np.arange(len(ids)) - np.repeat(np.cumsum(counts) - counts, counts)
-    out[np.repeat(at + _HEAD + _OWN, counts) + inner] = ids
+    units[np.repeat(each * (at + _HEAD + _OWN), counts) + inner] = ids
     out[offsets[1:] - 1] = masked_checksums(out, at + _HEAD, sizes)
     return out, offsets
 
 
+def token_ids(words: np.ndarray, start: int, end: int) -> np.ndarray:
+    """The ids (uint32) of the frame ``words[start:end]``."""
+    flags, ids = int(words[start + _HEAD + _OWN - 1]), words[start + _HEAD + _OWN : end - 1]
+    if flags & _NARROW:
+        ids = ids.view("<u2")[: -1 if flags & _PADDED else None]
+    return ids.astype("<u4")
+
+
 _BYTE = np.arange(256)
 _UPPER = (_BYTE >= 65) & (_BYTE <= 90)
 _LETTER = _UPPER | (_BYTE >= 97) & (_BYTE <= 122)
@@ -163,6 +178,7 @@ class WordEncoder:
         self._tokenizer = Tokenizer.from_file(path)
         self._tokenizer.encode_special_tokens = True
         self._between = self._tokenizer.encode(_BETWEEN, add_special_tokens=False).ids
+        self.largest = max(self._tokenizer.get_vocab(with_added_tokens=True).values())
         if len(self._between) != 1:
             raise ValueError("the vocabulary has no id of its own for the separator")
         self._forget()
@@ -240,6 +256,7 @@ def _records(docs: DataFrame, tokenizer_path: str, end_id: int, file_bytes: int)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, held, size = _encoder(tokenizer_path), [], 0
+        narrow = max(encoder.largest, end_id) < 1 << 16
 
         def out() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([b"".join(held)], pa.binary())], ["value"])
@@ -247,8 +264,8 @@ def _records(docs: DataFrame, tokenizer_path: str, end_id: int, file_bytes: int)
         for rows, data, cuts in text_chunks(batches, "text", TEXT_BYTES):
             ids, counts = encoder.encode(data, cuts, end_id)
             known = rows.column(0).is_valid().to_numpy(zero_copy_only=False)
-            words, offsets = frames(pc.fill_null(rows.column(0), 0).to_numpy(), known, ids, counts)
-            raw, at, lo = words.astype("<u4").tobytes(), (4 * offsets).tolist(), 0
+            words, offsets = frames(pc.fill_null(rows.column(0), 0).to_numpy(), known, ids, counts, narrow)
+            raw, at, lo = words.tobytes(), (4 * offsets).tolist(), 0
             for a, b in zip(at, at[1:]):  # whole frames, as many as fit
                 if size and size + b - lo > file_bytes:
                     held.append(raw[lo:a])
@@ -321,17 +338,18 @@ def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for path, content in zip(batch.column(0), batch.column(1)):
             words, offsets = parse_frames(content.as_py())
-            first, counts = offsets[:-1], np.diff(offsets) - _HEAD - _OWN - 1
-            raw = words.tobytes()
-            begin = (4 * (first + _HEAD + _OWN)).tolist()
-            crcs = [zlib.crc32(raw[a : a + 4 * n]) for a, n in zip(begin, counts.tolist())]
+            first, cuts = offsets[:-1], offsets.tolist()
+            counts, crcs = np.zeros(len(first), np.int64), np.zeros(len(first), np.int64)
+            for k, (a, b) in enumerate(zip(cuts, cuts[1:])):
+                ids = token_ids(words, a, b)
+                counts[k], crcs[k] = len(ids), zlib.crc32(ids)
             columns = [
                 pa.array([path.as_py()] * len(first), pa.string()),
                 pa.array(4 * first),
                 pa.array(4 * np.diff(offsets)),
                 _doc_ids(words, first),
                 pa.array(counts),
-                pa.array(crcs, pa.int64()),
+                pa.array(crcs),
                 pa.array(np.cumsum(counts) - counts),
             ]
             yield pa.RecordBatch.from_arrays(columns, schema=_ENTRY)
@@ -385,8 +403,7 @@ def read_records(spark: SparkSession, path: str, wanted: DataFrame) -> DataFrame
             for content, places in zip(batch.column(0), batch.column(1)):
                 words, offsets = parse_frames(content.as_py())
                 first = np.array(places.as_py(), np.int64) // 4
-                ends = offsets[np.searchsorted(offsets, first) + 1]
-                own = [words[a + _HEAD + _OWN : b - 1].astype(np.int32) for a, b in zip(first, ends)]
+                own = [token_ids(words, a, b).view("<i4") for a, b in zip(first, offsets[np.searchsorted(offsets, first) + 1])]
                 yield pa.RecordBatch.from_arrays([_doc_ids(words, first), pa.array(own, pa.list_(pa.int32()))], ["doc_id", "token_ids"])
 
     places = wanted.groupBy("path").agg(F.collect_list("offset").alias("places"))
