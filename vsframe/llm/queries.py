@@ -16,9 +16,11 @@ from vsframe.llm.langid import identify_languages
 from vsframe.llm.line_dedup import line_dedup_report
 from vsframe.llm.ngram_join import link_components
 from vsframe.llm.pii import personal_data_report
+from vsframe.llm.prefix_trie import conversation_trie
 from vsframe.llm.suffix_dedup import suffix_dedup_report
 from vsframe.llm.token_records import token_record_report
 from vsframe.llm.warc import archive_report
+from vsframe.llm.whitening import whiten_embeddings
 
 
 def op1_pii_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,6 +64,14 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(read_table(spark, sf_dir, "documents"))
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten_embeddings(read_table(spark, sf_dir, "embeddings"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie(read_table(spark, sf_dir, "conversations"))
+
+
 def op13_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_record_report(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -77,6 +87,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontamination": op8_decontamination,
     "op9_ngram_join": op9_ngram_join,
     "op10_language_id": op10_language_id,
+    "op11_embedding_whitening": op11_embedding_whitening,
+    "op12_prefix_trie": op12_prefix_trie,
     "op13_token_records": op13_token_records,
 }
 
@@ -139,4 +151,30 @@ ORACLE_SQL: dict[str, str] = {
         r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
         SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id FROM d LEFT JOIN n USING (doc_id)
         JOIN (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY 1) c USING (doc_id)""",
+    # crc32 of the decimal: a byte goes in, then eight steps (-1) of its polynomial
+    "op12_prefix_trie": """
+        WITH t AS (SELECT conv_id, d, n, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, d) AS i FROM
+              (SELECT conv_id, turn, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS d,
+                      length(coalesce(text, '')) AS n FROM conversations WHERE conv_id IS NOT NULL)),
+        h AS (SELECT conv_id, conv_id - conv_id % 100 AS head,
+                     xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(conv_id::VARCHAR, ''),
+                         lambda x: [ascii(x)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+                         lambda c, b: CASE WHEN b >= 0 THEN xor(c, b) ELSE xor(c >> 1, 3988292384 * (c & 1)) END),
+                         4294967295) % 6 AS h
+              FROM (SELECT DISTINCT conv_id FROM t)),
+        r AS (SELECT h.conv_id, i, d, n FROM h JOIN t ON t.conv_id = h.head AND t.i <= h.h
+              UNION ALL SELECT conv_id, i, d, n FROM t JOIN h USING (conv_id) WHERE i > h),
+        s AS (SELECT conv_id, coalesce(ds, []) AS ds, coalesce(ns, []) AS ns FROM h LEFT JOIN
+              (SELECT conv_id, list(d ORDER BY i) AS ds, list(n ORDER BY i) AS ns FROM r GROUP BY 1) USING (conv_id)),
+        p AS (SELECT conv_id, k AS depth, array_to_string(ds[1:k], '') AS node, CASE WHEN k > 0 THEN array_to_string(ds[1:k - 1], '') END AS up,
+                     coalesce(ns[k], 0) AS size, k = len(ds) AS over FROM (SELECT *, unnest(range(0, len(ds) + 1)) AS k FROM s)),
+        v AS (SELECT node, depth, any_value(up) AS up, any_value(size) AS size, min(conv_id) AS conv_id, count(*) AS n_convs,
+                     string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE over) AS ids FROM p GROUP BY 1, 2),
+        k AS (SELECT up AS node, count(*) AS n_children FROM v WHERE depth > 0 GROUP BY 1),
+        w AS (SELECT v.*, coalesce(n_children, 0) AS n_children FROM v LEFT JOIN k USING (node)),
+        b AS (SELECT p.node, sum((n_children = 0)::INT)::BIGINT AS n_leaves, sum((n_convs - 1) * w.size)::BIGINT AS saved_tokens
+              FROM w JOIN p ON p.conv_id = w.conv_id AND p.depth <= w.depth GROUP BY 1)
+        SELECT w.conv_id, w.depth, a.conv_id AS parent_conv_id, w.n_convs, w.n_children, n_leaves, saved_tokens,
+               sha256(coalesce(w.ids, '')) AS ends_sha256
+        FROM w JOIN b USING (node) LEFT JOIN v a ON a.node = w.up""",
 }
