@@ -56,11 +56,12 @@ _WHOLE = r"^\s*([+-]?[0-9]*)(?:\.[0-9]*)?\s*$"
 def _lenient_whole(col: Column, data_type: T.DataType) -> Column:
     """Text as Spark casts it to a whole number with ANSI mode off: blanks
     around it are ignored, a fraction is cut off (``-0.5`` and ``.5`` give 0),
-    and text, exponents and overflow give null."""
+    and text, exponents and overflow give null. Plain digits, the common case,
+    take one cast; only what that rejects meets the patterns."""
     digits = F.regexp_extract(col, _WHOLE, 1)
     # a bare point, or a sign and a point, is 0; a bare sign or nothing is null
     digits = F.when(col.contains(".") & digits.isin("", "+", "-"), F.lit("0")).otherwise(digits)
-    return F.when(col.rlike(_WHOLE), digits.try_cast(data_type))
+    return F.coalesce(col.try_cast(data_type), F.when(col.rlike(_WHOLE), digits.try_cast(data_type)))
 
 
 def lenient(c: str | Column, type_name: str) -> Column:

@@ -52,8 +52,8 @@ def restrict_to_members(
     its skew rule needs a bare shuffle on both sides. So every key with more
     than ``rows_per_salt`` rows, however many such keys there are, is salted.
     They are found by a count per key (map-side partial); fewer than
-    ``rows / rows_per_salt`` keys can have so many rows, which bounds what is
-    broadcast. A hot key with r rows gets ``ceil(r / rows_per_salt)`` salts;
+    ``rows / rows_per_salt`` keys can have so many rows. Neither join to them
+    has a hint: Spark broadcasts them if their measured size allows. A hot key with r rows gets ``ceil(r / rows_per_salt)`` salts;
     each of its rows takes a salt from a hash of its partition id and values
     (deterministic under retries), its member row is repeated once per salt,
     and the semi join runs on (key, salt). Every other key is untouched. The
@@ -75,10 +75,10 @@ def restrict_to_members(
     )
     row_hash = F.xxhash64(F.spark_partition_id(), *[F.col(c) for c in df.columns])
     left = (
-        df.join(F.broadcast(hot), on=key, how="left")
+        df.join(hot, on=key, how="left")
         .withColumn(_SALT, F.coalesce(F.pmod(row_hash, F.col(_SALTS)), F.lit(0)).cast("int"))
         .drop(_SALTS)
     )
     spread = F.when(F.col(_SALTS).isNotNull(), F.sequence(F.lit(0), F.col(_SALTS) - 1)).otherwise(F.array(F.lit(0)))
-    right = right.join(F.broadcast(hot), on=key, how="left").select(key, F.explode(spread).alias(_SALT))
+    right = right.join(hot, on=key, how="left").select(key, F.explode(spread).alias(_SALT))
     return left.join(right, on=[key, _SALT], how="left_semi").drop(_SALT).select(*df.columns)

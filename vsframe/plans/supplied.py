@@ -275,43 +275,38 @@ def period_top_n_ties(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def _nation_counts(t: Tables, customer_counts: DataFrame) -> DataFrame:
-    """Customer counts with their nation's name; sums of them count orders.
-
-    A missing nation is -1, which no nation has: joined as null it would put a
-    filter into this half's scan of customers and keep the halves apart.
-    """
-    key = F.coalesce("c_nationkey", F.lit(-1))
-    return customer_counts.join(t.nation.select("n_nationkey", "n_name"), key == F.col("n_nationkey"))
-
-
-def _modal(t: Tables, customer_counts: DataFrame, ties: str, out_col: str) -> DataFrame:
+def _modal(named: DataFrame, ties: str, out_col: str, weight: str | None = None) -> DataFrame:
     return mode_per_group(
-        _nation_counts(t, customer_counts),
-        ["order_year"],
-        "n_name",
-        ties=ties,
-        out_col=out_col,
-        count_col="n_orders",
-        weight="n_orders",
+        named, ["order_year"], "n_name", ties=ties, out_col=out_col, count_col="n_orders", weight=weight
     )
 
 
+def _orders_by_nation(t: Tables) -> DataFrame:
+    """One (order_year, n_name) row an order; its count by these combines
+    map-side to a few dozen rows a year and task, so that is the only shuffle
+    after the join."""
+    customers = t.customer.select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("n_nationkey"))
+    nations = t.nation.select("n_nationkey", "n_name")
+    return _orders_by_year(t).join(customers, on="o_custkey").join(nations, on="n_nationkey").select("order_year", "n_name")
+
+
 def modal_value_named(spark: SparkSession, d: str) -> DataFrame:
-    t = Tables(spark, d)
-    return _modal(t, _customer_counts(t), "named", "modal_nation")
+    return _modal(_orders_by_nation(Tables(spark, d)), "named", "modal_nation")
 
 
 def modal_values_ties(spark: SparkSession, d: str) -> DataFrame:
-    t = Tables(spark, d)
-    return _modal(t, _customer_counts(t), "all", "modal_nations")
+    return _modal(_orders_by_nation(Tables(spark, d)), "all", "modal_nations")
 
 
 def period_top_n_with_mode(spark: SparkSession, d: str) -> DataFrame:
     t = Tables(spark, d)
     counts = _customer_counts(t)  # one plan for both halves: its exchange is reused
     top = top_n_per_group(counts, ["order_year"], "n_orders", "c_name", n=TOP_N, ties="named", rank_col="rnk")
-    mode = _modal(t, counts, "named", "modal_nation").select("order_year", "modal_nation")
+    # null-safe, though no nation has a null key: an equality would put a null
+    # filter into this half's scan of customers and keep the halves apart
+    nations = t.nation.select("n_nationkey", "n_name").where("n_nationkey IS NOT NULL")
+    named = counts.join(nations, F.col("c_nationkey").eqNullSafe(F.col("n_nationkey")))
+    mode = _modal(named, "named", "modal_nation", weight="n_orders").select("order_year", "modal_nation")
     return (
         top.withColumn("label", F.lit(TOP_LABEL))
         .join(mode, on="order_year", how="left")
