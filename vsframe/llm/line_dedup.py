@@ -2,25 +2,30 @@
 
 Each line is replaced by a 128-bit hash of its key (the line without leading
 and trailing ASCII white space, A-Z lower-cased). The hashes are
-range-partitioned by hash and document (largest first), so a hot line spans as
-many partitions as its documents need, and counted there per document; the sort
-within partitions that is asked for feeds only these counts, and Spark drops it.
-The occurrences that stay are those of the largest document id, found by a max
-aggregate per hash and a join, not by a sorted stream. What comes back is no text but one
-sparse bitmap a document: words of 64 lines, bit set where the line goes, words
-without a set bit left out.
+range-partitioned with a secondary sort by document (largest first) and
+position, and written: a hot line fills as many ranges as its occurrences need.
+Each range is then one ordered stream, read with ``lag``: a hash other than the
+row's before begins a run, whose first row is the occurrence that stays, and
+another document than the row's before counts. What a run at a range's border holds,
+one row for each range that it reaches, is handed on: its first document comes
+from the earliest of these ranges, its documents are added up, and one that goes
+on across a border counts once. What comes back is no text but one sparse bitmap a
+document: words of 64 lines, bit set where the line goes, words without a set
+bit left out.
 
 A null or empty text is one empty line, whose key is too short to go. Repeated
 rows (same id and text) decide alike; rows that share an id count as one
-document; null ids count together as one document below all others.
+document; null ids count together as one document below all others. Long texts
+are split where they are read; a line is one value. Without documents nothing
+returns. Columns with clashing names pass through.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vsframe.llm.common import ASCII_SPACE, ascii_lower, fresh, materialize, salted_join
+from vsframe.llm.common import ASCII_SPACE, ascii_lower, fresh, materialize
 
 #: Shorter keys never go, and keys in fewer documents.
 MIN_CHARS = 20
@@ -47,26 +52,65 @@ def line_occurrences(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     )
 
 
-def drop_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
-    """(doc_id, row, dropped) for each document that loses a line; ``dropped``
-    is an array of (word, bits), sorted by word.
+def ordered_ranges(seen: DataFrame) -> DataFrame:
+    """The occurrences in ranges of (hash, document falling, position), written
+    to the shared folder so that every reader meets the same ranges."""
+    by = ["h1", "h2", F.col("doc_id").desc(), "row", "pos"]
+    return materialize(seen.repartitionByRange(*by).withColumn("range", F.spark_partition_id()), "line-ranges")
+
+
+def _streams(ranges: DataFrame) -> DataFrame:
+    """Every occurrence with what its range's ordered stream tells of its run:
+    the first document, how many, the last, and whether the run lies at a border.
 
-    ``docs`` has doc_id and text. Lines are counted per document inside the
-    range partitions, then per hash with partial sums, so a line that a third
-    of all documents hold meets in no task; the join back is salted.
+    Windows are per range, or per run within one, so no task holds more than a
+    range, however often a line occurs.
     """
-    seen = materialize(line_occurrences(docs, min_chars), "line-occurrences")
-    ordered = seen.repartitionByRange("h1", "h2", F.col("doc_id").desc()).sortWithinPartitions(
-        "h1", "h2", F.col("doc_id").desc(), "pos"
+    order = ["h1", "h2", F.col("doc_id").desc(), "row", "pos"]
+    stream = Window.partitionBy("range").orderBy(*order)
+    run = Window.partitionBy("range", "h1", "h2").orderBy(*order[2:])
+    so_far = run.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    whole = run.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    before = F.lag(F.struct("h1", "h2", "doc_id")).over(stream)
+    begins = before.isNull() | (before["h1"] != F.col("h1")) | (before["h2"] != F.col("h2"))
+    new = begins | ~before["doc_id"].eqNullSafe(F.col("doc_id"))
+    marked = ranges.withColumns(
+        {"new": new.cast("int"), "edge": F.lag(F.lit(1)).over(stream).isNull() | F.lead(F.lit(1)).over(stream).isNull()}
     )
-    holders = ordered.groupBy("h1", "h2", "doc_id").agg(F.count(F.lit(1)).alias("lines"))  # the same partitioning
-    keep = (
-        holders.groupBy("h1", "h2")
-        .agg(F.count(F.lit(1)).alias("docs"), F.max("doc_id").alias("keep_id"))
-        .where(F.col("docs") >= min_docs)
-        .select("h1", "h2", "keep_id")
+    return marked.withColumns(
+        {"first": F.first("doc_id").over(so_far), "docs": F.sum("new").over(whole), "last": F.last("doc_id").over(whole)}
+    ).drop("new")
+
+
+def repeated_occurrences(ranges: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
+    """(doc_id, row, pos) of ``ranges`` whose line goes: its hash has
+    ``min_docs`` documents or more, and this is not the first of them."""
+    read = materialize(_streams(ranges), "line-runs")
+
+    # the first and the last run of every range, and what they make together
+    edge = read.where("edge").select("h1", "h2", "range", "first", "docs", "last").distinct()
+    along = Window.partitionBy("h1", "h2").orderBy("range")
+    whole_line = Window.partitionBy("h1", "h2").orderBy("range").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    earlier = F.lag(F.struct("last")).over(along)
+    goes_on = F.when(earlier.isNotNull() & earlier["last"].eqNullSafe(F.col("first")), 1).otherwise(0)
+    handed = edge.withColumn("own", F.col("docs") - goes_on).select(
+        "range",
+        "h1",
+        "h2",
+        F.first(F.struct(F.col("first").alias("doc"))).over(whole_line).alias("keep"),
+        F.sum("own").over(whole_line).alias("all"),
     )
-    gone = salted_join(seen, keep, ["h1", "h2"], "row", "inner").where(~F.col("doc_id").eqNullSafe(F.col("keep_id")))
+    handed = materialize(handed, "line-hand-offs")
+    met = read.join(handed, ["range", "h1", "h2"], "left")
+    keep = F.when(F.col("keep").isNotNull(), F.col("keep.doc")).otherwise(F.col("first"))
+    total = F.coalesce("all", "docs")
+    return met.where((total >= min_docs) & ~F.col("doc_id").eqNullSafe(keep)).select("doc_id", "row", "pos")
+
+
+def drop_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
+    """(doc_id, row, dropped) for each document that loses a line; ``dropped``
+    is an array of (word, bits), sorted by word. ``docs`` has doc_id and text."""
+    gone = repeated_occurrences(ordered_ranges(line_occurrences(docs, min_chars)), min_docs)
     return (
         gone.groupBy("doc_id", "row", F.expr("pos div 64").alias("word"))
         .agg(F.bit_or(F.expr("shiftleft(1L, CAST(pos % 64 AS INT))")).alias("bits"))
