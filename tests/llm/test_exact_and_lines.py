@@ -1,15 +1,19 @@
 """Exact dedup, line dedup and WARC against plain Python."""
 
 import base64
+import gzip
 import hashlib
+import random
 from collections import Counter, defaultdict
 
 import pytest
 from llm_cases import SCHEMA, corpus, with_clashes, workers  # noqa: F401  (workers: a fixture)
 
+from vsframe.llm import line_dedup, warc
 from vsframe.llm.exact_dedup import duplicate_groups, exact_dedup
 from vsframe.llm.line_dedup import drop_bitmaps, line_dedup_report
-from vsframe.llm.warc import archive_report, parse_records, read_archives, write_archives
+from vsframe.llm.warc import archive_report
+from vsframe.session import shared_dir
 
 
 def lower(text):
@@ -80,6 +84,40 @@ def test_line_dedup(spark):
     assert all(x.bits != 0 for r in bitmaps for x in r.dropped)  # no empty words travel
 
 
+@pytest.mark.parametrize("ranges", [1, 3, 40, 300])
+def test_lines_across_range_borders(spark, ranges):
+    """Runs of one hash that fill many ranges, documents that go on across a border."""
+    rnd = random.Random(ranges)
+    seen = []
+    for h, docs in ((1, 70), (2, 2), (3, 3), (4, 1), (5, 25)):
+        for d in [None, *rnd.sample(range(10**6), docs - 1)]:
+            seen += [(d, rnd.randrange(3), pos, h, -h) for pos in range(rnd.choice([1, 1, 2, 30]))]
+    rnd.shuffle(seen)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", str(ranges))
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        df = spark.createDataFrame(seen, "doc_id long, row long, pos int, h1 long, h2 long")
+        cut = line_dedup.ordered_ranges(df)
+        assert cut.select("range").distinct().count() >= min(ranges, 30)
+        got = bag(line_dedup.repeated_occurrences(cut))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    docs = defaultdict(set)
+    for d, _, _, h, _ in seen:
+        docs[h].add(d)
+    keep = {h: max((x for x in d if x is not None), default=None) for h, d in docs.items()}
+    assert got == Counter((d, row, pos) for d, row, pos, h, _ in seen if len(docs[h]) >= 3 and d != keep[h])
+
+
+def test_line_order_decides(spark):
+    """The stream's sort stands in the plan, under the window that reads it."""
+    df = spark.createDataFrame([(1, 2, 3, 4, 5, 0)], "doc_id long, row long, pos int, h1 long, h2 long, range int")
+    plan = line_dedup._streams(df)._jdf.queryExecution().executedPlan().toString()
+    assert "Sort [range" in plan and "lag(" in plan and "ArrowEval" not in plan
+
+
 def test_empty_tables(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert exact_dedup(empty).collect() == [] and line_dedup_report(empty).collect() == []
@@ -112,16 +150,60 @@ def test_warc_revisits(spark, least):
 
 
 def test_archives_are_valid_and_read_back(spark):
-    from vsframe.session import shared_dir
-
     path = shared_dir(spark, "warc-test")
-    rows = [("response", 1, "http://x/\r\ny", "D1", 3, None, "a\nb"), ("revisit", 2, None, "D1", 3, 1, None)]
-    schema = "record_type string, id long, url string, payload_digest string, payload_bytes long, refers_to long, payload string"
-    write_archives(spark.createDataFrame(rows, schema), path)
-    got = sorted(map(tuple, read_archives(spark, path).collect()))
-    assert got == [("response", 1, "http://x/%0D%0Ay", "D1", 3, None, "a\nb"), ("revisit", 2, None, "D1", 3, 1, None)]
+    rows = [(1, "http://x/\r\ny", "a\nb"), (2, None, None), (None, "u", "ü" * 400)] + [(k, f"h{k}", "z" * k) for k in range(10, 60)]
+    warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string"), path, file_bytes=700)
+    files = spark.read.format("binaryFile").load(path).collect()
+    assert len(files) > 5
+    for f in files:  # every member is a record on its own, but the last, empty one
+        parts = [data for _, data in warc.members(bytes(f.content))]
+        assert parts[-1] == b"" and all(p.startswith(b"WARC/1.1\r\n") and p.count(b"WARC/1.1\r\n") == 1 for p in parts[:-1])
+        assert gzip.decompress(bytes(f.content)) == b"".join(parts)
+    got = {(r.id, r.url, r.payload) for r in warc.read_archives(spark, path).collect()}
+    assert got == {(i, u and u.replace("\r", "%0D").replace("\n", "%0A"), t or "") for i, u, t in rows}
+
+
+def test_members_of_several_records(spark):
+    """Archives of other writers: many records a member, many members a file."""
+    def record(k):
+        payload = f"payload {k % 3}".encode() * (k % 3)
+        return warc.format_record(k, None, payload, warc.digest_of(payload), len(payload))
+
+    content = warc.member(record(1) + record(2)) + warc.member(record(3)) + warc.member(b"") + warc.member(b"".join(map(record, range(4, 900))))
+    assert [(r.fields["warc-record-id"], r.place) for r in warc.parse_records(content)][:4] == [
+        ("<urn:record:1>", 0), ("<urn:record:2>", 1), ("<urn:record:3>", 0), ("<urn:record:4>", 0),
+    ]
+    source, target = shared_dir(spark, "warc-foreign"), shared_dir(spark, "warc-target")
+    warc._write(spark.createDataFrame([(bytearray(content),)], "value binary"), source)
+    warc.deduplicate_archives(spark, source, target, min_bytes=1)
+    got = {r.id: (r.record_type, r.refers_to) for r in warc.read_archives(spark, target).collect()}
+    last = {k % 3: k for k in range(1, 900)}
+    assert got == {k: ("revisit", last[k % 3]) if k % 3 and last[k % 3] != k else ("response", None) for k in range(1, 900)}
+    with pytest.raises(ValueError, match="does not end"):
+        list(warc.parse_records(content[:-30]))
+
+
+def test_large_payloads_end_files():
+    """2,000 payloads of 1 MB: no more than a file's bytes and one record are held."""
+    held = warc.Record({}, memoryview(random.Random(1).randbytes(1 << 20)), 0, 0).block
+    sizes = [len(b.column(0)[0].as_py()) for b in warc._files_of((held for _ in range(40)), 4 << 20)]
+    assert len(sizes) == 10 and max(sizes) < (5 << 20) + 4096
+
+
+def test_payloads_are_not_shuffled(spark):
+    rows = [(i, f"u{i}", f"{i % 50} " * 3000) for i in range(400)]
+    headers = warc.read_headers(spark, _written(spark, rows))
+    assert set(headers.columns) == {"path", "offset", "place", "id", "payload_digest", "payload_bytes"} and headers.count() == 400
+    plan = warc.resolve_revisits(headers)._jdf.queryExecution().executedPlan().toString()
+    assert "payload#" not in plan
+
+
+def _written(spark, rows):
+    path = shared_dir(spark, "warc-written")
+    warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string"), path)
+    return path
 
 
 def test_parse_rejects_what_is_no_record():
     with pytest.raises(ValueError, match="no record"):
-        list(parse_records(b"nothing\r\n\r\nhere"))
+        list(warc.parse_records(warc.member(b"nothing\r\n\r\nhere")))
