@@ -9,7 +9,9 @@ prototype has the largest cosine.
 Upper-case letters count as lower-case ones, each run of other characters as
 one gap symbol, as does either end of the text. A null or letterless text, and
 any text when there is nothing to learn from, is ``und`` with score 0. Ties go
-to the smallest language value. Rows with a null id are never learned from.
+to the smallest language value. Rows with a null id are never learned from by
+the query, whose folds need one. Repeated rows are learned from and returned each;
+long texts count whole, whatever their alphabet; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -34,6 +36,11 @@ MAX_LANGUAGES = 10_000
 #: Trigrams whose vectors are held at once; bounds memory for any alphabet.
 GRAM_BLOCK = 4096
 UNKNOWN = "und"
+#: A text is implausible in any learned language from this many times the usual
+#: noise on, less a slack of so many deviations of two random vectors' cosine.
+WIDE, SLACK = 8.0, 3.0
+#: Trigrams that a text must have to be judged; shorter ones score as low as junk.
+MIN_TRIGRAMS = 64
 
 
 @functools.cache
@@ -75,8 +82,15 @@ class Trigrams:
         self.base = len(self.symbols)
         inside = owner[2:] == owner[:-2]
         grams = ((index[:-2] * self.base + index[1:-1]) * self.base + index[2:])[inside]
-        pairs, self.counts = np.unique(owner[:-2][inside] * self.base**3 + grams, return_counts=True)
-        self.rows, self.grams = np.divmod(pairs, self.base**3)
+        # (row, gram) as one number; where that would pass 64 bits, grams are numbered first
+        known, width = None, self.base**3
+        if rows * width >= 1 << 63:
+            known, grams = np.unique(grams, return_inverse=True)
+            width = len(known)
+        pairs, self.counts = np.unique(owner[:-2][inside] * width + grams, return_counts=True)
+        self.rows, self.grams = np.divmod(pairs, max(1, width))
+        if known is not None:
+            self.grams = known[self.grams]
         self.cuts = np.searchsorted(self.rows, np.arange(rows + 1))
 
     def vectors(self, grams: np.ndarray, letters: np.ndarray) -> np.ndarray:
@@ -142,16 +156,18 @@ def train_prototypes(docs: DataFrame, text_col: str = "text", lang_col: str = "l
 
 
 def classify(
-    docs: DataFrame, model: tuple[list[str], np.ndarray], text_col: str = "text", out: tuple[str, str] = ("lang_pred", "score")
+    docs: DataFrame, model: tuple[list[str], np.ndarray], text_col: str = "text", out: tuple[str, ...] = ("lang_pred", "score")
 ) -> DataFrame:
     """``docs`` with the predicted language and its score, the cosine cut to
-    0..1, in two columns named by ``out`` (columns of that name are replaced).
+    0..1, in two columns named by ``out`` (columns of that name are replaced); a
+    third name is for the number of the text's trigrams.
     """
     langs, vectors = model
     norms = np.linalg.norm(vectors, axis=1, keepdims=True)
     prototypes = (vectors / np.where(norms > 0, norms, 1)).astype(np.float32)
     kept = docs.drop(*out)
-    schema = T.StructType([*kept.schema, T.StructField(out[0], T.StringType()), T.StructField(out[1], T.DoubleType())])
+    types = (T.StringType(), T.DoubleType(), T.LongType())
+    schema = T.StructType([*kept.schema, *(T.StructField(name, kind) for name, kind in zip(out, types))])
     names = schema.names
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,11 +183,35 @@ def classify(
                 top = cosines.argmax(1)
                 pred[found] = np.array(langs, object)[top[found]]
                 best[found] = np.clip(cosines[np.arange(n), top][found], 0, 1)
-            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(pred, pa.string()), pa.array(best)], names)
+            sizes = np.concatenate([[0], np.cumsum(grams.counts)])[grams.cuts]
+            found = [pa.array(pred, pa.string()), pa.array(best), pa.array(np.diff(sizes), pa.int64())]
+            yield pa.RecordBatch.from_arrays([*rows.columns, *found[: len(out)]], names)
 
     return kept.mapInArrow(score, schema)
 
 
+def _noise(score: Column, size: Column) -> Column:
+    """A text of n trigrams in a language scores about sqrt(n / (n + c)): its own
+    sample of trigrams, besides what all texts share. This is its c."""
+    return size * (1 / (score * score) - 1)
+
+
+def usual_noise(scored: DataFrame, lang: str, pred: str, score: str, size: str) -> float | None:
+    """The median noise of all labelled texts that were recognised and are long
+    enough to be judged; None without any."""
+    known = (F.col(lang) == F.col(pred)) & (F.col(size) >= MIN_TRIGRAMS) & (F.col(score) > 0)
+    return scored.where(known).agg(F.percentile_approx(_noise(F.col(score), F.col(size)), 0.5, 10_000)).first()[0]
+
+
+def plausible(score: Column, size: Column, noise: float | None) -> Column:
+    """Whether a text scores as texts of its length do, in any language. Repeated
+    words and random letters do not, the less the longer they are."""
+    if noise is None:
+        return F.lit(True)
+    floor = F.sqrt(size / (size + F.lit(WIDE * noise))) - F.lit(SLACK / DIMENSIONS**0.5)
+    return (size < MIN_TRIGRAMS) | (score >= floor)
+
+
 def fold(id_col: Column, folds: int) -> Column:
     """crc32 of the id as text, modulo ``folds``; null for a null id."""
     return F.crc32(id_col.cast("string")) % folds
