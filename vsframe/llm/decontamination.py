@@ -9,7 +9,9 @@ so, and a direct comparison of words confirms them.
 
 The shift loop runs over many stretches of text at once, one numpy lane each.
 Items with no word, and null texts, match nothing; repeated items and rows are
-reported each on their own.
+reported each on their own. Long texts are searched whole, a bounded number of
+texts or one longer one at a time. Without documents nothing returns, without
+items every document, unmarked.
 """
 
 from __future__ import annotations
@@ -18,11 +20,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vsframe.llm.common import RollingHash, lower_bytes, mix64, text_chunks, utf8, word_spans
+from vsframe.llm.common import RollingHash, ascii_lower, fresh, lower_bytes, materialize, mix64, salted_join, text_chunks, utf8, word_spans
+from vsframe.session import shared_dir
 
 #: Words of a test string.
 WINDOW = 10
@@ -36,6 +40,7 @@ _TABLE_BITS = 20
 _IS_WORD = np.zeros(256, bool)
 _IS_WORD[48:58] = _IS_WORD[97:123] = _IS_WORD[128:] = True
 
+_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 SPANS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
 
 
@@ -164,46 +169,82 @@ def mark_contamination(
     of the items that these come from, as text in text order.
 
     Items come as ``item_id`` and ``text``, in blocks of about ``block_bytes``
-    of text, each broadcast and searched for in one pass over the documents;
-    documents are never shuffled.
+    of text, each sent to every task. One block is searched for in one pass over
+    the documents, which are never shuffled. Of several, each is a job of its own
+    that writes its hits, so that tasks hold one block at a time; then hits meet
+    the documents by the texts' SHA-256.
     """
     spark = docs.sparkSession
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").where("text IS NOT NULL")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-size // block_bytes))
+    plain = docs.drop(*out)
+    if blocks == 1:
+        return _search(plain, _sent(spark, items), text_col, out)
+
     n_words, spans, ids = out
-    marked = docs.drop(*out).withColumns(
-        {n_words: F.lit(0).cast("long"), spans: F.array().cast(SPANS), ids: F.array().cast("array<string>")}
-    )
-    schema, names = marked.schema, marked.columns
+    key, place, joined = fresh(docs, "_key", "_place", "_joined")
+    digest = F.unhex(F.sha2(F.coalesce(text_col, F.lit("")), 256))
+    texts = plain.select(digest.alias("key"), F.col(text_col).alias("text"))
+    root = shared_dir(spark, "benchmark-hits")
     for k in range(blocks):
-        block = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
-        rows = block.collect()  # about block_bytes
-        sent = spark.sparkContext.broadcast(([r.item_id for r in rows], [r.text for r in rows]))
-
-        def search(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            patterns = Patterns(*sent.value)
-            for rows, data, offsets in text_chunks(batches, text_col):
-                counts, row, start, length, item = patterns.search(data, offsets)
-                columns = {n: rows.column(i) for i, n in enumerate(names)}
-                old_spans, old_ids = columns[spans].to_pylist(), columns[ids].to_pylist()
-                cuts = np.searchsorted(row, np.arange(len(counts) + 1)).tolist()
-                ends = start + length
-                for r in np.unique(row).tolist():
-                    a, b = cuts[r], cuts[r + 1]
-                    old = old_spans[r]
-                    old_spans[r] = _merged(
-                        [x["start"] for x in old] + start[a:b].tolist(), [x["end"] for x in old] + ends[a:b].tolist()
-                    )
-                    named = {patterns.ids[i] for i in set(item[a:b].tolist())} - {None}
-                    old_ids[r] = sorted({*old_ids[r], *named})
-                columns[n_words] = pa.array(counts, pa.int64())
-                columns[spans] = pa.array(old_spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
-                columns[ids] = pa.array(old_ids, pa.list_(pa.string()))
-                yield pa.RecordBatch.from_arrays([columns[n] for n in names], names)
-
-        marked = marked.mapInArrow(search, schema)
-    return marked
+        sent = _sent(spark, items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k))
+        hits = _search(texts, sent, "text", ("n", "spans", "items")).where(F.size("spans") > 0)
+        # copies of a text have equal hits
+        hits.groupBy("key").agg(F.first("spans").alias("spans"), F.first("items").alias("items")).write.parquet(f"{root}/{k}")
+        sent.destroy()
+    schema = T.StructType([T.StructField("key", T.BinaryType()), T.StructField("spans", SPANS), T.StructField("items", _IDS)])
+    found = spark.read.schema(schema).parquet(*(f"{root}/{k}" for k in range(blocks)))
+    each = found.groupBy("key").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    merged = materialize(each.mapInArrow(_merge_rows, schema), "benchmark-hits")
+    named = merged.select(F.col("key").alias(key), F.struct("spans", "items").alias(joined))
+    words = F.size(F.regexp_extract_all(ascii_lower(F.coalesce(text_col, F.lit(""))), F.lit(_WORD), F.lit(0)))
+    keyed = plain.withColumns({key: digest, place: F.monotonically_increasing_id()})
+    marked = salted_join(keyed, named, [key], place, "left")
+    return marked.select(
+        *plain.columns,
+        words.cast("long").alias(n_words),
+        F.coalesce(F.col(joined)["spans"], F.array().cast(SPANS)).alias(spans),
+        F.coalesce(F.col(joined)["items"], F.array().cast(_IDS)).alias(ids),
+    )
+
+
+_IDS = T.ArrayType(T.StringType())
+_SPAN_LISTS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+
+
+def _sent(spark: SparkSession, items: DataFrame) -> Broadcast:
+    """A block of items, about its bytes of text, for every task."""
+    rows = items.collect()
+    return spark.sparkContext.broadcast(([r.item_id for r in rows], [r.text for r in rows]))
+
+
+def _merge_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        spans = [_merged([x["start"] for x in row], [x["end"] for x in row]) for row in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, _SPAN_LISTS), batch.column(2)], ["key", "spans", "items"])
+
+
+def _search(docs: DataFrame, sent: Broadcast, text_col: str, out: tuple[str, str, str]) -> DataFrame:
+    """``docs`` with the columns ``out`` for one block of items."""
+    fields = [T.StructField(n, t) for n, t in zip(out, (T.LongType(), SPANS, _IDS))]
+    schema = T.StructType([*docs.schema, *fields])
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        patterns = Patterns(*sent.value)
+        for rows, data, offsets in text_chunks(batches, text_col):
+            counts, row, start, length, item = patterns.search(data, offsets)
+            spans, ids = [[] for _ in counts], [[] for _ in counts]
+            cuts = np.searchsorted(row, np.arange(len(counts) + 1)).tolist()
+            ends = start + length
+            for r in np.unique(row).tolist():
+                a, b = cuts[r], cuts[r + 1]
+                spans[r] = _merged(start[a:b].tolist(), ends[a:b].tolist())
+                ids[r] = sorted({patterns.ids[i] for i in set(item[a:b].tolist())} - {None})
+            more = [pa.array(counts, pa.int64()), pa.array(spans, _SPAN_LISTS), pa.array(ids, pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays([*rows.columns, *more], schema.names)
+
+    return docs.mapInArrow(search, schema)
 
 
 def covered(spans: Column) -> Column:
