@@ -10,7 +10,9 @@ while it stays in a bounded cache; token offsets are kept for decoding.
 
 The automaton is that of the pattern
 ``'s|'t|'re|'ve|'m|'ll|'d| ?\\p{L}+| ?\\p{N}+| ?[^\\s\\p{L}\\p{N}]+|\\s+(?!\\S)|\\s+``.
-Null texts count as empty; an empty text has no tokens.
+Null texts count as empty; an empty text has no tokens. Repeated rows are encoded
+and returned each, long texts whole (one text longer than a chunk is a chunk of its
+own), and an empty table gives no rows. Columns named like those added are replaced.
 """
 
 from __future__ import annotations
