@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 from collections.abc import Iterator
 from pathlib import Path
@@ -9,6 +10,7 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,7 +31,48 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """
     path = shared_dir(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Remove tables that ``materialize`` wrote and that nothing reads any more:
+    whatever was made of them is written itself."""
+    for table in tables:
+        path = getattr(table, "_written", None)
+        if path:
+            spark = table.sparkSession
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def settle(spark: SparkSession) -> None:
+    """Have Spark drop the shuffle files of steps that are written.
+
+    It does so once the driver has collected their frames, which on a driver
+    with heap to spare would be long after they have filled the executors' disks.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+class Steps:
+    """Broadcasts of an operator's steps; ``end`` destroys those sent so far, once
+    what reads them is written, and drops the steps' shuffle files."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self._spark, self._sent = spark, []
+
+    def send(self, value: object) -> Broadcast:
+        self._sent.append(self._spark.sparkContext.broadcast(value))
+        return self._sent[-1]
+
+    def end(self) -> None:
+        for sent in self._sent:
+            sent.destroy()
+        self._sent.clear()
+        settle(self._spark)
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vsframe.llm.common import materialize, salted_join
+from vsframe.llm.common import discard, materialize, salted_join
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -40,7 +40,8 @@ def components(edges: DataFrame) -> DataFrame:
         seen = mark
         if not mark[0]:
             break
-        now = materialize(_small_star(_large_star(now)), "links")
+        before, now = now, materialize(_small_star(_large_star(now)), "links")
+        discard(before)
     leaves = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return leaves.unionByName(roots)

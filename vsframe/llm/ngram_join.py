@@ -9,22 +9,28 @@ count sketch of all shingles of all documents, and only the order, never the
 result, rests on it.
 
 1. Documents with equal sets are one node; nodes with equal prefixes and size
-   are one group. Groups, not documents, send their prefix shingles.
-2. Shingles in one prefix only cannot link and go. Every group is paired with
-   the one group it shares most prefix shingles with among the shingles' least
-   groups of its size class, every node with its group's least node: a pair a
-   node, which members verify on whole sets. Links make components.
-3. What is left, two nodes in different components that share a prefix shingle
-   or a group, is paired in full, cut by size and by position in the prefixes,
-   and verified. A large group of near copies is one component by then, so its
-   pairs are never made: components are exact, but links within one are not all
-   found, so neither links nor their number come back.
+   are one group. Groups, not documents, send their prefix shingles, each with
+   its position. Shingles in one prefix only cannot link and go.
+2. Rounds of representatives. For each shingle and size class the group whose
+   post comes soonest in its own prefix is the hub. Every component is paired with
+   the hub of another that it shares most shingles with, every node, at first,
+   with its group's least node: a pair a node and round, which members verify on
+   whole sets. Links make components, which the next round takes for its own.
+   Rounds end with one that links few.
+3. What is left is joined in full: pairs of groups that share a prefix shingle
+   and are not of one component, cut by size, by position, and by parity
+   sketches in the join itself, so that a pair comes from its first common shingle
+   and seldom from others. Pairs of groups then expand to members of different
+   components, which are verified. A large group of near copies is one component
+   by then, and its pairs are never made. Components are exact, but links within
+   one are not all found, so neither links nor their number come back.
 
 Texts are cut at ASCII white space after lower-casing A-Z. With fewer words
 than a shingle has, the whole sequence is the one shingle; without words (null
 or empty text) the set is empty and links with nothing, equal texts included.
 Rows that share an id are nodes by their texts; null ids link like others, and
-a component's id is null only if all its ids are.
+a component's id is null only if all its ids are. Long texts are shingled whole;
+an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -39,6 +45,8 @@ from pyspark.sql import functions as F
 
 from vsframe.llm.common import (
     RollingHash,
+    Steps,
+    discard,
     key_filter,
     lower_bytes,
     materialize,
@@ -59,8 +67,12 @@ PERCENT = 80
 SKETCH_BITS, BLOCK_BITS = 22, 14
 #: Bits of a node's parity sketch, in longs.
 PARITY_LONGS = 16
-#: Longs of it that posts carry, folded, so that the join itself drops pairs.
-FOLDED_LONGS = 4
+#: Sizes within a factor of 1 / threshold are one class; a group looks for hubs
+#: in its own class. Steps of a post's relative position, to compare hubs by.
+POSITION_STEPS = 1 << 20
+#: A round that links no more than one in so many nodes is the last; pairs that
+#: further rounds would find are then found by the full join.
+FEW = 200
 _MULTIPLIERS = mix64(np.arange(1, 17, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -102,19 +114,6 @@ def _parities(shingles: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
-def _folded(parity: str) -> list[Column]:
-    """A parity sketch of fewer classes: long k is the exclusive or of every
-    FOLDED_LONGS-th long from k on. The bound on differences still holds."""
-    step = PARITY_LONGS // FOLDED_LONGS
-    out = []
-    for k in range(FOLDED_LONGS):
-        fold = F.col(parity)[k]
-        for j in range(1, step):
-            fold = fold.bitwiseXOR(F.col(parity)[k + j * FOLDED_LONGS])
-        out.append(fold.alias(f"fold{k}"))
-    return out
-
-
 def _prefix_size(size: int, percent: int) -> int:
     return size - -(-percent * size // 100) + 1
 
@@ -158,12 +157,12 @@ def rarity_sketch(docs: DataFrame, words: int) -> np.ndarray:
     return out.ravel()
 
 
-def prefixes(docs: DataFrame, sketch: np.ndarray, words: int, percent: int) -> DataFrame:
+def prefixes(docs: DataFrame, sketch: np.ndarray, words: int, percent: int, steps: Steps) -> DataFrame:
     """(key, doc_id, node, size, grp, parity, prefix) of every row of ``docs``
     (key, doc_id, text); grp hashes prefix and size. A group's prefix stands in the
     first of its rows that a task meets, and is null in the others.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(sketch)
+    sent = steps.send(sketch)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -197,7 +196,7 @@ def prefixes(docs: DataFrame, sketch: np.ndarray, words: int, percent: int) -> D
     )
 
 
-def prefix_posts(rows: DataFrame) -> DataFrame:
+def prefix_posts(rows: DataFrame, steps: Steps) -> DataFrame:
     """(token, grp, size, pos) for the prefix shingles that several groups have.
 
     Counts of a shingle combine before their shuffle (a group counts once a
@@ -214,7 +213,7 @@ def prefix_posts(rows: DataFrame) -> DataFrame:
         .select("token"),
         "shared-shingles",
     )
-    sent = rows.sparkSession.sparkContext.broadcast(key_filter(shared))
+    sent = steps.send(key_filter(shared))
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -239,7 +238,7 @@ def prefix_posts(rows: DataFrame) -> DataFrame:
     return salted_join(likely, shared, ["token"], "grp", "left_semi").distinct()
 
 
-def _wanted_texts(docs: DataFrame, heads: DataFrame, pairs: DataFrame) -> DataFrame:
+def _wanted_texts(docs: DataFrame, heads: DataFrame, pairs: DataFrame, steps: Steps) -> DataFrame:
     """(node, text) for the nodes in ``pairs``, each read from one of its rows.
 
     A filter of bounded size spares other texts the shuffle; what it lets
@@ -247,7 +246,7 @@ def _wanted_texts(docs: DataFrame, heads: DataFrame, pairs: DataFrame) -> DataFr
     """
     ids = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     wanted = materialize(heads.select("node", "key").join(ids, "node", "left_semi"), "wanted-nodes")
-    sent = docs.sparkSession.sparkContext.broadcast(key_filter(wanted.select("key")))
+    sent = steps.send(key_filter(wanted.select("key")))
 
     def screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # a row that repeats goes once a task
@@ -260,7 +259,9 @@ def _wanted_texts(docs: DataFrame, heads: DataFrame, pairs: DataFrame) -> DataFr
             yield batch.filter(pa.array(likely))
 
     rows = docs.select("key", "text")
-    return materialize(rows.mapInArrow(screen, rows.schema).join(wanted, "key").select("node", "text"), "wanted-texts")
+    texts = materialize(rows.mapInArrow(screen, rows.schema).join(wanted, "key").select("node", "text"), "wanted-texts")
+    discard(wanted)
+    return texts
 
 
 def _attach(pairs: DataFrame, table: DataFrame, columns: list[str], side: str, other: str) -> DataFrame:
@@ -311,6 +312,83 @@ def row_key() -> Column:
     return F.xxhash64(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")))
 
 
+def _group_components(heads: DataFrame, found: DataFrame | None) -> DataFrame:
+    """(grp, x, node, y, members): each group's least component, a node of it,
+    its greatest component if that is another, and its number of nodes."""
+    named = heads if found is None else heads.join(found, "node", "left")
+    own = F.col("node") if found is None else F.coalesce("component", "node")
+    grouped = named.select("grp", "node", own.alias("c")).groupBy("grp")
+    return grouped.agg(F.min(F.struct("c", "node")).alias("least"), F.max("c").alias("y"), F.count(F.lit(1)).alias("members")).select(
+        "grp",
+        F.col("least.c").alias("x"),
+        F.col("least.node").alias("node"),
+        F.when(F.col("y") != F.col("least.c"), F.col("y")).alias("y"),
+        "members",
+    )
+
+
+def _open_posts(posts: DataFrame, groups: DataFrame) -> DataFrame:
+    """``posts`` with their groups' components x and y, those whose shingle
+    several components have."""
+    named = posts.join(groups.select("grp", "x", "y"), "grp")
+    mixed = named.groupBy("token").agg(F.min("x").alias("lo"), F.max(F.coalesce("y", "x")).alias("hi")).where("lo <> hi")
+    return salted_join(named, mixed.select("token"), ["token"], "grp", "left_semi")
+
+
+def hub_pairs(posts: DataFrame, percent: int) -> DataFrame:
+    """(x, g, h): for each component x, its group g and the hub h of another
+    component that share most shingles.
+
+    ``posts``: token, grp, size, pos, x. A hub is the post of a shingle and size
+    class that comes first in its own prefix: what precedes it there is in no
+    common set, so the sooner it comes, the more others may link with it. Hubs
+    combine before their shuffle, and the join to a hot shingle's is salted.
+    """
+    by_size = F.floor(F.log(F.col("size").cast("double")) / F.log(F.lit(100 / percent)))
+    place = F.floor(F.col("pos").cast("long") * F.lit(POSITION_STEPS) / F.col("size"))
+    classed = posts.select("token", "grp", "x", by_size.alias("class"), place.alias("place"))
+    hubs = classed.groupBy("token", "class").agg(F.min(F.struct("place", F.col("grp").alias("h"), F.col("x").alias("of"))).alias("hub"))
+    hubs = hubs.select("token", "class", F.col("hub.h").alias("h"), F.col("hub.of").alias("of"))
+    met = salted_join(classed.drop("place"), hubs, ["token", "class"], "grp", "inner").where("x <> of")
+    votes = met.groupBy("x", F.col("grp").alias("g"), "h").agg(F.count(F.lit(1)).alias("n"))
+    best = votes.groupBy("x").agg(F.max_by(F.struct("g", "h"), F.struct("n", "g", "h")).alias("best"))
+    return best.select("x", "best.*")
+
+
+def open_group_pairs(posts: DataFrame, percent: int) -> DataFrame:
+    """(g, h): pairs of groups that may hold linked nodes of different components.
+
+    ``posts``: token, grp, size, pos, x, y (the least component, and another if
+    there is one) and parity (null for groups of several nodes). Sets that share nothing before
+    the shingle at positions i and j have at most the rest of each in common; this
+    holds at their first common shingle, where a pair that may link passes.
+    """
+    p, q = posts.alias("p"), posts.alias("q")
+    total = F.col("p.size") + F.col("q.size")
+    most = F.least(F.col("p.size") - F.col("p.pos"), F.col("q.size") - F.col("q.pos"))
+    one = F.col("p.y").isNull() & F.col("q.y").isNull() & (F.col("p.x") == F.col("q.x"))
+    differ = sum(
+        (F.bit_count(F.col("p.parity")[k].bitwiseXOR(F.col("q.parity")[k])) for k in range(PARITY_LONGS)), F.lit(0)
+    )
+    return (
+        p.join(q, F.col("p.token") == F.col("q.token"))
+        .where((F.col("p.grp") < F.col("q.grp")) & ~one & ((100 + percent) * most >= percent * total))
+        .where(F.coalesce((100 + percent) * differ <= (100 - percent) * total, F.lit(True)))
+        .where(100 * F.least("p.size", "q.size") >= percent * F.greatest("p.size", "q.size"))
+        .select(F.col("p.grp").alias("g"), F.col("q.grp").alias("h"))
+        .distinct()
+    )
+
+
+def _expanded(pairs: DataFrame, members: DataFrame) -> DataFrame:
+    """(a, b): nodes of different components for each pair of groups (g, h);
+    ``members``: grp, node, component."""
+    left = members.select(F.col("grp").alias("g"), F.col("node").alias("m"), F.col("component").alias("c"))
+    right = members.select(F.col("grp").alias("h"), F.col("node").alias("o"), F.col("component").alias("d"))
+    both = pairs.join(left, "g").join(right, "h").where("c <> d")
+    return both.select(F.least("m", "o").alias("a"), F.greatest("m", "o").alias("b"))
+
+
 def link_components(
     docs: DataFrame, words: int = SHINGLE_WORDS, percent: int = PERCENT, component: str | None = None
 ) -> DataFrame:
@@ -318,72 +396,78 @@ def link_components(
     (doc_id, text); key is ``row_key``. ``component`` names one more column, that
     tells components apart whose ids are null or shared; null without words."""
     docs = docs.select(row_key().alias("key"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = materialize(prefixes(docs, rarity_sketch(docs, words), words, percent), "prefixes")
+    steps = Steps(docs.sparkSession)
+    rows = materialize(prefixes(docs, rarity_sketch(docs, words), words, percent, steps), "prefixes")
+    steps.end()
     heads = materialize(
         rows.where("size > 0")
         .groupBy("node")
         .agg(F.min("doc_id").alias("rep"), F.min("key").alias("key"), *(F.max(c).alias(c) for c in ("size", "grp", "parity"))),
         "nodes",
     )
-    leaders = heads.groupBy("grp").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("members"))
-    posts = materialize(prefix_posts(rows), "prefix-posts")
-
-    # one pair a node
-    classed = posts.withColumn("class", F.floor(F.log(F.col("size").cast("double")) / F.log(F.lit(100 / percent))))
-    least = classed.groupBy("token", "class").agg(F.min("grp").alias("to"))
-    votes = salted_join(classed, least, ["token", "class"], "grp", "inner").where("grp <> to").groupBy("grp", "to").count()
-    best = votes.groupBy("grp").agg(F.max_by("to", F.struct("count", "to")).alias("to"))
-    by_group = leaders.select("grp", "leader")
-    across = (
-        best.join(by_group.withColumnRenamed("leader", "a"), "grp")
-        .select("a", F.col("to").alias("grp"))
-        .join(by_group.withColumnRenamed("leader", "b"), "grp")
-        .select("a", "b")
-    )
-    inside = (
-        salted_join(heads.select("node", "grp"), leaders.where("members > 1"), ["grp"], "node", "inner")
-        .where("node <> leader")
-        .select(F.col("node").alias("a"), F.col("leader").alias("b"))
-    )
-    pairs = materialize(sieve(across.unionByName(inside).distinct(), heads, percent), "pairs")
-    links = materialize(verify(pairs, _wanted_texts(docs, heads, pairs), words, percent), "links")
-    found = materialize(components(links), "components")
+    posts = materialize(prefix_posts(rows, steps), "prefix-posts")
+    steps.end()
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        """Those of the pairs whose whole sets link."""
+        tried = materialize(sieve(pairs, heads, percent), "pairs")
+        texts = _wanted_texts(docs, heads, tried, steps)
+        out = materialize(verify(tried, texts, words, percent), "links")
+        steps.end()
+        discard(tried, texts)
+        return out
+
+    def stars(found: DataFrame) -> DataFrame:
+        return found.where("node <> component").select(F.col("node").alias("u"), F.col("component").alias("v"))
+
+    # rounds of representatives
+    nodes = heads.count()
+    groups = materialize(_group_components(heads, None), "groups")
+    several = groups.where("members > 1").select("grp", F.col("node").alias("a"))
+    inside = salted_join(heads.select("grp", F.col("node").alias("b")), several, ["grp"], "b", "inner").where("a <> b").select("a", "b")
+    named, found, tried = posts.withColumn("x", F.col("grp")), None, []
+    while True:
+        best = materialize(hub_pairs(named, percent), "best-hubs")
+        node = groups.select("grp", "node")
+        met = best.join(node.select(F.col("grp").alias("g"), F.col("node").alias("m")), "g").join(
+            node.select(F.col("grp").alias("h"), F.col("node").alias("o")), "h"
+        )
+        pairs = met.select(F.least("m", "o").alias("a"), F.greatest("m", "o").alias("b"))
+        pairs = (pairs if tried else pairs.unionByName(inside)).distinct()
+        for before in tried:
+            pairs = pairs.join(before, ["a", "b"], "left_anti")
+        tried.append(materialize(pairs, "hub-pairs"))
+        new = linked(tried[-1])
+        links = new.count()
+        if links:
+            was, found = found, materialize(components(new if found is None else stars(found).unionByName(new)), "components")
+            discard(was)
+        discard(best)
+        few = links * FEW <= nodes
+        if few and len(tried) > 1:
+            break  # the posts' components of the round before are right, if not the fewest
+        discard(groups, named)
+        groups = materialize(_group_components(heads, found), "groups")
+        named = materialize(_open_posts(posts, groups), "open-posts")
+        if few:
+            break
 
     # all pairs between different components
-    labelled = materialize(
-        heads.join(found, "node", "left").select(
-            "node", "grp", F.coalesce("component", "node").alias("component"), "size", *_folded("parity")
-        ),
-        "labelled-nodes",
-    )
-    folds = [f"fold{k}" for k in range(FOLDED_LONGS)]
-    many = labelled.join(leaders.where("members > 1").select("grp"), "grp", "left_semi")
-    mixed_groups = many.groupBy("grp").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y")
-    own = salted_join(many, mixed_groups.select("grp"), ["grp"], "node", "left_semi").select(
-        F.xxhash64("grp", F.lit(9)).alias("token"), "node", "component", "size", F.lit(0).alias("pos")
-    )
-    spread = posts.join(labelled.select("node", "grp", "component"), "grp").select("token", "node", "component", "size", "pos")
-    mixed = spread.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y")
-    still = salted_join(spread, mixed.select("token"), ["token"], "node", "left_semi").unionByName(own)
-    open_posts = materialize(
-        salted_join(still, labelled.select("node", *folds), ["node"], "token", "inner", salts=1), "open-posts"
-    )
-    x, y = open_posts.alias("x"), open_posts.alias("y")
-    total = F.col("x.size") + F.col("y.size")
-    most = F.least(F.col("x.size") - F.col("x.pos"), F.col("y.size") - F.col("y.pos"))  # from a first common shingle on
-    differ = sum((F.bit_count(F.col(f"x.{k}").bitwiseXOR(F.col(f"y.{k}"))) for k in folds), F.lit(0))
-    rest = (
-        x.join(y, F.col("x.token") == F.col("y.token"))
-        .where((F.col("x.component") < F.col("y.component")) & ((100 + percent) * most >= percent * total))
-        .where((100 + percent) * differ <= (100 - percent) * total)
-        .where(100 * F.least("x.size", "y.size") >= percent * F.greatest("x.size", "y.size"))
-        .select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-        .distinct()
-    )
-    rest = materialize(sieve(rest, heads, percent), "open-pairs")
-    more = materialize(verify(rest, _wanted_texts(docs, heads, rest), words, percent), "open-links")
-    stars = found.where("node <> component").select(F.col("node").alias("u"), F.col("component").alias("v"))
-    final = components(stars.unionByName(more))
+    label = F.col("node") if found is None else F.coalesce("component", "node")
+    own = heads if found is None else heads.join(found, "node", "left")
+    labelled = materialize(own.select("node", "grp", label.alias("component"), "parity"), "labelled-nodes")
+    single = groups.where("members = 1").select("grp").join(labelled.select("grp", "parity"), "grp")
+    carried = materialize(named.select("token", "grp", "size", "pos", "x", "y").join(single, "grp", "left"), "posts-with-parities")
+    across = materialize(open_group_pairs(carried, percent), "group-pairs")
+    discard(named, carried, posts)
+    # a group with nodes in several components makes a pair with itself
+    itself = groups.where("y IS NOT NULL").select(F.col("grp").alias("g"), F.col("grp").alias("h"))
+    rest = _expanded(across.unionByName(itself), labelled).distinct()
+    for before in tried:
+        rest = rest.join(before, ["a", "b"], "left_anti")
+    more = linked(rest)
+    discard(labelled, groups, across, *tried)
+    final = components(more if found is None else stars(found).unionByName(more))
 
     named = heads.join(final, "node", "left").select("node", "rep", F.coalesce("component", "node").alias("component"))
     ids = named.groupBy("component").agg(F.min("rep").alias("component_id"))
