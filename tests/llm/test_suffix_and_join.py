@@ -48,7 +48,7 @@ def suffix_cases():
 
 @pytest.mark.parametrize("group_slices", [512, 1])
 def test_suffix_dedup(spark, monkeypatch, group_slices):
-    monkeypatch.setattr(suffix_dedup.repeated_spans, "__defaults__", (200, 32, False, group_slices))
+    monkeypatch.setattr(suffix_dedup, "GROUP_SLICES", group_slices)
     rows = suffix_cases()
     got = {r.doc_id: tuple(r)[1:] for r in suffix_dedup.suffix_dedup_report(with_clashes(spark.createDataFrame(rows, SCHEMA))).collect()}
     want = expected_suffix([t for _, t, _ in rows], 200)
@@ -80,7 +80,7 @@ def test_first_copies_stay(spark, group_slices):
 @pytest.mark.parametrize("group_slices", [512, 1])
 @pytest.mark.parametrize("shared_id", [None, 7])
 def test_one_id_and_one_offset_but_two_texts(spark, monkeypatch, shared_id, group_slices):
-    monkeypatch.setattr(suffix_dedup.repeated_spans, "__defaults__", (200, 32, False, group_slices))
+    monkeypatch.setattr(suffix_dedup, "GROUP_SLICES", group_slices)
     rnd = random.Random(5)
     header, *ends = ("".join(rnd.choices("abcdefgh ", k=n)) for n in (300, 400, 90, 250))
     texts = [header + e for e in ends]
@@ -104,7 +104,7 @@ def test_long_text_in_segments(monkeypatch):
     parts = suffix_dedup.anchor_runs(data, np.array([0, len(data)]), 50, 8)
 
     def covered(runs):
-        return sorted((s + k, h) for _, s, n, h, _ in zip(*(x.tolist() for x in runs)) for k in range(n))
+        return sorted((s + k, h) for _, s, n, h, *_ in zip(*(x.tolist() for x in runs)) for k in range(n))
 
     assert covered(parts) == covered(whole) and len(covered(whole)) == 4951
 
@@ -114,16 +114,57 @@ def test_long_text_in_segments(monkeypatch):
 def test_ranks_are_suffix_order(text):
     data = np.frombuffer(text.encode(), np.uint8)
     starts = np.arange(len(data) - 19)
-    rank = suffix_dedup.truncated_ranks(data, starts, 20)
+    rank, levels = suffix_dedup.suffix_ranks(data, starts, 20)
+    assert [depth for depth, _ in levels] == [8, 16]
     by_text = sorted(range(len(starts)), key=lambda i: text[i : i + 20])
     order = {text[i : i + 20]: k for k, i in enumerate(by_text)}
     for a in range(len(starts) - 1):
         x, y = text[a : a + 20], text[a + 1 : a + 21]
         assert (rank[a] < rank[a + 1]) == (x < y) and (rank[a] == rank[a + 1]) == (x == y) and order
-    earlier, later = suffix_dedup.factor_matches(rank, starts)
-    for a in range(len(starts)):
-        assert earlier[a] == any(text[b : b + 20] == text[a : a + 20] for b in range(a))
-        assert later[a] == any(text[b : b + 20] == text[a : a + 20] for b in range(a + 1, len(starts)))
+
+
+def shared_prefix(x, y):
+    return next((k for k, (a, b) in enumerate(zip(x, y)) if a != b), min(len(x), len(y)))
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.text(st.sampled_from("ab"), min_size=40, max_size=160), st.sampled_from([8, 13, 20, 33]), st.integers(0, 3))
+def test_longest_factors(text, length, seed):
+    """Longest previous and next factors of every suffix, of positions in text
+    order and of shuffled ones with ties, against all pairs."""
+    data, n = np.frombuffer(text.encode(), np.uint8), len(text) - length + 1
+    position = np.arange(n) if not seed else np.random.default_rng(seed).integers(0, n, n)
+    earlier, later = suffix_dedup.factor_matches(data, np.arange(n), position, length)
+    cut = [text[i : i + length] for i in range(n)]
+    for a in range(n):
+        assert earlier[a] == max((shared_prefix(cut[a], cut[b]) for b in range(n) if position[b] < position[a]), default=0)
+        assert later[a] == max((shared_prefix(cut[a], cut[b]) for b in range(n) if position[b] > position[a]), default=0)
+
+
+def test_spans_of_a_row_that_repeats(spark):
+    rnd = random.Random(4)
+    text = "".join(rnd.choices("abcdefgh ", k=900))
+    rows = [(1, text, None)] * 3000 + [(2, text[200:700] + "other end", None)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    keyed = df.select(F.xxhash64("doc_id", "text").alias("key"), "doc_id", "text")
+    per_key = suffix_dedup.merged_spans(keyed).collect()
+    assert len(per_key) == 2 and max(len(r.spans) for r in per_key) < 50
+    got = bag(suffix_dedup.suffix_dedup_report(df))
+    assert got[(1, 900, 900, 1, hashlib.sha256(b"").hexdigest())] == 3000 and len(got) == 2
+
+
+def test_slices_are_told_apart_by_two_hashes():
+    rnd = np.random.default_rng(3)
+    data = np.concatenate([rnd.integers(97, 100, 600), rnd.integers(97, 100, 600)]).astype(np.uint8)
+    data[300:900] = data[0:600]
+    runs = list(zip(*(x.tolist() for x in suffix_dedup.anchor_runs(data, np.array([0, len(data)]), 50, 8))))
+    raw = data.tobytes()
+    by_hash, by_bytes = {}, {}
+    for _, start, n, _, sh, sh2 in runs:
+        by_bytes.setdefault(raw[start : start + n + 49], set()).update({("1", sh), ("2", sh2)})
+        by_hash.setdefault(sh2, set()).add(raw[start : start + n + 49])
+    assert all(len(v) == 2 for v in by_bytes.values()) and all(len(v) == 1 for v in by_hash.values())
+    assert len(by_bytes) < len(runs)
 
 
 def shingles(text):
