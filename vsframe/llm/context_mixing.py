@@ -5,16 +5,19 @@ significant first, with an end byte after the last. Five predictors see the bits
 so far of the byte and its 0 to 4 bytes before, and have exact counts of the zeros
 and ones that followed; their probabilities are mixed in the logistic domain by weights. Which
 weight vector is used is gated by the longest context seen before, by how often
-it was seen, and by the bit. A last table refines the mixed probability by
-what followed in training. The sum of log10 probabilities is a proper score of the whole text.
+it was seen, and by the bit. A last table, by the bits so far and the mixed value,
+refines the mixed probability, and adapts: after each step its cells move to the
+bits that came, before the next bit is seen. The sum of log10 probabilities is a
+proper score of the whole text, and gives its total bits per byte.
 
 Predictors depend on five bytes at most, so everything is counted by distinct
 five-byte grams: a shuffle sums grams over all training texts, predictors' counts
-are sums over grams, and weights are learned online over grams weighted by their
-counts, in parallel parts whose weights are averaged, in several rounds. A gram
-trains with its own occurrence left out of the counts, or long contexts would
-predict themselves. Only the weights are learned in steps: counts and refining
-table are totals over the whole training corpus, and stay fixed while scoring.
+are sums over grams; weights and refining table are learned online over grams
+weighted by their counts, in parallel parts whose weights and cells are averaged,
+in several rounds. A gram trains with its own occurrence left out of the counts,
+or long contexts would predict themselves. Counts are totals over the whole
+training corpus. While scoring, nothing is learned, so that a text's score
+depends on no other text to be scored.
 
 The counts are a table of gram blocks that grows with the corpus: a block holds
 all grams of some contexts of three bytes, so orders 3 and 4 are counted within
@@ -28,7 +31,9 @@ most ``2 ** HEAVY_GRAM_BITS``, go to every task; other grams of the texts to be
 never seen ones too, meet the blocks, and what comes out joins the texts.
 
 Rows with a null id are trained on and not held out; null texts are empty. With
-no training text, counts are zero and every bit costs its untrained guess.
+no training text, counts are zero and every bit costs its untrained guess. Long
+texts are scored whole, a bounded chunk or one longer text at a time; repeated
+rows score alike; an empty table gives no rows. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -62,6 +67,12 @@ DELTA = 0.4
 CONFIDENCE = 4
 GATES = ORDERS * CONFIDENCE * 8
 BUCKETS = 24
+#: Weight that a cell of the refining table remembers: how slowly it adapts.
+MEMORY = 1 << 16
+#: Weight from which a cell counts.
+TRUSTED = 32
+#: Distinct words or grams that a counting task holds before it sends them on.
+HELD = 1 << 22
 #: Cached gram probabilities of a task.
 CACHE_BITS = 20
 
@@ -164,54 +175,56 @@ def _left_out(zeros: np.ndarray, ones: np.ndarray, y: np.ndarray) -> tuple[np.nd
 
 class Model:
     """Gated weights and the refining table, over counts: slots of zeros and
-    ones, or those that ``over`` puts in their place."""
+    ones, or those that ``over`` puts in their place. ``seen`` is the weight that
+    each cell of the table has met."""
 
     def __init__(self, zeros: np.ndarray | None = None, ones: np.ndarray | None = None):
         self.counts = None if zeros is None else SlotCounts(zeros, ones)
         self.weights = np.full((GATES, ORDERS), 1 / ORDERS)
         self.refine = np.full((256, BUCKETS), 0.5)
-        self.refined = np.zeros((256, BUCKETS), bool)
+        self.seen = np.zeros((256, BUCKETS))
 
     def over(self, counts: ExactCounts) -> Model:
         """This model, sharing its weights and table, with other counts."""
         out = Model()
-        out.counts, out.weights, out.refine, out.refined = counts, self.weights, self.refine, self.refined
+        out.counts, out.weights, out.refine, out.seen = counts, self.weights, self.refine, self.seen
+        return out
+
+    def copy(self) -> Model:
+        out = Model()
+        out.weights, out.refine, out.seen = self.weights.copy(), self.refine.copy(), self.seen.copy()
         return out
 
     def learn(self, grams: np.ndarray, counts: np.ndarray) -> None:
-        """One online pass: a step a batch of bits, down the coding cost's gradient."""
+        """One online pass: for each batch and bit, a step of the weights down
+        the coding cost's gradient, then one of the refining table."""
         every_zero, every_one = self.counts(grams)
         for lo in range(0, len(grams), BATCH):
             here = slice(lo, lo + BATCH)
             part, weight = grams[here], counts[here].astype(np.float64)
             for bit in range(8):
-                y = _nodes(part, bit)[1]
+                node, y = _nodes(part, bit)
                 x, gate = _inputs(*_left_out(every_zero[bit][:, here], every_one[bit][:, here], y), bit)
-                error = (y - _squash((self.weights[gate].T * x).sum(0))) * weight
+                mixed = (self.weights[gate].T * x).sum(0)
+                error = (y - _squash(mixed)) * weight
                 total = np.bincount(gate, weight, GATES)
                 for k in range(ORDERS):
                     slope = np.bincount(gate, error * x[k], GATES) / np.maximum(total, 1)
                     self.weights[:, k] += RATE * slope
+                self._adapt(node * BUCKETS + _bucket(np.clip(mixed, -12, 12)), y, weight)
+
+    def _adapt(self, cell: np.ndarray, y: np.ndarray, weight: np.ndarray) -> None:
+        """Cells move to the bits that came, by their weight against what the cells remember."""
+        cells, index = np.unique(cell, return_inverse=True)
+        came, ones = np.bincount(index, weight), np.bincount(index, weight * y)
+        known = np.minimum(self.seen.flat[cells], MEMORY) + 1.0
+        self.refine.flat[cells] = (self.refine.flat[cells] * known + ones) / (known + came)
+        self.seen.flat[cells] += came
 
     def mixed(self, zeros: np.ndarray, ones: np.ndarray, bit: int) -> np.ndarray:
         x, gate = _inputs(zeros, ones, bit)
         return np.clip((self.weights[gate].T * x).sum(0), -12, 12)
 
-    def outcomes(self, grams: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        """(256, BUCKETS, 2): weights of zeros and ones by node and mixed value."""
-        out = np.zeros(256 * BUCKETS * 2)
-        zeros, ones = self.counts(grams)
-        for bit in range(8):
-            node, y = _nodes(grams, bit)
-            x = self.mixed(*_left_out(zeros[bit], ones[bit], y), bit)
-            out += np.bincount((node * BUCKETS + _bucket(x)) * 2 + y, counts, len(out))
-        return out.reshape(256, BUCKETS, 2)
-
-    def set_refinement(self, outcomes: np.ndarray) -> None:
-        total = outcomes.sum(2)
-        self.refined = total >= 32
-        self.refine = (outcomes[:, :, 1] + 0.5) / (total + 1)
-
     def log10(self, grams: np.ndarray) -> np.ndarray:
         """log10 probability of each gram's last byte after the others."""
         out = np.zeros(len(grams))
@@ -221,7 +234,7 @@ class Model:
             x = self.mixed(zeros[bit], ones[bit], bit)
             bucket = _bucket(x)
             p = _squash(x)
-            p = np.where(self.refined[node, bucket], (p + self.refine[node, bucket]) / 2, p)
+            p = np.where(self.seen[node, bucket] >= TRUSTED, (p + self.refine[node, bucket]) / 2, p)
             out += np.log10(np.where(y == 1, p, 1 - p))
         return out
 
@@ -249,19 +262,22 @@ def _tally(values: list[np.ndarray], weights: list[np.ndarray]) -> tuple[np.ndar
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(kind, key, n): 0 words, 1 grams, 2 texts, summed for some chunks at a time."""
+    """(kind, key, n): 0 words, 1 grams, 2 texts, summed for some chunks at a
+    time; no more than about ``HELD`` of a kind are held."""
     held: dict[int, tuple[list, list]] = {0: ([], []), 1: ([], [])}
-    chunks = texts = 0
+    texts = 0
 
-    def flush() -> Iterator[pa.RecordBatch]:
+    def flush(least: int) -> Iterator[pa.RecordBatch]:
         for kind, (values, weights) in held.items():
-            if values:
+            if values and sum(map(len, values)) > least:
                 keys, n = _tally(values, weights)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(keys), kind, np.int32)), pa.array(keys.view(np.int64)), pa.array(n)], ["kind", "key", "n"]
-                )
-                values.clear()
-                weights.clear()
+                values[:], weights[:] = [keys], [n]
+                if len(keys) > least // 2:
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(len(keys), kind, np.int32)), pa.array(keys.view(np.int64)), pa.array(n)], ["kind", "key", "n"]
+                    )
+                    values.clear()
+                    weights.clear()
 
     for _, data, offsets in text_chunks(batches):
         data = lower_bytes(data)
@@ -271,10 +287,8 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held[kind][0].append(keys)
             held[kind][1].append(n)
         texts += len(offsets) - 1
-        chunks += 1
-        if chunks % 16 == 0:
-            yield from flush()
-    yield from flush()
+        yield from flush(HELD)
+    yield from flush(0)
     yield pa.RecordBatch.from_arrays(
         [pa.array([2], pa.int32()), pa.array([0], pa.int64()), pa.array([texts], pa.int64())], ["kind", "key", "n"]
     )
@@ -362,35 +376,28 @@ def train(counts: DataFrame) -> Trained:
     for _ in range(ROUNDS):
 
         def work(batches: Iterator[pa.RecordBatch], model=model) -> Iterator[pa.RecordBatch]:
-            own, bits = Model(), 0
-            own.weights, own.refine, own.refined = model.weights.copy(), model.refine, model.refined
+            own, bits = model.copy(), 0
             for keys, n in _blocks_of(batches):
                 own.counts = ExactCounts(low.value, keys, n)
                 order = np.argsort(mix64(keys), kind="stable")  # a fixed shuffle
                 own.learn(keys[order], n[order])
                 bits += len(keys)
             if bits:
-                flat = own.weights.ravel()
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.arange(len(flat)), pa.int32()), pa.array(flat * bits), pa.array(np.full(len(flat), float(bits)))],
-                    ["at", "w", "n"],
-                )
-
-        means = blocks.mapInArrow(work, "at int, w double, n double").groupBy("at").agg((F.sum("w") / F.sum("n")).alias("w"))
-        for row in means.collect():  # GATES * ORDERS numbers
-            model.weights.flat[row["at"]] = row["w"]
-
-    def outcome(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros((256, BUCKETS, 2))
-        for keys, n in _blocks_of(batches):
-            sums += model.over(ExactCounts(low.value, keys, n)).outcomes(keys, n)
-        at = np.flatnonzero(sums)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(sums.ravel()[at])], ["at", "n"])
-
-    sums = np.zeros((256, BUCKETS, 2))
-    for row in blocks.mapInArrow(outcome, "at int, n double").groupBy("at").agg(F.sum("n").alias("n")).collect():
-        sums.flat[row["at"]] = row["n"]
-    model.set_refinement(sums)
+                gained = (own.seen - model.seen).ravel()  # by which cells are averaged
+                met = np.flatnonzero(gained)
+                values = np.concatenate([own.weights.ravel(), own.refine.ravel()[met]])
+                share = np.concatenate([np.full(own.weights.size, float(bits)), gained[met]])
+                at = np.concatenate([np.arange(own.weights.size), own.weights.size + met])
+                yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(values * share), pa.array(share)], ["at", "w", "n"])
+
+        means = blocks.mapInArrow(work, "at int, w double, n double").groupBy("at").agg(F.sum("w").alias("w"), F.sum("n").alias("n"))
+        model = model.copy()
+        for row in means.collect():  # GATES * ORDERS weights, 256 * BUCKETS cells
+            at = row["at"] - model.weights.size
+            if at < 0:
+                model.weights.flat[row["at"]] = row["w"] / row["n"]
+            else:
+                model.refine.flat[at], model.seen.flat[at] = row["w"] / row["n"], row["n"]
     return Trained(model, blocks, low)
 
 
@@ -549,4 +556,4 @@ def scoring_report(docs: DataFrame) -> DataFrame:
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7 == 2, F.lit(False))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", held.alias("held_out"))
     counts = corpus_counts(docs.where(~F.col("held_out")))
-    return score_texts(docs, counts, train(counts)).drop("bits_per_byte")
+    return score_texts(docs, counts, train(counts))
