@@ -1,9 +1,12 @@
 """PII, language ID, context mixing and decontamination."""
 
 import hashlib
+import itertools
 import math
 import random
 import re
+import time
+import unicodedata
 import zlib
 from collections import Counter, defaultdict
 
@@ -12,6 +15,8 @@ import pyarrow as pa
 import pytest
 from llm_cases import SCHEMA, WORDS, corpus, prose, with_clashes, workers  # noqa: F401  (workers: a fixture)
 
+from pyspark.sql import functions as F
+
 from vsframe.llm import context_mixing, decontamination, langid, pii
 from vsframe.llm.common import utf8
 
@@ -100,11 +105,72 @@ def test_pii_without_candidates(spark):
     assert pii.personal_data_report(spark.createDataFrame([], SCHEMA)).collect() == []
 
 
+def test_pii_time_follows_the_length_of_a_text(spark):
+    """160,000 matches in one text cost about as much as in 160 texts."""
+    part = " ".join(f"token{k:05d}key 10.0.{k % 256}.1" for k in range(500))
+    few = [(i, part, None) for i in range(160)]
+    one = [(1, " ".join([part] * 160), None)]
+
+    def seconds(rows):
+        df = spark.createDataFrame(rows, SCHEMA).coalesce(1)
+        began = time.time()
+        got = pii.candidate_spans(pii.base_spans(df)).select(F.size("base").alias("n"), F.size("candidates").alias("c")).collect()
+        return time.time() - began, sum(r.n for r in got), sum(r.c for r in got)
+
+    seconds(few)  # compiles
+    (t1, *n1), (t2, *n2) = seconds(few), seconds(one)
+    assert n1 == n2 == [80_000, 80_000] and t2 < 2 * t1 + 5, (t1, t2)
+
+
+@pytest.mark.parametrize("n", [0, 1, 15, 16, 17, 256, 257, 5000])
+def test_running_totals(spark, n):
+    rnd = random.Random(n)
+    values = [rnd.randrange(100) for _ in range(n)]
+    df = spark.createDataFrame([(values,)], "v array<int>")
+    total = pii.running(F.col("v"), lambda a, b: a + b, F.lit(0))
+    most = pii.running(F.col("v"), F.greatest, F.lit(0))
+    got = df.select(total.alias("total"), most.alias("most")).first()
+    assert got.total == list(itertools.accumulate(values)) and got.most == list(itertools.accumulate(values, max))
+
+
+def test_candidates_that_overlap_base_spans_go(spark):
+    rnd = random.Random(7)
+    rows = []
+    for _ in range(60):
+        cuts = sorted(rnd.sample(range(200), 40))
+        own = [{"start": a, "end": b} for a, b in zip(cuts[::2], cuts[1::2])]
+        base = [{"start": (a := rnd.randrange(200)), "end": a + rnd.randrange(1, 12)} for _ in range(rnd.randrange(8))]
+        rows.append((own, sorted(base, key=lambda s: s["start"])))
+    kind = "array<struct<start:int,end:int>>"
+    got = spark.createDataFrame(rows, f"c {kind}, b {kind}").select(pii._free("c", "b").alias("free")).collect()
+    for (own, base), r in zip(rows, got):
+        want = [s for s in own if not any(b["start"] < s["end"] and s["start"] < b["end"] for b in base)]
+        assert [x.asDict() for x in r.free] == want
+
+
 def test_pii_plan_is_native(spark):
     plan = pii.personal_data_report(spark.createDataFrame(pii_rows()[:20], SCHEMA))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
 
 
+def test_trigrams_of_many_letters_and_short_rows():
+    """Rows and trigrams whose packed number would pass 64 bits."""
+    every = (chr(c) for c in range(0x3400, 0x2FFFF))
+    letters = "".join(c for c in every if unicodedata.category(c)[0] == "L" and c.lower() == c)[:73_000]
+    texts = [letters, *["ab"] * 60_000, "xyz"]
+    grams = langid.Trigrams(*utf8(pa.array(texts)))
+    assert grams.rows.min() == 0 and grams.rows.max() == len(texts) - 1 and grams.grams.min() >= 0
+    per_row = np.diff(grams.cuts)
+    assert per_row[0] == len(letters) and set(per_row[1:-1].tolist()) == {2} and per_row[-1] == 3
+    few = langid.Trigrams(*utf8(pa.array(["ab", "xyz"])))
+
+    def named(t, row):
+        a, b = t.cuts[row], t.cuts[row + 1]
+        return {tuple(t.symbols[[g // t.base**2, g // t.base % t.base, g % t.base]].tolist()) for g in t.grams[a:b].tolist()}
+
+    assert named(grams, 1) == named(few, 0) and named(grams, len(texts) - 1) == named(few, 1)
+
+
 def test_reliabilities_separate_good_from_bad_labelers(spark):
     rnd = random.Random(3)
     rows = []
@@ -190,12 +256,61 @@ def test_probabilities_sum_to_one():
             np.add.at(ones, at[k], counts * (y == 1))
     model = context_mixing.Model(zeros, ones)
     model.learn(grams, counts)
-    model.set_refinement(model.outcomes(grams, counts))
+    assert (model.seen >= context_mixing.TRUSTED).any()
     for context in (int(grams[0]) >> 8, 0xFEFEFEFE):
         every = np.uint64(context << 8) | np.arange(256, dtype=np.uint64)
         assert abs((10 ** model.log10(every)).sum() - 1) < 1e-9
 
 
+def test_refining_table_adapts_after_every_step():
+    """A cell is what came so far, with its memory; later bits count more once it is full."""
+    model, memory = context_mixing.Model(), context_mixing.MEMORY
+    rnd = random.Random(2)
+    value, seen = 0.5, 0.0
+    for _ in range(60):
+        weight = np.array([rnd.randrange(1, memory // 8) for _ in range(3)], float)
+        y = np.array([rnd.randrange(2) for _ in range(3)])
+        model._adapt(np.full(3, 77), y, weight)
+        known = min(seen, memory) + 1
+        value = (value * known + (weight * y).sum()) / (known + weight.sum())
+        seen += weight.sum()
+        assert math.isclose(model.refine.flat[77], value) and model.seen.flat[77] == seen
+    assert seen > 3 * memory and (model.refine.ravel()[:77] == 0.5).all()
+
+
+def test_refining_lowers_held_out_cost(spark, monkeypatch):
+    rnd = random.Random(20)
+    rows = [(k, prose(rnd, lang, 120), k % 5 == 0) for k in range(150) for lang in [rnd.choice(sorted(WORDS))]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, held_out boolean")
+    counts = context_mixing.corpus_counts(docs.where("NOT held_out"))
+    model = context_mixing.train(counts)
+
+    def cost():
+        found = context_mixing.score_texts(docs, counts, model).where("held_out")
+        return found.agg(F.avg("bits_per_byte")).first()[0]
+
+    with_table = cost()
+    model.model.seen[:] = 0  # no cell counts
+    assert with_table < cost() < 3
+
+
+def test_counting_holds_a_bounded_number(monkeypatch):
+    texts = [" ".join(random.Random(k).choices(WORDS["en"], k=200)) + f" {k}" for k in range(60)]
+    batches = [pa.RecordBatch.from_arrays([pa.array([t])], ["text"]) for t in texts]
+
+    def totals():
+        out = Counter()
+        for batch in context_mixing._count(iter(batches)):
+            for kind, key, n in zip(*(c.to_pylist() for c in batch.columns)):
+                out[kind, key] += n
+        return out
+
+    want = totals()
+    for held in (10, 500, 3000):
+        monkeypatch.setattr(context_mixing, "HELD", held)
+        assert totals() == want
+
+
 def test_counts_are_exact_however_many_contexts(spark):
     """Far more contexts than SLOT_BITS has slots: known and unknown stay apart."""
     rnd = random.Random(14)
@@ -227,7 +342,7 @@ def test_counts_are_exact_however_many_contexts(spark):
                 x, gate = context_mixing._inputs(*n, bit)
                 x = np.clip(fitted.weights[gate[0]] @ x, -12, 12)
                 p, node, cell = 1 / (1 + np.exp(-x[0])), (b[j] | 256) >> 8 - bit, context_mixing._bucket(x)[0]
-                if fitted.refined[node, cell]:
+                if fitted.seen[node, cell] >= context_mixing.TRUSTED:
                     p = (p + fitted.refine[node, cell]) / 2
                 want += math.log10(p if b[j] >> 7 - bit & 1 else 1 - p)
         assert abs(got[1000 + i] - want) < 1e-6, (i, got[1000 + i], want)
@@ -297,6 +412,8 @@ def test_decontamination(spark, monkeypatch, block_bytes):
     want = expected_contamination(rows, items)
     assert Counter(map(tuple, decontamination.contamination_report(with_clashes(df), bench).collect())) == want
     assert sum(k[5] for k in want) > 10
+    marked = decontamination.mark_contamination(df, bench)
+    assert marked._jdf.queryExecution().executedPlan().toString().count("MapInArrow") <= 1  # one block a stage
 
 
 def test_decontamination_against_nothing(spark):

@@ -11,7 +11,8 @@ Bayes over the candidates' own features, is trained. Candidates that it accepts
 are added, unless they overlap a base span.
 
 Offsets are in code points, ends exclusive. A null text is empty; repeated rows
-are each reported. With no candidate at all nothing is learned or added.
+are each reported. With no candidate at all nothing is learned or added. The
+time for a text is in proportion to its length, however many matches it has.
 """
 
 from __future__ import annotations
@@ -25,20 +26,21 @@ from vsframe.llm.common import materialize
 
 KINDS = ("email", "ip", "card", "phone")
 #: The contract's patterns. Possessive and bound to the start of a run, which
-#: changes no match: a run that fails from its start fails from everywhere.
+#: changes no match: a run that fails from its start fails from everywhere. So
+#: does a run of fewer digits than a card has, which is no match here.
 PATTERNS = {
     "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
-    "card": r"[0-9](?:[\x20-]?[0-9])++",
+    "card": r"[0-9](?:[\x20-]?[0-9]){13,}+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 #: Texts without this character have no match; spares the search.
 MARKS = {"email": "@", "ip": ".", "phone": "+"}
+#: A telephone number with brackets, or a run of at least 8 letters and digits.
 CANDIDATE = (
     r"(?<![A-Za-z0-9])(?:[0-9]{1,3} ?\([0-9]{2,4}\) ?[0-9]{3}[ -]?[0-9]{4}(?![0-9])"
-    r"|[A-Za-z]*+[0-9][A-Za-z0-9]*+)"
+    r"|(?=[A-Za-z0-9]{8})[A-Za-z]*+[0-9][A-Za-z0-9]*+)"
 )
-MIN_CANDIDATE = 8
 #: Code points before a candidate that labelers read.
 CONTEXT = 24
 
@@ -59,30 +61,66 @@ EM_ROUNDS = 25
 THRESHOLD = 0.5
 
 
-_SPAN = "struct<start:int,end:int,match:string,before:string,after:string>"
+#: Values of one block of a running total, and levels of blocks; at the top are
+#: n / 32**3 values, whose square stays below n for any text that fits a row.
+_BLOCK, _LEVELS = 32, 3
+
+
+def _bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)``, with the value worked out once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def running(values: Column, combine: Callable[[Column, Column], Column], zero: Column, levels: int = _LEVELS) -> Column:
+    """array: element i combines elements 0..i of an array of integers.
+
+    Blocks of a few values each are combined on their own, then the blocks'
+    totals in the same way, so that time stays in proportion to the length.
+    """
+
+    def all_of(part: Column) -> Column:
+        return F.aggregate(part, zero, lambda a, b: combine(a, b))
+
+    def short(part: Column) -> Column:
+        return F.transform(part, lambda _, i: all_of(F.slice(part, F.lit(1), i + 1)))
+
+    def whole(all_: Column) -> Column:
+        n = F.size(all_)
+        starts = F.when(n > 0, F.sequence(F.lit(1), n, F.lit(_BLOCK))).otherwise(F.array().cast("array<int>"))
+        return _bind(F.transform(starts, lambda at: F.slice(all_, at, F.lit(_BLOCK))), joined)
+
+    def joined(parts: Column) -> Column:
+        totals = F.transform(parts, all_of)
+        return _bind(
+            running(totals, combine, zero, levels - 1),
+            lambda before: F.flatten(
+                F.transform(
+                    parts, lambda p, k: F.transform(short(p), lambda x: combine(x, F.when(k > 0, before[k - 1]).otherwise(zero)))
+                )
+            ),
+        )
+
+    return _bind(values, whole if levels else short)
 
 
 def _offsets(found: str, parts: str) -> Column:
     """array<(start, end, match, before, after)> of matches and the pieces
     between them, which alternate."""
-    pairs = F.transform(
-        found, lambda m, i: F.struct(m.alias("found"), F.col(parts)[i].alias("part"), F.col(parts)[i + 1].alias("next"))
-    )
-    state = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{_SPAN}>").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.char_length(x["part"])
-        end = start + F.char_length(x["found"])
-        span = F.struct(
-            start.alias("start"),
-            end.alias("end"),
-            x["found"].alias("match"),
-            F.right(x["part"], F.lit(CONTEXT)).alias("before"),
-            F.left(x["next"], F.lit(1)).alias("after"),
+    steps = F.transform(found, lambda m, i: F.char_length(F.col(parts)[i]) + F.char_length(m))
+
+    def spans(ends: Column) -> Column:
+        return F.transform(
+            found,
+            lambda m, i: F.struct(
+                (ends[i] - F.char_length(m)).alias("start"),
+                ends[i].alias("end"),
+                m.alias("match"),
+                F.right(F.col(parts)[i], F.lit(CONTEXT)).alias("before"),
+                F.left(F.col(parts)[i + 1], F.lit(1)).alias("after"),
+            ),
         )
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
 
-    return F.aggregate(pairs, state, step)["out"]
+    return _bind(running(steps, lambda a, b: a + b, F.lit(0)), spans)
 
 
 def locate(docs: DataFrame, name: str, pattern: str, mark: str | None = None, text_col: str = "text") -> DataFrame:
@@ -181,12 +219,26 @@ def _described(s: Column) -> Column:
 def candidate_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` (with ``base``) plus ``candidates``: those that overlap no base span."""
     found = locate(docs, "_c", CANDIDATE, None, text_col)
-    free = F.filter(
-        "_c",
-        lambda s: (F.char_length(s["match"]) >= MIN_CANDIDATE)
-        & ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])),
-    )
-    return found.withColumn("candidates", F.transform(free, _described)).drop("_c")
+    return found.withColumn("candidates", F.transform(_free("_c", "base"), _described)).drop("_c")
+
+
+def _free(candidates: str, base: str) -> Column:
+    """The candidates that overlap no base span.
+
+    Base spans by their start and candidates by their end stand in one sorted
+    array, a candidate before the base spans that begin at its end or later. The
+    furthest end of a base span so far then tells whether one reaches into it.
+    """
+    theirs = F.transform(base, lambda b: F.struct((2 * b["start"]).alias("at"), b["end"].alias("to"), F.lit(-1).alias("i")))
+    own = F.transform(candidates, lambda c, i: F.struct((2 * c["end"] - 1).alias("at"), F.lit(0).alias("to"), i.alias("i")))
+
+    def free(order: Column) -> Column:
+        reach = running(F.transform(order, lambda e: e["to"]), F.greatest, F.lit(0))
+        ends = F.zip_with(order, reach, lambda e, r: F.struct(e["i"].alias("i"), r.alias("reach")))
+        kept = F.filter(ends, lambda x: (x["i"] >= 0) & (x["reach"] <= F.col(candidates)[x["i"]]["start"]))
+        return F.transform(kept, lambda x: F.col(candidates)[x["i"]])
+
+    return F.when(F.size(base) == 0, F.col(candidates)).otherwise(_bind(F.sort_array(F.concat(theirs, own)), free))
 
 
 def _log_odds(yes: Column, no: Column, all_yes: Column, all_no: Column, ways: int) -> Column:
