@@ -16,17 +16,21 @@ from pyspark.sql import functions as F
 from vsframe.llm import bpe
 from vsframe.llm.common import fresh, let_workers_import, materialize, read_table, salted_join
 from vsframe.llm.decontamination import mark_contamination
-from vsframe.llm.langid import UNKNOWN, classify, train_prototypes
+from vsframe.llm.langid import UNKNOWN, classify, plausible, train_prototypes, usual_noise
 from vsframe.llm.line_dedup import drop_lines
 from vsframe.llm.ngram_join import link_components, row_key
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a recognised language; learns from all labelled ones."""
+    """Documents in a language: those that have letters, and whose score is not
+    below what texts of their length have. Prototypes and that floor are learned
+    from all labelled documents."""
     let_workers_import(spark)
-    pred, score = fresh(docs, "_lang", "_score")
-    found = classify(docs, train_prototypes(docs), out=(pred, score))
-    return found.where(F.col(pred) != UNKNOWN).drop(pred, score)
+    pred, score, size = fresh(docs, "_lang", "_score", "_size")
+    found = materialize(classify(docs, train_prototypes(docs), out=(pred, score, size)), "languages")
+    noise = usual_noise(found, "lang", pred, score, size)
+    known = (F.col(pred) != UNKNOWN) & plausible(F.col(score), F.col(size), noise)
+    return found.where(known).drop(pred, score, size)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
