@@ -20,6 +20,7 @@ def tables(spark):
     rnd = random.Random(21)
     items = [(k, prose(rnd, "en", 20)) for k in range(4)]
     rows = [r for r in corpus(17, 60) if r[0] is not None] + near_copies(4, 12)
+    rows += [(9001, "st " * 900, None), (9002, "".join(rnd.choices("qxzwkjvy ", k=4000)), None)]
     rows += [(8000 + k, prose(rnd, "en", 30) + " " + items[k % 4][1], "en") for k in range(6)]
     folder = shared_dir(spark, "pipeline-tables")
     docs = with_clashes(spark.createDataFrame(rows, SCHEMA))
@@ -44,9 +45,14 @@ def test_stages(spark):
         if name != "byte_level_bpe":
             assert out.columns == columns and all(r.key == 7 for r in rows)
         if name == "language_id":
-            known = {r.doc_id for r in classify(source, train_prototypes(source), out=("p", "s")).where("p <> 'und'").collect()}
-            assert {r.doc_id for r in rows} == known and not {2000, 2001, 2002} & known
-            assert {i for i, t, _ in before if t and any(c.isalpha() for c in t)} == known
+            scored = classify(source, train_prototypes(source), out=("p", "s", "size")).collect()
+            noise = sorted(r.size * (1 / r.s**2 - 1) for r in scored if r.p == r.lang and r.size >= 64)
+            floor = {r.size: (r.size / (r.size + 8 * noise[(len(noise) - 1) // 2])) ** 0.5 - 3 / 32 for r in scored if r.size}
+            known = {r.doc_id for r in scored if r.p != "und" and (r.size < 64 or r.s >= floor[r.size])}
+            assert {r.doc_id for r in rows} == known
+            assert not {2000, 2001, 2002, 9001, 9002} & known
+            prose_ids = {i for i, t, _ in before if t and i < 9000 and len(set(t.split())) > 2}
+            assert prose_ids <= known and {2004, 2006} - known == {2006}
         elif name == "line_dedup":
             got = {(r.doc_id, hashlib.sha256(r.text.encode()).hexdigest()) for r in rows}
             assert got == {(k[0], k[3]) for k in expected_lines(before)} and len(rows) == len(before)
