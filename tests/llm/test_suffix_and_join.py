@@ -12,6 +12,7 @@ from llm_cases import SCHEMA, corpus, prose, with_clashes, workers  # noqa: F401
 from pyspark.sql import functions as F
 
 from vsframe.llm import ngram_join, suffix_dedup
+from vsframe.llm.common import SALTS, salted_join, salted_right, salts_met
 from vsframe.llm.components import components
 
 
@@ -241,6 +242,47 @@ def test_ngram_join_of_nothing(spark):
     assert bag(ngram_join.link_components(spark.createDataFrame(rows, SCHEMA)).drop("key")) == expected_components(rows)
 
 
+def test_salted_join_repeats_for_salts_that_occur_only(spark):
+    rows = [(k % 500, k) for k in range(1000)] + [(1000, k) for k in range(400)] + [(None, 1), (2000, None)]
+    left = spark.createDataFrame(rows, "k long, by long")
+    right = left.groupBy("k").agg(F.count("*").alias("n"), salts_met("by").alias("met"))
+    repeated = Counter(r.k for r in salted_right(right, met="met").collect())
+    assert all(1 <= repeated[k] <= 2 for k in range(500)) and repeated[1000] == SALTS and repeated[2000] == 1
+    want = Counter((k, by, 400 if k == 1000 else 1 if k == 2000 else 2) for k, by in rows if k is not None)
+    assert bag(salted_join(left, right, ["k"], "by", "inner", met="met").select("k", "by", "n")) == want
+    assert bag(salted_join(left, right, ["k"], "by", "left_semi", met="met")) == Counter(r for r in rows if r[0] is not None)
+
+
+def test_ngram_join_holds_no_table_that_is_read(spark, monkeypatch):
+    """Prefixes, a fifth of all shingles, and the shared shingles go before the
+    rounds; joins to prefix shingles repeat no row for salts that don't occur."""
+    live, seen, joins = set(), [], []
+    materialize, discard, join = ngram_join.materialize, ngram_join.discard, ngram_join.salted_join
+
+    def kept(df, name):
+        out = materialize(df, name)
+        live.add(out._written)
+        seen.append((name, {path.rsplit("/", 1)[1].rsplit("-", 1)[0] for path in live}))
+        return out
+
+    def gone(*tables):
+        discard(*tables)
+        live.difference_update(getattr(t, "_written", None) for t in tables)
+
+    def joined(left, right, keys, *args, **more):
+        if keys[0] == "token":
+            joins.append(more.get("met"))
+        return join(left, right, keys, *args, **more)
+
+    for name, f in (("materialize", kept), ("discard", gone), ("salted_join", joined)):
+        monkeypatch.setattr(ngram_join, name, f)
+    rows = corpus(3, 30) + near_copies(2, 12)
+    assert bag(ngram_join.link_components(spark.createDataFrame(rows, SCHEMA)).drop("key")) == expected_components(rows)
+    assert joins and all(joins)
+    rounds = [held for name, held in seen if name == "best-hubs"]
+    assert rounds and not any(held & {"prefixes", "shared-shingles"} for held in rounds)
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_components(spark, seed):
     rnd = random.Random(seed)

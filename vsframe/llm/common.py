@@ -91,20 +91,40 @@ def ascii_lower(col: Column) -> Column:
     return F.translate(col, UPPER, LOWER)
 
 
-def salted_join(left: DataFrame, right: DataFrame, keys: list[str], spread: str, how: str, salts: int = 8) -> DataFrame:
+#: Salts of a hot key in a salted join.
+SALTS = 8
+
+
+def _salt(spread: str, salts: int) -> Column:
+    return F.pmod(F.xxhash64(F.col(spread), F.lit(7)), F.lit(salts)).cast("int")
+
+
+def salts_met(spread: str, salts: int = SALTS) -> Column:
+    """Aggregate: the salts that a group's rows take in ``salted_join``, as bits."""
+    return F.bit_or(F.call_function("shiftleft", F.lit(1), _salt(spread, salts)))
+
+
+def salted_right(right: DataFrame, salts: int = SALTS, met: str | None = None) -> DataFrame:
+    """``right`` once per salt, or once per salt among the bits of column ``met``."""
+    every = F.sequence(F.lit(0), F.lit(salts - 1))
+    if met is None:
+        return right.withColumn("_salt", F.explode(every))
+    return right.withColumn("_salt", F.explode(F.filter(every, lambda s: F.getbit(met, s) == 1))).drop(met)
+
+
+def salted_join(
+    left: DataFrame, right: DataFrame, keys: list[str], spread: str, how: str, salts: int = SALTS, met: str | None = None
+) -> DataFrame:
     """Equi-join a table with hot keys to a table with at most one row a key.
 
     ``left`` takes a salt from ``spread`` (any column that varies within a hot
     key), ``right`` is repeated once per salt. The salt also keeps the join
     from reusing the partitioning of the aggregate that made ``right``, so
     both sides are plain exchanges and AQE can split what is still uneven.
+    Where most keys have few rows, ``right`` names in ``met`` its column of
+    ``salts_met`` over ``left``'s rows, and is repeated for those salts only.
     """
-    salted = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return (
-        left.withColumn("_salt", F.pmod(F.xxhash64(F.col(spread), F.lit(7)), F.lit(salts)).cast("int"))
-        .join(salted, [*keys, "_salt"], how)
-        .drop("_salt")
-    )
+    return left.withColumn("_salt", _salt(spread, salts)).join(salted_right(right, salts, met), [*keys, "_salt"], how).drop("_salt")
 
 
 #: Bits of a key filter, 8 MiB whatever the number of keys.

@@ -54,6 +54,7 @@ from vsframe.llm.common import (
     passes,
     row_chunks,
     salted_join,
+    salts_met,
     text_chunks,
     utf8,
     word_spans,
@@ -197,7 +198,7 @@ def prefixes(docs: DataFrame, sketch: np.ndarray, words: int, percent: int, step
 
 
 def prefix_posts(rows: DataFrame, steps: Steps) -> DataFrame:
-    """(token, grp, size, pos) for the prefix shingles that several groups have.
+    """(token, grp, size, pos), written, for the prefix shingles that several groups have.
 
     Counts of a shingle combine before their shuffle (a group counts once a
     task, so a group of copies may pass for several; its posts then pair with
@@ -206,14 +207,15 @@ def prefix_posts(rows: DataFrame, steps: Steps) -> DataFrame:
     """
     rows = rows.where("size > 0 AND prefix IS NOT NULL").select("grp", "size", "prefix")
     shared = materialize(
-        rows.select(F.explode("prefix").alias("token"))
+        rows.select(F.explode("prefix").alias("token"), "grp")
         .groupBy("token")
-        .agg(F.count(F.lit(1)).alias("n"))
+        .agg(F.count(F.lit(1)).alias("n"), salts_met("grp").alias("met"))
         .where("n > 1")
-        .select("token"),
+        .select("token", "met"),
         "shared-shingles",
     )
-    sent = steps.send(key_filter(shared))
+    steps.end()
+    sent = steps.send(key_filter(shared.select("token")))
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -235,7 +237,10 @@ def prefix_posts(rows: DataFrame, steps: Steps) -> DataFrame:
             )
 
     likely = rows.mapInArrow(post, "token long, grp long, size int, pos int")
-    return salted_join(likely, shared, ["token"], "grp", "left_semi").distinct()
+    posts = materialize(salted_join(likely, shared, ["token"], "grp", "left_semi", met="met").distinct(), "prefix-posts")
+    steps.end()
+    discard(shared)
+    return posts
 
 
 def _wanted_texts(docs: DataFrame, heads: DataFrame, pairs: DataFrame, steps: Steps) -> DataFrame:
@@ -331,8 +336,9 @@ def _open_posts(posts: DataFrame, groups: DataFrame) -> DataFrame:
     """``posts`` with their groups' components x and y, those whose shingle
     several components have."""
     named = posts.join(groups.select("grp", "x", "y"), "grp")
-    mixed = named.groupBy("token").agg(F.min("x").alias("lo"), F.max(F.coalesce("y", "x")).alias("hi")).where("lo <> hi")
-    return salted_join(named, mixed.select("token"), ["token"], "grp", "left_semi")
+    span = [F.min("x").alias("lo"), F.max(F.coalesce("y", "x")).alias("hi"), salts_met("grp").alias("met")]
+    mixed = named.groupBy("token").agg(*span).where("lo <> hi").select("token", "met")
+    return salted_join(named, mixed, ["token"], "grp", "left_semi", met="met")
 
 
 def hub_pairs(posts: DataFrame, percent: int) -> DataFrame:
@@ -347,9 +353,10 @@ def hub_pairs(posts: DataFrame, percent: int) -> DataFrame:
     by_size = F.floor(F.log(F.col("size").cast("double")) / F.log(F.lit(100 / percent)))
     place = F.floor(F.col("pos").cast("long") * F.lit(POSITION_STEPS) / F.col("size"))
     classed = posts.select("token", "grp", "x", by_size.alias("class"), place.alias("place"))
-    hubs = classed.groupBy("token", "class").agg(F.min(F.struct("place", F.col("grp").alias("h"), F.col("x").alias("of"))).alias("hub"))
-    hubs = hubs.select("token", "class", F.col("hub.h").alias("h"), F.col("hub.of").alias("of"))
-    met = salted_join(classed.drop("place"), hubs, ["token", "class"], "grp", "inner").where("x <> of")
+    first = F.min(F.struct("place", F.col("grp").alias("h"), F.col("x").alias("of")))
+    hubs = classed.groupBy("token", "class").agg(first.alias("hub"), salts_met("grp").alias("met"))
+    hubs = hubs.select("token", "class", F.col("hub.h").alias("h"), F.col("hub.of").alias("of"), "met")
+    met = salted_join(classed.drop("place"), hubs, ["token", "class"], "grp", "inner", met="met").where("x <> of")
     votes = met.groupBy("x", F.col("grp").alias("g"), "h").agg(F.count(F.lit(1)).alias("n"))
     best = votes.groupBy("x").agg(F.max_by(F.struct("g", "h"), F.struct("n", "g", "h")).alias("best"))
     return best.select("x", "best.*")
@@ -405,8 +412,9 @@ def link_components(
         .agg(F.min("doc_id").alias("rep"), F.min("key").alias("key"), *(F.max(c).alias(c) for c in ("size", "grp", "parity"))),
         "nodes",
     )
-    posts = materialize(prefix_posts(rows, steps), "prefix-posts")
-    steps.end()
+    posts = prefix_posts(rows, steps)
+    prefixed, rows = rows, materialize(rows.select("key", "doc_id", "node", "size"), "rows")
+    discard(prefixed)  # a prefix is a fifth of its set
 
     def linked(pairs: DataFrame) -> DataFrame:
         """Those of the pairs whose whole sets link."""
@@ -428,6 +436,7 @@ def link_components(
     named, found, tried = posts.withColumn("x", F.col("grp")), None, []
     while True:
         best = materialize(hub_pairs(named, percent), "best-hubs")
+        steps.end()
         node = groups.select("grp", "node")
         met = best.join(node.select(F.col("grp").alias("g"), F.col("node").alias("m")), "g").join(
             node.select(F.col("grp").alias("h"), F.col("node").alias("o")), "h"
@@ -449,6 +458,7 @@ def link_components(
         discard(groups, named)
         groups = materialize(_group_components(heads, found), "groups")
         named = materialize(_open_posts(posts, groups), "open-posts")
+        steps.end()
         if few:
             break
 
@@ -459,6 +469,7 @@ def link_components(
     single = groups.where("members = 1").select("grp").join(labelled.select("grp", "parity"), "grp")
     carried = materialize(named.select("token", "grp", "size", "pos", "x", "y").join(single, "grp", "left"), "posts-with-parities")
     across = materialize(open_group_pairs(carried, percent), "group-pairs")
+    steps.end()
     discard(named, carried, posts)
     # a group with nodes in several components makes a pair with itself
     itself = groups.where("y IS NOT NULL").select(F.col("grp").alias("g"), F.col("grp").alias("h"))
