@@ -52,9 +52,12 @@ def settle(spark: SparkSession) -> None:
 
     It does so once the driver has collected their frames, which on a driver
     with heap to spare would be long after they have filled the executors' disks.
+    Right after a write, Spark's listeners may still hold its frame: a second
+    collection finds it free.
     """
     gc.collect()
-    spark._jvm.System.gc()
+    for _ in range(2):
+        spark._jvm.System.gc()
 
 
 class Steps:
